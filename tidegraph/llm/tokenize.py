@@ -8,6 +8,7 @@ of a cut) is encoded whole instead. The ids equal those of ``Tokenizer.encode``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +32,9 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         at = to
 
 
+#: Words that NFC and lower-casing leave as they are: ASCII without capitals, and small letters of Latin-1.
+SETTLED = re.compile(r"[!-@\[-`{-~\xdf-\xf6\xf8-\xff]*").fullmatch
+
 _encoders: dict[str, "BulkEncoder"] = {}
 
 
@@ -50,6 +54,11 @@ class BulkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: A byte-level vocabulary without word ends: a piece takes the space before it.
         self.keeps_space = not getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: For white space dropped, NFC and lower case: the same without these, for words that they leave as they are.
+        self.plain = None
+        if not self.keeps_space and re.fullmatch(r".*NFC\(\).*Replace\(.*Lowercase\(\).*", str(self.tokenizer.normalizer), re.S):
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
         self.remembered = remembered
         self.known: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
@@ -59,7 +68,18 @@ class BulkEncoder:
         """Flat ids of all words and the number of ids of each."""
         if not words:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        if self.plain:
+            settled = [bool(SETTLED(w)) for w in words]
+            if not all(settled) and any(settled):
+                order = np.argsort(~np.array(settled), kind="stable")
+                n = sum(settled)
+                parts = [self._encode_words([words[i] for i in own]) for own in (order[:n], order[n:])]
+                flat, lens = (np.concatenate(x) for x in zip(*parts))
+                begin, back = np.cumsum(lens) - lens, np.argsort(order)
+                per = lens[back]
+                return flat[np.repeat(begin[back] - (np.cumsum(per) - per), per) + np.arange(len(flat))], per
+        tokenizer = self.plain if self.plain and settled[0] else self.tokenizer
+        got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         which = got.word_ids
         if None in which:  # the string of a special token: its word is not told
             each = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -87,6 +107,8 @@ class BulkEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        if self.plain and not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))  # fewer distinct pieces; the same ids
         split = pc.split_pattern(texts, " ")
         first = split.offsets.to_numpy().astype(np.int64)
         first = first - first[0]
