@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import DOMAINS, mix
+
+    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", *(F.round(d, 9).alias(f"p_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import compare_edited
 
@@ -58,13 +67,35 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_sitestyle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sitestyle import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_winnowing": op2_winnowing,
     "op3_warc": op3_warc,
     "op4_licenses": op4_licenses,
     "op5_simple8b": op5_simple8b,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_sitestyle": op8_sitestyle,
+    "op9_quality": op9_quality,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
