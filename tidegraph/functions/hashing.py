@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Multiplicative (Fibonacci) hashing constants.
 FIRST, SECOND = 2654435761, 2246822519
@@ -29,14 +29,26 @@ def bloom_positions(v: Column, bits: int) -> Column:
     return F.array(*(h.bitwiseAND(mask).cast("int") for h in halves))
 
 
-def mixed(*parts: Column) -> Column:
-    """32 well-mixed bits that depend on all parts."""
-    x = F.lit(0)
+def _folded(parts: tuple[int, ...]) -> int:
+    """The state of the hash after constant parts."""
+    x = 0
     for part in parts:
-        x = (x * 31 + (part % F.lit(2**31))).bitwiseAND(F.lit(WORD))
+        x = x * 31 + part & WORD
         for _ in range(2):
-            x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIX)).bitwiseAND(F.lit(WORD))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+            x = (x ^ x >> 16) * MIX & WORD
+    return x
+
+
+def with_mixed(df: DataFrame, column: str, names: dict[str, tuple[int, ...]]) -> DataFrame:
+    """Adds columns of 32 well-mixed bits that depend on constants and on ``column``.
+
+    Made in steps of their own: in one expression each step would be written out twice for the next.
+    """
+    mix = lambda x: x.bitwiseXOR(F.shiftright(x, 16))
+    df = df.withColumns({n: (F.lit(_folded(parts) * 31) + F.col(column) % F.lit(2**31)).bitwiseAND(F.lit(WORD)) for n, parts in names.items()})
+    for _ in range(2):
+        df = df.withColumns({n: (mix(F.col(n)) * F.lit(MIX)).bitwiseAND(F.lit(WORD)) for n in names})
+    return df.withColumns({n: mix(F.col(n)) for n in names})
 
 
 def uniform(*parts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import mixed
+from ..functions.hashing import uniform
 from .pageindex import PER_PAGE, paged
 
 
@@ -30,7 +30,7 @@ def delete_edges(edges: DataFrame, which: Column | DataFrame) -> DataFrame:
 
 def drawn(percent: float, seed: int = 1) -> Column:
     """A condition that holds for about ``percent`` of the edges, the same ones every time."""
-    return mixed(F.lit(seed), F.col("src"), F.col("dst")) < F.lit(int(percent / 100 * 2**32))
+    return uniform(F.lit(seed), F.col("src"), F.col("dst")) < F.lit(percent / 100)
 
 
 def live(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import mixed
+from ..functions.hashing import uniform
 from ..graph import GraphMeta
 
 #: Little-endian records by their size in bytes; 16 has a gap before the weight.
@@ -81,7 +81,7 @@ def _lines(spark: SparkSession, path: str, comment: str) -> DataFrame:
 
 
 def _hashed_weight(seed: int = 1):
-    return (mixed(F.lit(seed), F.col("src"), F.col("dst")) / F.lit(float(2**32))).alias("weight")
+    return uniform(F.lit(seed), F.col("src"), F.col("dst")).alias("weight")
 
 
 def read_matrix_market(spark: SparkSession, path: str, weighted: bool = False) -> tuple[DataFrame, int]:
