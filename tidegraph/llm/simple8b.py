@@ -36,6 +36,8 @@ BLOCK = 256
 #: Fixed values of the code: ids in a word and bits of each, for selectors 1 to 14.
 PACKINGS = [(1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1)]
 COUNTS = np.array([1, *(n for n, _ in PACKINGS), 1], np.int64)
+#: Files that a task reads, one after the other.
+FILES = 3
 HEAD = struct.Struct("<IIQQ")
 
 
@@ -182,7 +184,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> D
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long"), "ids-manifest")
+    return materialise(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long").repartition(1), "ids-manifest")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -205,7 +207,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += len(ids)
 
-    files = spark.createDataFrame(starts, "file string, start long").repartition(max(1, len(starts)))
+    files = spark.createDataFrame(starts, "file string, start long").repartition(-(-len(starts) // FILES) or 1)
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -8,6 +8,7 @@ of a cut) is encoded whole instead. The ids equal those of ``Tokenizer.encode``
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -30,6 +31,20 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield at, to
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that is not in use back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
 
 #: Words that NFC and lower-casing leave as they are: ASCII without capitals, and small letters of Latin-1.
