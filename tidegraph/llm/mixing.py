@@ -3,10 +3,11 @@
 The domains are the classes of the label table (quality and toxic, 0 or 1 each). A classifier fitted
 on labelled documents predicts the posterior p of every domain for every document. Rates r >= 0 (how
 often a document is taken) then make the expected tokens of the domains, sum of r * tokens * p, match
-their targets in the least-squares sense: projected-gradient steps from r = 1, each one pass over the
-documents that adds up the domains' tokens. Steps are taken in coordinates in which the domains'
-token-weighted Gram matrix is the identity, so that few are needed. A rate is fixed by p and by
-the steps so far, hence only the steps (a vector of one number for each domain) are kept, not rates.
+their targets in the least-squares sense, with a small restraint on (r - 1)^2. The gradient of a rate is
+p times one number for each domain, so rates always are max(0, 1 - p * push), and the projected-gradient
+steps move the push alone; each is one pass over the documents that adds up the domains' tokens. Steps are
+taken in coordinates in which the token-weighted Gram matrix of the documents with a rate over 0 is the
+identity, so that few are needed.
 
 Targets are relative to an anchor domain whose documents get about ``anchor_rate``.
 
@@ -39,12 +40,17 @@ DOMAINS = ["poor", "poor_toxic", "good", "good_toxic"]
 TARGETS = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.925, "good_toxic": 0.02}
 ANCHOR = "good"
 BUCKETS = 1 << 14
+#: Bytes of text handled at once: a worker holds some 30 times as much.
+CHUNK = 4 << 20
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
-#: Steps at most, and the part of all tokens by which a domain may miss its target when they end.
+#: Steps at most, and the slope (in parts of all tokens) at which they end.
 STEPS, MISS = 40, 1e-7
+#: What a rate's distance from 1 costs against a domain's miss: a domain that hardly any document belongs to does not move the others.
+RESTRAINT = 1e-3
 #: Standard deviations by which a feature must stand out in a domain to count.
 SURE = 4.0
+FIT_STEPS, RIDGE = 600, 1e-4
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -108,15 +114,18 @@ class Classifier:
         else:
             y = classes[~counting]
         target = np.eye(len(DOMAINS))[y]
-        scale = np.maximum(x.std(axis=0), 1e-6)
-        scale[-1] = 1
-        x, w, v = x / scale, np.zeros((x.shape[1], len(DOMAINS))), 0
-        for _ in range(600):
-            z = x @ w
+        middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+        middle[-1], scale[-1] = 0, 1  # the constant
+        x = (x - middle) / scale
+        step = 1 / (0.5 * np.linalg.norm(x.T @ x / len(x), 2) + RIDGE)
+        w = ahead = np.zeros((x.shape[1], len(DOMAINS)))
+        for k in range(FIT_STEPS):  # accelerated gradient, with the step that the curvature allows
+            z = x @ ahead
             e = np.exp(z - z.max(axis=1, keepdims=True))
-            v = 0.9 * v + x.T @ (e / e.sum(axis=1, keepdims=True) - target) / len(x) + 1e-4 * w
-            w = w - 0.3 * v
+            new = ahead - step * (x.T @ (e / e.sum(axis=1, keepdims=True) - target) / len(x) + RIDGE * ahead)
+            w, ahead = new, new + k / (k + 3) * (new - w)
         self.weights = w / scale[:, None]
+        self.weights[-1] -= middle @ self.weights
         return self
 
 
@@ -127,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(1), CHUNK):
                 owner, bucket, _ = features(batch.column(1).slice(a, b - a))
                 at = np.searchsorted(owner, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))], names=["doc_id", "domain", "buckets"])
@@ -145,7 +154,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(1), CHUNK):
                 owner, bucket, words = features(batch.column(1).slice(a, b - a))
                 p = model.posteriors(model.scores(owner, bucket, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words, pa.int64()), *map(pa.array, np.ascontiguousarray(p.T))], names=["doc_id", "n_tokens", *DOMAINS])
@@ -154,47 +163,49 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """The rate of every row of posteriors after the steps."""
-    r = np.ones(len(p))
-    for s in steps:
-        r = np.maximum(0, r - p @ s)
-    return r
+def rates(p: np.ndarray, push: np.ndarray) -> np.ndarray:
+    """The rate of every row of posteriors: 1 less the push of its domains, projected to 0 or more."""
+    return np.maximum(0, 1 - p @ push)
 
 
-def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, anchor_rate: float = 1.05) -> list[np.ndarray]:
-    """The steps that bring the domains' expected tokens to the targets. ``members``: n_tokens and posteriors."""
+def solve(members: DataFrame, targets: dict[str, float] = TARGETS, relative: bool = False, anchor: str = ANCHOR, anchor_rate: float = 1.05) -> np.ndarray:
+    """The push of each domain that brings the expected tokens to the targets. ``members``: n_tokens and posteriors.
+
+    ``relative``: targets are parts of the tokens that the domains have, in place of shares of the mix.
+    """
     n = len(DOMAINS)
 
-    def sums(steps: list[np.ndarray], gram: bool) -> np.ndarray:
+    def sums(push: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of the domains, and the Gram matrix of the documents whose rate is not 0."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(n * n if gram else n)
+            total = np.zeros(n + n * n)
             for batch in batches:
                 t, *p = (np.asarray(c, float) for c in batch.columns)
                 p = np.stack(p, axis=1)
-                total += (p.T @ (p * t[:, None])).reshape(-1) if gram else p.T @ (t * rates(p, steps))
+                r = rates(p, push)
+                total += np.concatenate([p.T @ (t * r), (p.T @ (p * (t * (r > 0))[:, None])).reshape(-1)])
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
         parts = members.select("n_tokens", *DOMAINS).mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "s"))
         found = {r.i: r.s for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row for each number
-        return np.array([found.get(i, 0.0) for i in range(n * n if gram else n)])
+        both = np.array([found.get(i, 0.0) for i in range(n + n * n)])
+        return both[:n], both[n:].reshape(n, n)
 
-    have = sums([], False)
+    push = np.zeros(n)
+    have, gram = sums(push)
     total = have.sum()
     if not total:
-        return []
-    at = DOMAINS.index(anchor)
-    want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * have[at] * anchor_rate
-    gram = sums([], True).reshape(n, n) / total
-    inverse = np.linalg.pinv(gram + 1e-9 * np.eye(n))
-    steps: list[np.ndarray] = []
+        return push
+    parts = np.array([targets[d] for d in DOMAINS]) / targets[anchor]
+    want = parts * (have if relative else have[DOMAINS.index(anchor)]) * anchor_rate
     for _ in range(STEPS):
-        miss = (have - want) / total
-        if np.abs(miss).max() <= MISS:
+        slope = RESTRAINT * push - (have - want) / total
+        if np.abs(slope).max() <= MISS:
             break
-        steps.append(inverse @ miss)
-        have = sums(steps, False)
-    return steps
+        push = push - np.linalg.solve(gram / total + RESTRAINT * np.eye(n), slope)
+        have, gram = sums(push)
+    return push
 
 
 def copies(doc_ids: pa.Array, r: np.ndarray) -> np.ndarray:
@@ -208,28 +219,28 @@ def copies(doc_ids: pa.Array, r: np.ndarray) -> np.ndarray:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_tokens, the posteriors, rate and copies of every document."""
     members = materialise(posteriors(docs, train(docs, labels, sample)), "posteriors")
-    steps = solve(members, targets)
+    push = solve(members, targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = rates(np.stack([np.asarray(c, float) for c in batch.columns[2:]], axis=1), steps)
+            r = rates(np.stack([np.asarray(c, float) for c in batch.columns[2:]], axis=1), push)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(copies(batch.column(0), r))], names=[*batch.schema.names, "rate", "copies"])
 
     return members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double, copies long")
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, relative: bool = False, sample: int = SAMPLE) -> DataFrame:
     """The documents with all their columns, each as often as its copies say."""
     model = train(docs, labels, sample)
-    steps = solve(materialise(posteriors(docs, model), "posteriors"), targets)
+    push = solve(materialise(posteriors(docs, model), "posteriors"), targets, relative)
     at, own = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(at)):
+            for a, b in chunks(batch.column(at), CHUNK):
                 part = batch.slice(a, b - a)
                 owner, bucket, _ = features(part.column(at))
-                r = rates(model.posteriors(model.scores(owner, bucket, b - a)), steps)
+                r = rates(model.posteriors(model.scores(owner, bucket, b - a)), push)
                 many = copies(part.column(own), r)
                 yield from (part.take(pa.array(np.repeat(np.arange(b - a), many)[x : x + 4096])) for x in range(0, max(1, int(many.sum())), 4096))
 
