@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
                 crc = [zlib.crc32(end, c) if z else c for c, z in zip(crc, last.tolist())]
                 columns = [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(rank)]
                 if keep_ids:
-                    columns.append(pa.array([[*ids[x:y].tolist(), *[end_id] * z] for x, y, z in zip(lo, hi, last)], pa.list_(pa.int32())))
+                    columns.append(pa.array([[*ids[x:y].tolist(), *[end_id] * int(z)] for x, y, z in zip(lo, hi, last)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
 
     NAMES = [*(x.split()[0] for x in PIECES.split(", ")), "ids"]

@@ -23,6 +23,8 @@ RANGES, DRAWN, TOGETHER = 16, 32, 1 / 64
 
 def _range(at: Column, cuts: list[int]) -> Column:
     """How many of the ascending ``cuts`` are at or below the value: a search in two steps."""
+    if not cuts:
+        return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     below = lambda a, x: F.size(F.filter(a, lambda c: c <= x))
