@@ -48,8 +48,8 @@ SAMPLE = 20_000
 STEPS, MISS = 40, 1e-7
 #: What a rate's distance from 1 costs against a domain's miss: a domain that hardly any document belongs to does not move the others.
 RESTRAINT = 1e-3
-#: Standard deviations by which a feature must stand out in a domain to count.
-SURE = 4.0
+#: Standard deviations by which a feature must stand out in a domain to count, and documents that must show it.
+SURE, SEEN = 4.0, 5
 FIT_STEPS, RIDGE = 600, 1e-4
 EDGES = re.compile(r"^\W+|\W+$")
 
@@ -105,9 +105,11 @@ class Classifier:
         of = np.bincount(classes[counting], minlength=len(DOMAINS))
         overall = (shown.sum(1, keepdims=True) + 0.5) / (of.sum() + 1)
         rate = (shown + 4 * overall) / (of + 4)  # few documents of a domain: drawn towards all
-        spread = 1 / (shown + 4 * overall) + 1 / (shown.sum(1, keepdims=True) - shown + 4 * overall)
-        ratios = np.log(rate / overall)
-        self.ratios = np.where((of > 0) & (np.abs(ratios) > SURE * np.sqrt(spread)), ratios, 0.0)
+        every, n, rest = shown.sum(1, keepdims=True), of.sum(), np.maximum(1, of.sum() - of)
+        apart = np.abs(shown / np.maximum(1, of) - (every - shown) / rest)  # of the shares that show a feature
+        spread = every / n * (1 - every / n) * (1 / np.maximum(1, of) + 1 / rest)
+        sure = (apart > SURE * np.sqrt(spread)) & (every >= SEEN) & (of > 0) & (of < n)
+        self.ratios = np.where(sure, np.log(rate / overall), 0.0)
         x = self.scores(owner, bucket, len(documents))[~counting]
         if not len(x):
             x, y = self.scores(owner, bucket, len(documents)), classes
