@@ -9,6 +9,10 @@ from tidegraph.llm.queries import BYTE_VOCABULARY, vocabulary
 from tidegraph.llm.storage import materialise
 
 
+#: Part of its tokens that each domain keeps, against that of good documents.
+KEEP = {"poor": 0.5, "poor_toxic": 0.1, "good": 1.0, "good_toxic": 0.1}
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
@@ -21,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is taken as often as the mix of domains asks for."""
-    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), KEEP, relative=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

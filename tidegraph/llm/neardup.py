@@ -3,12 +3,13 @@
 Texts with the same words (lower case) are one class, named by its least doc_id. Each class gets
 ``SEEDS`` SimHash fingerprints of its distinct words, which stay within ``RADIUS`` bits of those of
 near copies; the covering tables of ``simhash`` bring every such pair into a common bucket. Pairs from
-the buckets are checked exactly: the Jaccard similarity of their sets of ``words``-word shingles must
+the buckets whose sketches (SimHash of the shingles, 256 bits) allow the similarity are checked exactly: the Jaccard similarity of their sets of ``words``-word shingles must
 reach ``similarity``. Checked pairs form components, and the least doc_id of each stays.
 
-A bucket of up to ``SMALL`` classes gives all its pairs within the radius. A larger one gives those of
-its ``PIVOTS`` members nearest to the bucket's majority fingerprint with every member, and goes on
-with the members that none of them reached.
+A bucket gives all its pairs within the radius, unless they are over ``DENSE`` for each member, as in a
+large group of copies of one text: then its members are covered by stars, around those that share most
+buckets with others (so that all tables choose the same centres), and each star gives its centre's pairs. (In such a bucket a pair that no centre is part of
+is linked only through its centres; this is the one place where two similar texts can stay apart.)
 
 Defined results: rows that share a doc_id are one document, with the text that sorts first, and one of
 them stays; rows with a null doc_id stay as they are; null and empty texts are copies of each other; an
@@ -17,6 +18,7 @@ empty table stays empty; columns pass through as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,16 @@ from .simhash import _signed, components, covering_masks, shingle_hashes
 from .storage import materialise
 from .tokenize import chunks
 
-SEEDS, RADIUS, SMALL, PIVOTS = 2, 6, 32, 8
+SEEDS, RADIUS = 2, 6
+#: Words of 64 bits in the sketch of a text's shingles; texts with fewer shingles than ``FEW`` have none.
+SKETCH, FEW = 4, 32
+#: Pairs for each member from which on a bucket is covered by stars, and fingerprints compared with all others at once.
+DENSE, ROWS = 16, 64
 #: Ids up to which the documents to check are picked by a broadcast (8 bytes each) and not by a shuffle.
 BROADCAST_IDS = 200_000
 AT_ONCE = 1 << 17
+#: Bytes of text handled at once: a worker holds some 30 times as much.
+CHUNK = 2 << 20
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -42,8 +50,22 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_prints(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """A key of the word sequence of each text, and its fingerprints (a column for each seed)."""
+def _prints(hashes: np.ndarray, owner: np.ndarray, n: int, seeds: range) -> np.ndarray:
+    """SimHash fingerprints of ``n`` sets of hashes, sorted by owner: a column for each seed."""
+    sizes, out = np.bincount(owner, minlength=n), np.zeros((n, len(seeds)), np.uint64)
+    for column, seed in enumerate(seeds):
+        counts = np.zeros((n, 64), np.int64)
+        for a in range(0, len(hashes), AT_ONCE):
+            own = owner[a : a + AT_ONCE]
+            bits = np.unpackbits(_mixed(hashes[a : a + AT_ONCE], seed).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            counts[own[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+        out[:, column] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+    return out
+
+
+def word_prints(texts: pa.Array, words: int) -> tuple[list[bytes], np.ndarray]:
+    """A key of the word sequence of each text; its fingerprints of distinct words, and its sketch of shingles (0: few)."""
     import xxhash
 
     n = len(texts)
@@ -54,31 +76,36 @@ def word_prints(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
     coded, owner = flat.filter(has).dictionary_encode(), owner.filter(has).to_numpy().astype(np.int64)
     hashed = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64)
     pair = np.unique(owner << 32 | coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    owner, words = pair >> 32, hashed[pair & (1 << 32) - 1]
-    sizes, prints = np.bincount(owner, minlength=n), np.zeros((n, SEEDS), np.uint64)
-    for s in range(SEEDS):
-        counts = np.zeros((n, 64), np.int64)
-        for a in range(0, len(words), AT_ONCE):
-            own = owner[a : a + AT_ONCE]
-            bits = np.unpackbits(_mixed(words[a : a + AT_ONCE], s + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            counts[own[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-        prints[:, s] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
-    return [xxhash.xxh128_digest(b" ".join(t.split())) for t in lowered], prints
+    prints = _prints(hashed[pair & (1 << 32) - 1], pair >> 32, n, range(1, SEEDS + 1))
+    shingles = [shingle_hashes(t, words, 42) for t in lowered]
+    sizes = np.array([len(h) for h in shingles], np.int64)
+    sketch = _prints(np.concatenate([*shingles, np.empty(0, np.uint64)]), np.repeat(np.arange(n), sizes), n, range(11, 11 + SKETCH))
+    sketch[sizes < FEW] = 0
+    return [xxhash.xxh128_digest(b" ".join(t.split())) for t in lowered], np.concatenate([prints, sketch], axis=1)
+
+
+PRINTS = [*(f"f{s}" for s in range(SEEDS)), *(f"k{s}" for s in range(SKETCH))]
 
 
-def printed(docs: DataFrame) -> DataFrame:
-    """doc_id, the key of its words and its fingerprints f0, f1, ..."""
-    names = ["doc_id", "key", *(f"f{s}" for s in range(SEEDS))]
+def printed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, the key of its words, its fingerprints f0, f1, ... and its sketch k0, k1, ..."""
+    names = ["doc_id", "key", *PRINTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
-                keys, prints = word_prints(batch.column(1).slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), *(pa.array(prints[:, s].view(np.int64)) for s in range(SEEDS))], names=names)
+            for a, b in chunks(batch.column(1), CHUNK):
+                keys, prints = word_prints(batch.column(1).slice(a, b - a), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"f{s} long" for s in range(SEEDS)))
+    return rows.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{c} long" for c in PRINTS))
+
+
+def sketch_bits(similarity: float) -> int:
+    """Bits in which the sketches of two sets this similar differ at most (two and a half deviations over the mean)."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * SKETCH
+    return math.ceil(bits * angle + 2.5 * math.sqrt(bits * angle * (1 - angle)))
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,56 +125,78 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, before = (bucket[-1],), None if keep[-1] else batch.slice(len(bucket) - 1)
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of ids within the radius, from rows (bucket, id, fp) in the order of their bucket."""
-    held = np.empty((3, 0), np.int64)
-    for batch in batches:
-        rows = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
-        cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-        whole = cut[-1] if len(cut) else 0
-        yield _pairs(rows[:, :whole], np.concatenate([[0], cut]))
-        held = rows[:, whole:]
-    yield _pairs(held, np.array([0, held.shape[1]]))
-
-
-def _pairs(rows: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        ids, at = np.unique(rows[1, a:b], return_index=True)
-        fps = rows[2, a:b].view(np.uint64)[at]
-        if len(ids) <= SMALL:
-            i, j = np.triu_indices(len(ids), 1)
-            close = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
-            left.append(ids[i[close]])
-            right.append(ids[j[close]])
-            continue
-        rest = np.arange(len(ids))
-        while len(rest) > 1:
-            bits = np.unpackbits(fps[rest].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-            middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(rest)).view("<u8")[0]
-            far = np.bitwise_count(fps[rest] ^ middle)
-            reached = np.zeros(len(rest), bool)
-            for p in np.argsort(far, kind="stable")[:PIVOTS]:
-                close = np.bitwise_count(fps[rest] ^ fps[rest[p]]) <= RADIUS
-                reached |= close  # at least the pivot itself
-                close[p] = False
-                left.append(np.minimum(ids[rest[p]], ids[rest[close]]))
-                right.append(np.maximum(ids[rest[p]], ids[rest[close]]))
-            rest = rest[~reached]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes (rep, f0, f1, ...) whose fingerprints of some seed lie within the radius."""
+def _bucket_pairs(within: int):
+    """Pairs (a, b) of ids from rows (bucket, id, fp, shared, sketch...) in the order of their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4 + SKETCH, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
+            cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
+            whole = cut[-1] if len(cut) else 0
+            yield _pairs(rows[:, :whole], np.concatenate([[0], cut]), within)
+            held = rows[:, whole:]
+        yield _pairs(held, np.array([0, held.shape[1]]), within)
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray, within: int) -> np.ndarray:
+    """Whether rows may be as similar as asked, by fingerprint and sketch. An empty sketch says nothing."""
+    near = np.bitwise_count(x[2] ^ y[2]) <= RADIUS
+    apart = np.bitwise_count(x[4:] ^ y[4:]).sum(axis=0, dtype=np.int64)
+    return near & ((apart <= within) | ~x[4:].any(axis=0) | ~y[4:].any(axis=0))
+
+
+def _pairs(rows: np.ndarray, cut: np.ndarray, within: int) -> pa.RecordBatch:
+    sizes, rows = np.diff(cut), rows.view(np.uint64)
+    two = cut[:-1][sizes == 2]  # most buckets: all at once
+    two = two[_alike(rows[:, two], rows[:, two + 1], within)] if len(two) else two
+    left, right = [rows[1, two]], [rows[1, two + 1] if len(two) else rows[1, :0]]
+    for a, n in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        for x, y in _close(rows[:, a : a + n], within):
+            left.append(x)
+            right.append(y)
+    x, y = (np.concatenate(side).view(np.int64) for side in (left, right))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _close(rows: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs that may be similar if they are few for the number of members; else those of a cover by stars."""
+    m, ids, found, total = rows.shape[1], rows[1], [], 0
+    for a in range(0, m, ROWS):
+        i, j = np.nonzero(np.bitwise_count(rows[2, a : a + ROWS, None] ^ rows[2, None, a:]) <= RADIUS)
+        i, j = a + i[i < j], a + j[i < j]
+        alike = _alike(rows[:, i], rows[:, j], within)
+        found.append((ids[i[alike]], ids[j[alike]]))
+        total += len(found[-1][0])
+        if total > DENSE * m:
+            break
+    else:
+        yield from found
+        return
+    open_ = np.ones(m, bool)
+    for p in np.lexsort((ids, -rows[3].view(np.int64))):
+        if open_[p]:
+            near = _alike(rows, np.repeat(rows[:, p : p + 1], m, axis=1), within)
+            open_ &= ~near
+            open_[p] = near[p] = False
+            yield np.full(int(near.sum()), ids[p]), ids[near]
+
+
+def candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of classes (rep, prints) whose fingerprints of some seed, and whose sketches, are near enough."""
     masks = covering_masks(64, RADIUS)
     # the bucket of a table: its number and what its mask keeps, in one hash
     buckets = F.array(*(F.xxhash64(F.lit(s * len(masks) + i), F.col(f"f{s}").bitwiseAND(F.lit(_signed(m)))) for s in range(SEEDS) for i, m in enumerate(masks)))
     dealt = classes.select(F.explode(buckets).alias("bucket"), F.col("rep").alias("id")).repartition("bucket").sortWithinPartitions("bucket")
     crowded = materialise(dealt.mapInArrow(_crowded, "bucket long, id long"), "crowded")
+    shared = crowded.groupBy("id").agg(F.count("*").alias("shared"))
+    members = materialise(classes.withColumnRenamed("rep", "id").join(shared, "id"), "members")
     found = None
     for s in range(SEEDS):
-        own = crowded.join(classes.select(F.col("rep").alias("id"), F.col(f"f{s}").alias("fp")), "id").select("bucket", "id", "fp").repartition("bucket").sortWithinPartitions("bucket")
-        part = own.mapInArrow(_bucket_pairs, "a long, b long")
+        own = crowded.join(members.select("id", F.col(f"f{s}").alias("fp"), "shared", *PRINTS[SEEDS:]), "id").select("bucket", "id", "fp", "shared", *PRINTS[SEEDS:]).repartition("bucket").sortWithinPartitions("bucket")
+        part = own.mapInArrow(_bucket_pairs(sketch_bits(similarity)), "a long, b long")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -157,7 +206,7 @@ def checked(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(1), CHUNK):
                 sets = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower(), words, 42)).view(np.int64) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], names=["doc_id", "shingles"])
@@ -176,15 +225,15 @@ def checked(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with all their columns, one of each group of near copies."""
-    prints = materialise(printed(docs), "word-prints")
-    named = prints.groupBy("doc_id").agg(F.min_by(F.struct("key", *(f"f{s}" for s in range(SEEDS))), "key").alias("p"), F.count("*").alias("n"))
+    prints = materialise(printed(docs, words), "word-prints")
+    named = prints.groupBy("doc_id").agg(F.min_by(F.struct("key", *PRINTS), "key").alias("p"), F.count("*").alias("n"))
     named = materialise(named.select("doc_id", "n", "p.*"), "named")
-    classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(f"f{s}").alias(f"f{s}") for s in range(SEEDS))).drop("key"), "classes")
-    pairs = materialise(candidates(classes), "pairs")
+    classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in PRINTS)).drop("key"), "classes")
+    pairs = materialise(candidates(classes, similarity), "pairs")
     roots = components(checked(pairs, docs, words, similarity))
     kept = classes.select(F.col("rep").alias("kept_id")).join(roots.where("node <> root").select(F.col("node").alias("kept_id")), "kept_id", "left_anti")
     kept = materialise(kept, "kept")
-    stay = docs.where("doc_id is not null").join(kept, docs.doc_id == kept.kept_id, "left_semi")
+    stay = docs.where("doc_id is not null").join(kept.hint("merge"), docs.doc_id == kept.kept_id, "left_semi")  # the same at every size
     if not named.where("n > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null"))
