@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Pieces whose ids a worker remembers (about 150 bytes each); further ones are encoded anew in each chunk.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -145,8 +145,8 @@ class BulkEncoder:
         flat, begin, lens = self._pieces(values)
         per = lens[codes]
         ends = np.concatenate([[0], np.cumsum(per)])
-        gather = np.repeat(begin[codes] - ends[:-1], per)
-        gather += np.arange(len(gather))
+        gather = np.repeat((begin[codes] - ends[:-1]).astype(np.int32), per)  # a chunk has far fewer than 2^31 ids
+        gather += np.arange(len(gather), dtype=np.int32)
         ids, offsets = flat[gather], ends[first]
         return self._whole(texts, ids, offsets, bad) if len(bad) else (ids, offsets)
 
