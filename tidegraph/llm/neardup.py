@@ -1,15 +1,24 @@
-"""One document of each group of near copies, found by covering SimHash and checked on shingles.
-
-Texts with the same words (lower case) are one class, named by its least doc_id. Each class gets
-``SEEDS`` SimHash fingerprints of its distinct words, which stay within ``RADIUS`` bits of those of
-near copies; the covering tables of ``simhash`` bring every such pair into a common bucket. Pairs from
-the buckets whose sketches (SimHash of the shingles, 256 bits) allow the similarity are checked exactly: the Jaccard similarity of their sets of ``words``-word shingles must
-reach ``similarity``. Checked pairs form components, and the least doc_id of each stays.
-
-A bucket gives all its pairs within the radius, unless they are over ``DENSE`` for each member, as in a
-large group of copies of one text: then its members are covered by stars, around those that share most
-buckets with others (so that all tables choose the same centres), and each star gives its centre's pairs. (In such a bucket a pair that no centre is part of
-is linked only through its centres; this is the one place where two similar texts can stay apart.)
+"""One document of each group of near copies, by an exact set similarity join of shingles.
+
+Texts with the same words (lower case) are one class, named by its least doc_id. Two classes are near
+copies if the Jaccard similarity of their sets of ``words``-word shingles (64-bit hashes) reaches
+``similarity``. Near copies form components, and the least doc_id of each stays.
+
+Candidates. Let x have n shingles, a of them not in y, and y b others, with similarity t or more. Then
+a <= (1 - t) n and b <= (n - a) / t - n. In the order of the hashes of both, the a + b differing ones
+leave a + b + 1 gaps, so that of the first a + b + 2 common ones two stand side by side: they are
+neighbours in x and in y, within the first 2 a + b + 2 <= 2 (1 - t) n + 2 of x. So the pairs of
+neighbours among that many first shingles are the keys of a text, and all near copies share a key (for
+t of 0.8 or more and two shingles or more; otherwise single shingles are keys, of which the first
+a + 1 <= (1 - t) n + 1 do). Nothing about candidates is left to chance.
+
+Pairs of a bucket (the texts with a key) are checked in rounds of growing numbers of centres: the first
+member with all others, the next 16 with all others, the next 256, and so on. What a round links is one
+component from then on, and pairs within one component are passed over; a bucket ends when all its
+members are in one component or have been centres. So a large group of copies of one text takes about
+one pair for each member, and yet each pair that shares a key is checked, or is in one component, or is
+ruled out by ``_bounded``. That bound is exact too: counts of the hashes in ``CELLS`` cells cannot differ
+by more than the sets do.
 
 Defined results: rows that share a doc_id are one document, with the text that sorts first, and one of
 them stays; rows with a null doc_id stay as they are; null and empty texts are copies of each other; an
@@ -18,94 +27,97 @@ empty table stays empty; columns pass through as they are.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .simhash import _signed, components, covering_masks, shingle_hashes
+from .simhash import components, shingle_hashes
 from .storage import materialise
 from .tokenize import chunks
 
-SEEDS, RADIUS = 2, 6
-#: Words of 64 bits in the sketch of a text's shingles; texts with fewer shingles than ``FEW`` have none.
-SKETCH, FEW = 4, 32
-#: Pairs for each member from which on a bucket is covered by stars, and fingerprints compared with all others at once.
-DENSE, ROWS = 16, 64
-#: Ids up to which the documents to check are picked by a broadcast (8 bytes each) and not by a shuffle.
-BROADCAST_IDS = 200_000
-AT_ONCE = 1 << 17
+#: Cells of the counts that rule pairs out, a byte each.
+CELLS = 128
+#: Centres of the first round; each later one has ``MORE`` times as many.
+FIRST, MORE = 1, 16
+#: Pairs of a bucket compared at once.
+AT_ONCE = 1 << 16
 #: Bytes of text handled at once: a worker holds some 30 times as much.
 CHUNK = 2 << 20
+SLACK = 1e-9
 
 
-def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Further 64-bit hashes from hashes (the finishing steps of splitmix)."""
-    x = h + np.uint64(seed * 0x9E3779B97F4A7C15 & 2**64 - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finishing steps of splitmix."""
+    x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _prints(hashes: np.ndarray, owner: np.ndarray, n: int, seeds: range) -> np.ndarray:
-    """SimHash fingerprints of ``n`` sets of hashes, sorted by owner: a column for each seed."""
-    sizes, out = np.bincount(owner, minlength=n), np.zeros((n, len(seeds)), np.uint64)
-    for column, seed in enumerate(seeds):
-        counts = np.zeros((n, 64), np.int64)
-        for a in range(0, len(hashes), AT_ONCE):
-            own = owner[a : a + AT_ONCE]
-            bits = np.unpackbits(_mixed(hashes[a : a + AT_ONCE], seed).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            counts[own[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-        out[:, column] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
-    return out
+def keys(found: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a text by its distinct shingle hashes in order. Sets as similar as asked share one."""
+    n = len(found)
+    if similarity < 0.8:
+        return found[: int((1 - similarity) * n + SLACK) + 1]
+    if n < 2:
+        return found
+    head = found[: int(2 * (1 - similarity) * n + SLACK) + 2]
+    return _mixed(_mixed(head[:-1]) + head[1:])
 
 
-def word_prints(texts: pa.Array, words: int) -> tuple[list[bytes], np.ndarray]:
-    """A key of the word sequence of each text; its fingerprints of distinct words, and its sketch of shingles (0: few)."""
-    import xxhash
+def counted(found: np.ndarray) -> bytes:
+    """How many hashes lie in each cell, up to 255."""
+    return np.minimum(np.bincount((found >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
 
-    n = len(texts)
-    lowered = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts.to_pylist()]
-    split = pc.ascii_split_whitespace(pa.array(lowered, pa.large_binary()).cast(pa.large_string()))
-    flat, owner = split.flatten(), pc.list_parent_indices(split)
-    has = pc.greater(pc.binary_length(flat), 0)
-    coded, owner = flat.filter(has).dictionary_encode(), owner.filter(has).to_numpy().astype(np.int64)
-    hashed = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64)
-    pair = np.unique(owner << 32 | coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    prints = _prints(hashed[pair & (1 << 32) - 1], pair >> 32, n, range(1, SEEDS + 1))
-    shingles = [shingle_hashes(t, words, 42) for t in lowered]
-    sizes = np.array([len(h) for h in shingles], np.int64)
-    sketch = _prints(np.concatenate([*shingles, np.empty(0, np.uint64)]), np.repeat(np.arange(n), sizes), n, range(11, 11 + SKETCH))
-    sketch[sizes < FEW] = 0
-    return [xxhash.xxh128_digest(b" ".join(t.split())) for t in lowered], np.concatenate([prints, sketch], axis=1)
 
-
-PRINTS = [*(f"f{s}" for s in range(SEEDS)), *(f"k{s}" for s in range(SKETCH))]
+def _bounded(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with cells x, y and sizes n, m can be as similar as asked."""
+    apart = np.maximum(np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+    return apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
 
 
 def printed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the key of its words, its fingerprints f0, f1, ... and its sketch k0, k1, ..."""
-    names = ["doc_id", "key", *PRINTS]
+    """doc_id, the key of its words, and its distinct shingle hashes in (unsigned) order."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1), CHUNK):
-                keys, prints = word_prints(batch.column(1).slice(a, b - a), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T)], names=names)
+                texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(1).slice(a, b - a).to_pylist()]
+                sets = [np.unique(shingle_hashes(t, words, 42)).view(np.int64) for t in texts]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([xxhash.xxh128_digest(b" ".join(t.split())) for t in texts], pa.binary()), shingles], names=["doc_id", "key", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{c} long" for c in PRINTS))
+    return rows.mapInArrow(run, "doc_id long, key binary, shingles array<long>")
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64), np.asarray(column.offsets)
+    return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+
 
+def _keyed(similarity: float):
+    """Rows (bucket, id) for each key of rows (id, shingles)."""
 
-def sketch_bits(similarity: float) -> int:
-    """Bits in which the sketches of two sets this similar differ at most (two and a half deviations over the mean)."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * SKETCH
-    return math.ceil(bits * angle + 2.5 * math.sqrt(bits * angle * (1 - angle)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                own = [keys(x, similarity) for x in _sets(part.column(1))]
+                ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(ids)], names=["bucket", "id"])
+
+    return run
+
+
+def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n, cells) of rows (id, shingles)."""
+    for batch in batches:
+        sets = _sets(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([counted(x) for x in sets], pa.binary())], names=["id", "n", "cells"])
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,112 +137,141 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, before = (bucket[-1],), None if keep[-1] else batch.slice(len(bucket) - 1)
 
 
-def _bucket_pairs(within: int):
-    """Pairs (a, b) of ids from rows (bucket, id, fp, shared, sketch...) in the order of their bucket."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets from rows in the order of their bucket, with where each bucket begins and the end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        bucket = np.asarray(batch.column(0))
+        cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        first = bool(held) and np.asarray(held[-1].column(0))[-1] != bucket[0]
+        whole = int(cut[-1]) if len(cut) else 0
+        if len(cut) or first:
+            yield pa.Table.from_batches([*held, batch.slice(0, whole)]).combine_chunks()
+            held = []
+        held.append(batch.slice(whole))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _starts(bucket: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the first ``FIRST`` members with all others, from rows (bucket, id) in order."""
+    for table in _by_bucket(batches):
+        bucket, ids = (np.asarray(c) for c in table.columns)
+        cut = _starts(bucket)
+        left, right = [], []
+        for k in range(FIRST):
+            centre = np.minimum(cut[:-1] + k, cut[1:] - 1)
+            left.append(np.repeat(ids[centre], np.diff(cut)))
+            right.append(ids)
+        a, b = np.concatenate(left), np.concatenate(right)
+        own = a != b
+        a, b = a[own], b[own]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _open(start: int):
+    """Of rows (bucket, id, root) in order those in buckets of several components with members left to be centres; with ``place``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((4 + SKETCH, 0), np.int64)
-        for batch in batches:
-            rows = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
-            cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-            whole = cut[-1] if len(cut) else 0
-            yield _pairs(rows[:, :whole], np.concatenate([[0], cut]), within)
-            held = rows[:, whole:]
-        yield _pairs(held, np.array([0, held.shape[1]]), within)
+        for table in _by_bucket(batches):
+            bucket, ids, root = (np.asarray(c) for c in table.columns)
+            cut = _starts(bucket)
+            sizes = np.diff(cut)
+            several = np.minimum.reduceat(root, cut[:-1]) != np.maximum.reduceat(root, cut[:-1])
+            keep = np.repeat(several & (sizes > start + 1), sizes)
+            place = np.arange(len(bucket)) - np.repeat(cut[:-1], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, ids, root, place)], names=["bucket", "id", "root", "place"])
 
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray, within: int) -> np.ndarray:
-    """Whether rows may be as similar as asked, by fingerprint and sketch. An empty sketch says nothing."""
-    near = np.bitwise_count(x[2] ^ y[2]) <= RADIUS
-    apart = np.bitwise_count(x[4:] ^ y[4:]).sum(axis=0, dtype=np.int64)
-    return near & ((apart <= within) | ~x[4:].any(axis=0) | ~y[4:].any(axis=0))
-
-
-def _pairs(rows: np.ndarray, cut: np.ndarray, within: int) -> pa.RecordBatch:
-    sizes, rows = np.diff(cut), rows.view(np.uint64)
-    two = cut[:-1][sizes == 2]  # most buckets: all at once
-    two = two[_alike(rows[:, two], rows[:, two + 1], within)] if len(two) else two
-    left, right = [rows[1, two]], [rows[1, two + 1] if len(two) else rows[1, :0]]
-    for a, n in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        for x, y in _close(rows[:, a : a + n], within):
-            left.append(x)
-            right.append(y)
-    x, y = (np.concatenate(side).view(np.int64) for side in (left, right))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-
-def _close(rows: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs that may be similar if they are few for the number of members; else those of a cover by stars."""
-    m, ids, found, total = rows.shape[1], rows[1], [], 0
-    for a in range(0, m, ROWS):
-        i, j = np.nonzero(np.bitwise_count(rows[2, a : a + ROWS, None] ^ rows[2, None, a:]) <= RADIUS)
-        i, j = a + i[i < j], a + j[i < j]
-        alike = _alike(rows[:, i], rows[:, j], within)
-        found.append((ids[i[alike]], ids[j[alike]]))
-        total += len(found[-1][0])
-        if total > DENSE * m:
-            break
-    else:
-        yield from found
-        return
-    open_ = np.ones(m, bool)
-    for p in np.lexsort((ids, -rows[3].view(np.int64))):
-        if open_[p]:
-            near = _alike(rows, np.repeat(rows[:, p : p + 1], m, axis=1), within)
-            open_ &= ~near
-            open_[p] = near[p] = False
-            yield np.full(int(near.sum()), ids[p]), ids[near]
-
-
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of classes (rep, prints) whose fingerprints of some seed, and whose sketches, are near enough."""
-    masks = covering_masks(64, RADIUS)
-    # the bucket of a table: its number and what its mask keeps, in one hash
-    buckets = F.array(*(F.xxhash64(F.lit(s * len(masks) + i), F.col(f"f{s}").bitwiseAND(F.lit(_signed(m)))) for s in range(SEEDS) for i, m in enumerate(masks)))
-    dealt = classes.select(F.explode(buckets).alias("bucket"), F.col("rep").alias("id")).repartition("bucket").sortWithinPartitions("bucket")
-    crowded = materialise(dealt.mapInArrow(_crowded, "bucket long, id long"), "crowded")
-    shared = crowded.groupBy("id").agg(F.count("*").alias("shared"))
-    members = materialise(classes.withColumnRenamed("rep", "id").join(shared, "id"), "members")
-    found = None
-    for s in range(SEEDS):
-        own = crowded.join(members.select("id", F.col(f"f{s}").alias("fp"), "shared", *PRINTS[SEEDS:]), "id").select("bucket", "id", "fp", "shared", *PRINTS[SEEDS:]).repartition("bucket").sortWithinPartitions("bucket")
-        part = own.mapInArrow(_bucket_pairs(sketch_bits(similarity)), "a long, b long")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+def _later(start: int, stop: int, similarity: float):
+    """Pairs (a, b) of members start to stop with all later ones of other components, where the bound lets them be alike."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_bucket(batches):
+            bucket, place, ids, root, n = (np.asarray(c) for c in table.columns[:5])
+            cells = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, CELLS)
+            cut = _starts(bucket)
+            for a, end in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                for i in range(a + start, min(a + stop, end - 1)):
+                    for at in range(i + 1, end, AT_ONCE):
+                        other = np.arange(at, min(at + AT_ONCE, end))
+                        other = other[root[other] != root[i]]
+                        if len(other):
+                            other = other[_bounded(cells[i][None].astype(np.int16), cells[other], n[i], n[other], similarity)]
+                        if len(other):
+                            x, y = np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])
+                            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-def checked(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are as similar as asked."""
+    return run
+
+
+def _possible(similarity: float):
+    """Of rows (a, b, n, cells, m, others) those that the bound lets be alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1), CHUNK):
-                sets = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower(), words, 42)).view(np.int64) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], names=["doc_id", "shingles"])
-
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-    sets = materialise(sets, "shingles")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (3, 5))
+                ok = _bounded(x, y, np.asarray(part.column(2)), np.asarray(part.column(4)), similarity)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (id, shingles) are as similar as asked."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     # |both| >= similarity * |either|, without dividing; two texts without words are alike
     either = F.size("sa") + F.size("sb") - both
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * either).select("a", "b")
 
 
+def links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) with the same components as all pairs of (id, shingles) that are as similar as asked."""
+    dealt = sets.mapInArrow(_keyed(similarity), "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
+    crowded = materialise(dealt.mapInArrow(_crowded, "bucket long, id long"), "crowded")
+    cells = materialise(sets.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "shingles").mapInArrow(_celled, "id long, n long, cells binary"), "cells")
+    ordered = lambda rows, *more: rows.repartition("bucket").sortWithinPartitions("bucket", *more)
+    pairs = ordered(crowded, "id").mapInArrow(_stars, "a long, b long").distinct()
+    one = cells.select(F.col("id").alias("a"), "n", "cells")
+    two = cells.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("cells").alias("others"))
+    pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "cells", "m", "others").mapInArrow(_possible(similarity), "a long, b long")
+    tried = materialise(pairs, "pairs")
+    found = materialise(checked(tried, sets, similarity), "near")
+    start, stop, rest = FIRST, FIRST + MORE, crowded
+    while True:
+        roots = components(found)
+        rooted = rest.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        rest = materialise(ordered(rooted, "id").mapInArrow(_open(start), "bucket long, id long, root long, place long"), "open")
+        if rest.isEmpty():
+            return found
+        rows = ordered(rest.join(cells, "id").select("bucket", "place", "id", "root", "n", "cells"), "place")
+        pairs = rows.mapInArrow(_later(start, stop, similarity), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(materialise(checked(pairs, sets, similarity), "near"))
+        start, stop = stop, stop + (stop - start) * MORE
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with all their columns, one of each group of near copies."""
     prints = materialise(printed(docs, words), "word-prints")
-    named = prints.groupBy("doc_id").agg(F.min_by(F.struct("key", *PRINTS), "key").alias("p"), F.count("*").alias("n"))
-    named = materialise(named.select("doc_id", "n", "p.*"), "named")
-    classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in PRINTS)).drop("key"), "classes")
-    pairs = materialise(candidates(classes, similarity), "pairs")
-    roots = components(checked(pairs, docs, words, similarity))
+    named = materialise(prints.groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n")), "named")
+    classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    sets = prints.join(classes, (prints.doc_id == classes.rep) & (prints.key == classes.key), "left_semi").select(F.col("doc_id").alias("id"), "shingles")
+    if not named.where("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["id"])
+    roots = components(links(materialise(sets, "shingles"), similarity))
     kept = classes.select(F.col("rep").alias("kept_id")).join(roots.where("node <> root").select(F.col("node").alias("kept_id")), "kept_id", "left_anti")
     kept = materialise(kept, "kept")
     stay = docs.where("doc_id is not null").join(kept.hint("merge"), docs.doc_id == kept.kept_id, "left_semi")  # the same at every size
