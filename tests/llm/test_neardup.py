@@ -85,3 +85,32 @@ def test_similar_sets_share_a_key(similarity):
         x, y = np.unique(pool[:n]), np.unique(pool[a:])
         if n - a >= similarity * (n + b):
             assert set(neardup.keys(x, similarity).tolist()) & set(neardup.keys(y, similarity).tolist())
+
+
+def test_variants_that_only_resemble_each_other(spark):
+    """In a large group of copies of C, X and Y are like each other but not like C."""
+    base = words(300)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 80):
+        copy = list(base)
+        copy[rng.randrange(300)] = words(1)[0]
+        rows.append((i, " ".join(copy)))
+    for pair in range(6):
+        x = base[: 300 - 40] + words(40)
+        y = x[: 300 - 15] + words(15)
+        rows += [(100 + 2 * pair, " ".join(x)), (101 + 2 * pair, " ".join(y))]
+    centre, x, y = (shingles(rows[i][1]) for i in (0, -2, -1))
+    assert jaccard(x, y) >= 0.8 > max(jaccard(x, centre), jaccard(y, centre))
+    assert expected(rows) == [0, *range(100, 112, 2)]
+    assert kept(spark, rows) == expected(rows)
+
+
+def test_many_centres(spark, monkeypatch):
+    """Each text that shares a passage with all others is compared with all of them."""
+    monkeypatch.setattr(neardup, "MORE", 3)
+    common, rows = words(60), []
+    for i in range(0, 80, 2):
+        own = words(60)
+        rows += [(i, " ".join(common + own)), (i + 1, " ".join(common + own + words(12)))]
+    assert expected(rows) == list(range(0, 80, 2))
+    assert kept(spark, rows) == expected(rows)
