@@ -114,3 +114,14 @@ def test_many_centres(spark, monkeypatch):
         rows += [(i, " ".join(common + own)), (i + 1, " ".join(common + own + words(12)))]
     assert expected(rows) == list(range(0, 80, 2))
     assert kept(spark, rows) == expected(rows)
+
+
+@pytest.mark.parametrize("part, times", [(20, 9), (20, 6), (10, 5)])
+def test_repeats_do_not_count(spark, part, times):
+    rows = []
+    for pair in range(20):
+        base = words(200)
+        passage = base[: 200 // part]
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(passage * times + base[200 // part :]))]
+    assert expected(rows) == [2 * i for i in range(20)]
+    assert kept(spark, rows) == expected(rows)
