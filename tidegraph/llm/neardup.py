@@ -41,6 +41,8 @@ from .tokenize import chunks
 CELLS = 128
 #: Centres of the first round; each later one has ``MORE`` times as many.
 FIRST, MORE = 1, 16
+#: Texts up to which those to read are picked by a broadcast (24 bytes each) and not by a shuffle.
+BROADCAST_IDS = 200_000
 #: Pairs of a bucket compared at once.
 AT_ONCE = 1 << 16
 #: Bytes of text handled at once: a worker holds some 30 times as much.
@@ -77,47 +79,62 @@ def _bounded(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similar
     return apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
 
 
-def printed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the key of its words, and its distinct shingle hashes in (unsigned) order."""
+def _key(text: bytes) -> bytes:
     import xxhash
 
+    return xxhash.xxh128_digest(b" ".join(text.split()))
+
+
+def _lowered(texts: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts.to_pylist()]
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    """doc_id and the key of its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1), CHUNK):
-                texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(1).slice(a, b - a).to_pylist()]
-                sets = [np.unique(shingle_hashes(t, words, 42)).view(np.int64) for t in texts]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([xxhash.xxh128_digest(b" ".join(t.split())) for t in texts], pa.binary()), shingles], names=["doc_id", "key", "shingles"])
+                found = [_key(t) for t in _lowered(batch.column(1).slice(a, b - a))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["doc_id", "key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, key binary, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, key binary")
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64), np.asarray(column.offsets)
-    return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+def shingled(docs: DataFrame, classes: DataFrame, words: int, made, schema: str) -> DataFrame:
+    """``made(ids, sets)`` of the distinct shingle hashes (in order) of the texts of ``classes`` (rep, key), a batch each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch.column(1), CHUNK):
+                ids, texts, own = (batch.column(c).slice(a, b - a) for c in range(3))
+                lowered = _lowered(texts)
+                keep = [i for i, (t, k) in enumerate(zip(lowered, own.to_pylist())) if _key(t) == k]  # a doc_id may have more texts
+                yield made(ids.take(pa.array(keep, pa.int64())), [np.unique(shingle_hashes(lowered[i], words, 42)) for i in keep])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    few = classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(classes) if few else classes, "rep").select("rep", "text", "key").mapInArrow(run, schema)
 
 
 def _keyed(similarity: float):
-    """Rows (bucket, id) for each key of rows (id, shingles)."""
+    def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        own = [keys(x, similarity) for x in sets]
+        buckets = np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(np.asarray(ids), [len(x) for x in own]))], names=["bucket", "id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                own = [keys(x, similarity) for x in _sets(part.column(1))]
-                ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(ids)], names=["bucket", "id"])
+    return made
 
-    return run
 
+def _celled(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([counted(x) for x in sets], pa.binary())], names=["id", "n", "cells"])
 
-def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, cells) of rows (id, shingles)."""
-    for batch in batches:
-        sets = _sets(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([counted(x) for x in sets], pa.binary())], names=["id", "n", "cells"])
+
+def _listed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
+    flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "shingles"])
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,27 +244,30 @@ def _possible(similarity: float):
     return run
 
 
-def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets (id, shingles) are as similar as asked."""
+def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``classes`` whose shingle sets are as similar as asked."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes, "rep"), "paired")
+    sets = materialise(shingled(docs, ids, words, _listed, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    # |both| >= similarity * |either|, without dividing; two texts without words are alike
+    # |both| >= similarity * |either|, without dividing
     either = F.size("sa") + F.size("sb") - both
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * either).select("a", "b")
 
 
-def links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with the same components as all pairs of (id, shingles) that are as similar as asked."""
-    dealt = sets.mapInArrow(_keyed(similarity), "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
-    crowded = materialise(dealt.mapInArrow(_crowded, "bucket long, id long"), "crowded")
-    cells = materialise(sets.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "shingles").mapInArrow(_celled, "id long, n long, cells binary"), "cells")
+def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) with the same components as all pairs of ``classes`` (rep, key) that are as similar as asked."""
     ordered = lambda rows, *more: rows.repartition("bucket").sortWithinPartitions("bucket", *more)
+    dealt = ordered(shingled(docs, classes, words, _keyed(similarity), "bucket long, id long"), "id")
+    crowded = materialise(dealt.mapInArrow(_crowded, "bucket long, id long"), "crowded")
+    meeting = materialise(crowded.select(F.col("id").alias("rep")).distinct().join(classes, "rep"), "meeting")
+    cells = materialise(shingled(docs, meeting, words, _celled, "id long, n long, cells binary").dropDuplicates(["id"]), "cells")
     pairs = ordered(crowded, "id").mapInArrow(_stars, "a long, b long").distinct()
     one = cells.select(F.col("id").alias("a"), "n", "cells")
     two = cells.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("cells").alias("others"))
     pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "cells", "m", "others").mapInArrow(_possible(similarity), "a long, b long")
     tried = materialise(pairs, "pairs")
-    found = materialise(checked(tried, sets, similarity), "near")
+    found = materialise(checked(tried, docs, classes, words, similarity), "near")
     start, stop, rest = FIRST, FIRST + MORE, crowded
     while True:
         roots = components(found)
@@ -259,19 +279,15 @@ def links(sets: DataFrame, similarity: float) -> DataFrame:
         pairs = rows.mapInArrow(_later(start, stop, similarity), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tried = tried.unionByName(pairs)
-        found = found.unionByName(materialise(checked(pairs, sets, similarity), "near"))
+        found = found.unionByName(materialise(checked(pairs, docs, classes, words, similarity), "near"))
         start, stop = stop, stop + (stop - start) * MORE
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with all their columns, one of each group of near copies."""
-    prints = materialise(printed(docs, words), "word-prints")
-    named = materialise(prints.groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n")), "named")
+    named = materialise(printed(docs).groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n")), "named")
     classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = prints.join(classes, (prints.doc_id == classes.rep) & (prints.key == classes.key), "left_semi").select(F.col("doc_id").alias("id"), "shingles")
-    if not named.where("n > 1").isEmpty():
-        sets = sets.dropDuplicates(["id"])
-    roots = components(links(materialise(sets, "shingles"), similarity))
+    roots = components(links(docs, classes, words, similarity))
     kept = classes.select(F.col("rep").alias("kept_id")).join(roots.where("node <> root").select(F.col("node").alias("kept_id")), "kept_id", "left_anti")
     kept = materialise(kept, "kept")
     stay = docs.where("doc_id is not null").join(kept.hint("merge"), docs.doc_id == kept.kept_id, "left_semi")  # the same at every size
