@@ -332,6 +332,15 @@ def test_links_have_the_components_of_all_pairs(spark, hot, monkeypatch):
         assert found.get(f, f) == prints[label[k]][0]
 
 
+def test_hot_bucket_over_many_batches():
+    fps = np.arange(24, dtype=np.int64)
+    rows = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int64)), pa.array(np.zeros(len(x), np.int64)), pa.array(x)], names=["t", "key", "fp"]) for x in (fps[:10], fps[10:20], fps[20:])]
+    other = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([1, 1]), pa.array([100, 101])], names=["t", "key", "fp"])
+    out = [r for batch in simhash._bucket_links(1, 5)(iter([*rows, other])) for r in batch.to_pylist()]
+    assert sorted(r["a"] for r in out if r["b"] is None) == fps.tolist()
+    assert [(r["a"], r["b"]) for r in out if r["b"] is not None] == [(100, 101)]
+
+
 def test_near_duplicate_stage(spark, docs, none):
     rows = listed(docs.where("doc_id is not null"))
     for copy in range(40):  # a group over the size of a small bucket

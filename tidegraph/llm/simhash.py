@@ -126,17 +126,17 @@ def _bucket_links(radius: int, hot: int | None):
                 same = ((rows[0] == passing[0]) & (rows[1] == passing[1])).cumprod().sum()
                 yield passed(rows[:, :same])
                 rows = rows[:, same:]
+                if not rows.shape[1]:
+                    continue  # the bucket may go on in the next batch
+                passing = None
             cut = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
             whole = cut[-1] if len(cut) else 0
             yield from linked(rows[:, :whole], np.concatenate([[0], cut]))
             held = rows[:, whole:]
-            passing = None if not held.shape[1] else passing
             if hot and held.shape[1] > hot:
                 passing = tuple(held[:2, 0])
                 yield passed(held)
                 held = held[:, :0]
-            elif held.shape[1]:
-                passing = None
         if held.shape[1]:
             yield from linked(held, np.array([0, held.shape[1]]))
 
