@@ -461,6 +461,17 @@ def test_site_style_tree(spark):
     assert sitestyle.extract(df.where("false")).count() == 0
 
 
+def test_site_style_tree_within_the_main_element(spark):
+    box = "<div class=box><p>Get our letter every week</p></div>"
+    rows = [(i, f"http://h.org/{i}", page(f"<main><article><div class=body><p>{prose(30)}</p></div>{box}</article></main>")) for i in range(12)]
+    rows += [(30 + i, f"http://same.org/{i}", page("<article><p>all alike</p></article>")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitestyle.extract(df).collect()}
+    for i, _, html in rows[:12]:
+        assert got[i] == re.findall(r"<p>([^<]*)</p>", html)[0]
+    assert all(got[30 + i] == "all alike" for i in range(6))
+
+
 # 9 -------------------------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,8 @@ it, over the pages that show it). As in a site style tree, importance is
 so what all pages repeat alike is worth nothing and what each page has for itself is worth one.
 Branches under ``LEAST`` go, once ``PAGES`` pages have shown them. What the markup itself says comes
 before: elements and names that stand for page furniture go on every page, and an article or main
-element is kept with what is in it, and alone if it has text. Should all else go, the unmarked
-branches stay.
+element is kept, alone if it has text; of the branches in it those under ``LEAST`` go as elsewhere.
+Should all else go, the unmarked branches (of the article or main element) stay.
 
 Defined results: a null or empty html has an empty text; a page without url or alone on its host is read by
 its markup alone; repeated rows stay, a row each, and count as pages; an empty table gives an empty result.
@@ -242,13 +242,12 @@ def importance(rows: DataFrame) -> DataFrame:
 def main_text(html: str, removed) -> str:
     """The text of a page. ``removed(path)`` tells branches that its host does without."""
     found = list(blocks(parse(html)))
-    own = [text for node, text in found if _in_main(node)]
-    if own:
-        return "\n".join(own)
+    if own := [(node, text) for node, text in found if _in_main(node)]:
+        found = own
     gone: dict[str, bool] = {}
 
     def dropped(node: Node | None) -> bool:
-        if node is None or node.parent is None:
+        if node is None or node.parent is None or own and (node.kind == "main" or not _in_main(node)):
             return False
         if node.path not in gone:
             gone[node.path] = removed(node.path) or dropped(node.parent)
