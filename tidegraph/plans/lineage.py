@@ -1,7 +1,8 @@
 """Keeping the results of an iteration as tables in the shared folder.
 
 What a superstep leaves is written once and read back, so plans stay short and any executor may be
-lost: nothing but files is needed to go on.
+lost: nothing but files is needed to go on. Tables that a later one has replaced are dropped as soon as
+that one is whole, the others when the driver ends.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; set here only where it is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = kept.get() if kept.isDefined() else None
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -31,16 +35,21 @@ def work_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tidegraph-{label}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(clean_up)
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clean_up() -> None:
+    """Removes the working files of this driver. Frames that read them end with it."""
     while _made:
-        spark, path = _made.pop()
+        path, spark = _made.popitem()
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         except Exception:  # the session may have ended; the cluster's own retention then applies
             continue
 
@@ -49,7 +58,9 @@ def cut(df: DataFrame, label: str = "state") -> DataFrame:
     """Writes ``df`` and reads it back: what follows starts from the files."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
 def counted(df: DataFrame, label: str = "state") -> tuple[DataFrame, int]:
@@ -59,6 +70,14 @@ def counted(df: DataFrame, label: str = "state") -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def drop(*frames: DataFrame) -> None:
+    """Removes the tables of frames that ``cut`` made and that nothing reads any more. Other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_kept_at", None)
+        if path in _made:
+            remove(_made.pop(path), path)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
