@@ -5,8 +5,10 @@ over the votes of all documents (their patterns, at most 3^rules rows whatever t
 how often each rule is right on good and on poor documents and how many are good; the verdict is the
 posterior probability that a document is good, given its votes. No labels are used.
 
-Defined results: a null or empty text has no words; rules that need words abstain on it; repeated
-rows are judged each; a null ``doc_id`` is kept; an empty table gives an empty result.
+Defined results: a null or empty text has no words; rules that need words abstain on it; a text of any
+length is counted whole (one over ``CHUNK`` bytes alone); repeated rows are judged each; a tie (a
+posterior right at the limit) keeps a document; a null ``doc_id`` is kept; an empty table gives an empty
+result; extra columns, whatever their names, are ignored by ``judge`` and passed on by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .storage import materialise
+from .storage import materialise, unused
 from .tokenize import chunks
 
 #: Bytes of text handled at once: a worker holds some 30 times as much.
@@ -60,9 +62,13 @@ def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], dict[str, np.ndarra
     first = np.concatenate([[0], np.cumsum(words)])
     # windows of three words, found twice or more in a text: equal keys lie together, in the order of the texts
     covered = np.zeros(len(doc) + 1, np.int64)
+    wide = len(values)
     if len(doc) > 2:
         at = np.flatnonzero(doc[:-2] == doc[2:])
-        key = (codes[at] << 42) | (codes[at + 1] << 21) | codes[at + 2]
+        pair = codes[at] * wide + codes[at + 1]
+        if wide >= 1 << 21:  # the place of a pair among all, so that a third word still fits into 63 bits
+            pair = np.unique(pair, return_inverse=True)[1]
+        key = pair * wide + codes[at + 2]
         order = np.argsort(key, kind="stable")
         same = (key[order[1:]] == key[order[:-1]]) & (doc[at[order[1:]]] == doc[at[order[:-1]]])
         twice = np.zeros(len(doc), bool)
@@ -71,8 +77,7 @@ def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], dict[str, np.ndarra
                 twice[at[side] + k] = True
         covered[1:] = np.cumsum(twice)
     repeats = covered[first[1:]] - covered[first[:-1]]
-    pair = np.unique(doc << 21 | codes)
-    distinct = np.bincount(pair >> 21, minlength=n)
+    distinct = np.bincount(np.unique(doc * wide + codes) // max(1, wide), minlength=n)
     word_chars, symbols, dup_lines, lines = (np.zeros(n, np.int64) for _ in range(4))
     for i, text in enumerate(texts.to_pylist()):
         raw = text.encode("utf-8", "surrogatepass")
@@ -157,29 +162,39 @@ def posterior(patterns: np.ndarray, model: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, quality (the posterior) and kept of every document."""
-    stats = materialise(measured(docs), "quality")
-    model = train(stats)
+def _odds(model: np.ndarray, votes: str) -> Column:
+    """The posterior of a row from its column of votes."""
     odds = F.lit(float(model[0, -1]))
     for j in range(len(RULES)):
-        vote, (none, good, poor) = F.element_at("votes", j + 1), (F.lit(float(x)) for x in model[:, j])
+        vote, (none, good, poor) = F.element_at(votes, j + 1), (F.lit(float(x)) for x in model[:, j])
         odds = odds + F.when(vote == 1, good).when(vote == -1, poor).otherwise(none)
+    return 1 / (1 + F.exp(-odds))
+
+
+def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, quality (the posterior) and kept of every document."""
+    stats = materialise(measured(docs), "quality")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stats.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
+    rows = stats.withColumn("base_failed", failed).withColumn("quality", _odds(train(stats), "votes"))
     return rows.select("doc_id", *COUNTS, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= least)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents with all their columns, without those that fail the base rules or the verdict."""
-    model = train(materialise(measured(docs), "quality"))
-    at = docs.columns.index("text")
+    """The documents with all their columns, without those that fail the base rules or the verdict.
+
+    Texts are read once: the votes are written beside the rows, and the verdict is an expression over them.
+    """
+    at, (cast_as, failed_as) = docs.columns.index("text"), (unused(x, docs.columns) for x in ("votes", "failed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(at), CHUNK):
-                counts, read = measure(batch.column(at).slice(a, b - a))
+                part = batch.slice(a, b - a)
+                counts, read = measure(part.column(at))
                 failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-                yield batch.slice(a, b - a).filter(pa.array(~failed & (posterior(votes(read), model) >= least)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(votes(read).tolist(), pa.list_(pa.int8())), pa.array(failed)], names=[*part.schema.names, cast_as, failed_as])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(cast_as, T.ArrayType(T.ByteType())), T.StructField(failed_as, T.BooleanType())])
+    rows = materialise(docs.mapInArrow(run, schema), "voted")
+    model = train(rows.select(F.col(cast_as).alias("votes")))
+    return rows.where(~F.col(failed_as) & (_odds(model, cast_as) >= least)).drop(cast_as, failed_as)

@@ -1,62 +1,20 @@
-"""Working files in the folder that driver and executors share."""
+"""Working files in the folder that driver and executors share: the library's own tables, and file systems."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only where it is unset on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = kept.get() if kept.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tidegraph-{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(clean_up)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+from ..plans.lineage import counted, cut as materialise, drop, remove, shared_dir, work_path
 
-def clean_up() -> None:
-    """Removes the working files of this driver. Frames that read them end with it."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended; the cluster's own retention then applies
-            continue
+__all__ = ["counted", "drop", "materialise", "open_filesystem", "remove", "shared_dir", "unused", "work_path"]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back, which also cuts its lineage."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(name: str, columns: list[str]) -> str:
+    """A name like ``name`` that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
