@@ -1,38 +1,48 @@
 """Mixing to target weights with soft membership (operator 1).
 
 The domains are the classes of the label table (quality and toxic, 0 or 1 each). A classifier fitted
-on labelled documents predicts the posterior p of every domain for every document. Rates r >= 0 (how
-often a document is taken) then make the expected tokens of the domains, sum of r * tokens * p, match
-their targets in the least-squares sense, with a small restraint on (r - 1)^2. The gradient of a rate is
-p times one number for each domain, so rates always are max(0, 1 - p * push), and the projected-gradient
-steps move the push alone; each is one pass over the documents that adds up the domains' tokens. Steps are
-taken in coordinates in which the token-weighted Gram matrix of the documents with a rate over 0 is the
-identity, so that few are needed.
-
-Targets are relative to an anchor domain whose documents get about ``anchor_rate``.
-
-The classifier is fitted on at most ``sample`` labelled documents (those of least hashed id): naive
-Bayes log ratios over the hashed words that stand out in a domain, then a multinomial logistic regression of the labels on their
-sums over held-out documents. All else covers all documents.
-
-Defined results: a null or empty text has no tokens, the prior's posteriors and a rate as any other;
-labels with a null are not used; without usable labels every posterior is 1/4 and every rate as the
-targets ask of that; repeated rows are mixed each; a null ``doc_id`` counts as 0 where copies are drawn;
-an empty table gives an empty result.
+on labelled documents predicts the posterior p of every domain for every document. Nonnegative rates r
+(how often a document is taken) then bring the expected tokens of the domains, the sum of r * tokens * p,
+to their targets in the least-squares sense, by projected gradient from rates of 1.
+
+With S the expected tokens and T the targets, the gradient of a document's rate is its tokens times
+p . M (S - T), M being the matrix that the squares are taken in. In each step every rate moves against
+its gradient (for each token) and is projected to 0 or more: r <- max(0, r - p . M (S - T)). So a step is
+told by one number for each domain, a task replays all steps for each of its documents, and one pass adds
+up S. M is the inverse Gram matrix of the documents whose rate is over 0, with which few steps suffice; when
+such a step takes less than ``GAIN`` of the squared miss away, steps go on with the Gram matrix of all
+documents, with which plain steps always converge, and with momentum. Steps end when every domain is
+within ``WITHIN`` of its target, or when ``PATIENCE`` steps got no closer: then the targets contradict
+each other on these documents, ``Rates.met`` is false, and a warning says so.
+
+Targets are relative to an anchor domain, whose tokens grow to ``anchor_rate`` times what they are.
+
+The classifier is fitted on at most ``sample`` labelled documents (rows, those of least hash): naive
+Bayes log ratios over the hashed words that stand out in a domain, then a multinomial logistic regression
+of the labels on their sums over held-out documents. All else covers all documents.
+
+Defined results: a null or empty text has no tokens, the prior's posteriors and a rate as any other; a
+text of any length is read whole (one over ``CHUNK`` bytes alone); labels with a null are not used, and a
+document with several labels counts with each; without usable labels every posterior is 1/4; repeated
+rows are mixed each, and rows with equal id and rate have the same number of copies; a null ``doc_id``
+counts as 0 where copies are drawn; an empty table gives an empty result; extra columns, whatever their
+names, are ignored by ``mix`` and passed on by ``take``.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .storage import materialise
+from .storage import materialise, unused
 from .tokenize import chunks
 
 #: Domains, as 2 * quality + toxic, and their share of the tokens that the mix asks for.
@@ -44,13 +54,17 @@ BUCKETS = 1 << 14
 CHUNK = 4 << 20
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
-#: Steps at most, and the slope (in parts of all tokens) at which they end.
-STEPS, MISS = 40, 1e-7
-#: What a rate's distance from 1 costs against a domain's miss: a domain that hardly any document belongs to does not move the others.
-RESTRAINT = 1e-3
+#: How near each domain's tokens come to their target (as a part of it, or of all tokens where it is 0).
+WITHIN = 1e-3
+#: Steps at most; the least part of the squared miss that a step of the first kind takes away; steps of the second kind that must take a hundredth.
+STEPS, GAIN, PATIENCE = 150, 0.2, 20
+#: A squared miss (of all tokens) under this is none, or of a kind that no rates can change.
+NOUGHT = 1e-14
 #: Standard deviations by which a feature must stand out in a domain to count, and documents that must show it.
 SURE, SEEN = 4.0, 5
 FIT_STEPS, RIDGE = 600, 1e-4
+#: Rows that leave ``take`` at once.
+AT_ONCE = 4096
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -134,7 +148,7 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fits the classifier on the documents of at most ``sample`` labelled ids."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality").cast("int") + F.col("toxic").cast("int")).alias("domain")).where("doc_id is not null and domain between 0 and 3")
-    drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))], names=["doc_id", "domain", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
-    found = rows.select("doc_id", "text", "domain").mapInArrow(run, "doc_id long, domain int, buckets array<int>").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
+    found = rows.select("doc_id", "text", "domain").mapInArrow(run, "doc_id long, domain int, buckets array<int>")
+    # an id may have any number of rows: of these, too, at most `sample` in all, each of at most BUCKETS numbers
+    found = found.orderBy(F.xxhash64("doc_id", "buckets"), "doc_id", "domain").limit(sample).toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("domain", "ascending")])
     lists = found.column("buckets").combine_chunks()
     at = lists.offsets.to_numpy()
     flat = lists.values.to_numpy()
@@ -165,49 +182,95 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def rates(p: np.ndarray, push: np.ndarray) -> np.ndarray:
-    """The rate of every row of posteriors: 1 less the push of its domains, projected to 0 or more."""
-    return np.maximum(0, 1 - p @ push)
+@dataclass(frozen=True)
+class Rates:
+    """The steps that lead to the rates (a number for each domain, and the momentum), the domains' expected tokens and their targets."""
 
+    steps: np.ndarray
+    have: np.ndarray
+    want: np.ndarray
+    met: bool
 
-def solve(members: DataFrame, targets: dict[str, float] = TARGETS, relative: bool = False, anchor: str = ANCHOR, anchor_rate: float = 1.05) -> np.ndarray:
-    """The push of each domain that brings the expected tokens to the targets. ``members``: n_tokens and posteriors.
+    def of(self, p: np.ndarray) -> np.ndarray:
+        """The rate of every row of posteriors."""
+        return replayed(p, self.steps)[0]
 
-    ``relative``: targets are parts of the tokens that the domains have, in place of shares of the mix.
-    """
-    n = len(DOMAINS)
 
-    def sums(push: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of the domains, and the Gram matrix of the documents whose rate is not 0."""
+def replayed(p: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of rows of posteriors after projected steps from 1, and the point that momentum carries them to."""
+    r = ahead = np.ones(len(p))
+    for *step, momentum in steps:
+        new = np.maximum(0, ahead - p @ np.array(step))
+        ahead = new + momentum * (new - r) if momentum else new
+        r = new
+    return r, ahead
+
 
+def summed(p: np.ndarray, t: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """For some documents: tokens of the domains under the rates and under those ahead, Gram matrices of the documents with a rate and of all."""
+    r, ahead = replayed(p, steps)
+    gram = lambda weight: (p.T @ (p * weight[:, None])).reshape(-1)
+    return np.concatenate([p.T @ (t * r), p.T @ (t * ahead), gram(t * (r > 0)), gram(t)])
+
+
+def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, anchor_rate: float = 1.05) -> Rates:
+    """Nonnegative rates whose expected tokens are as near to the targets as can be. ``members``: n_tokens and posteriors."""
+    n = len(DOMAINS)
+
+    def sums(steps: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(n + n * n)
+            total = np.zeros(2 * n + 2 * n * n)
             for batch in batches:
                 t, *p = (np.asarray(c, float) for c in batch.columns)
-                p = np.stack(p, axis=1)
-                r = rates(p, push)
-                total += np.concatenate([p.T @ (t * r), (p.T @ (p * (t * (r > 0))[:, None])).reshape(-1)])
+                total += summed(np.stack(p, axis=1), t, steps)
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
         parts = members.select("n_tokens", *DOMAINS).mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "s"))
         found = {r.i: r.s for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row for each number
-        both = np.array([found.get(i, 0.0) for i in range(n + n * n)])
-        return both[:n], both[n:].reshape(n, n)
+        return np.array([found.get(i, 0.0) for i in range(2 * n + 2 * n * n)])
+
+    return projected_gradient(sums, targets, anchor, anchor_rate)
+
+
+def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[str, float], anchor: str, anchor_rate: float) -> Rates:
+    """The steps to the targets. ``sums``: what ``summed`` gives over all documents."""
+    n = len(DOMAINS)
 
-    push = np.zeros(n)
-    have, gram = sums(push)
+    def passed(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        s = sums(steps)
+        return s[:n], s[n : 2 * n], s[2 * n : 2 * n + n * n].reshape(n, n), s[2 * n + n * n :].reshape(n, n)
+
+    steps = np.zeros((0, n + 1))
+    have, ahead, active, every = passed(steps)
     total = have.sum()
     if not total:
-        return push
-    parts = np.array([targets[d] for d in DOMAINS]) / targets[anchor]
-    want = parts * (have if relative else have[DOMAINS.index(anchor)]) * anchor_rate
-    for _ in range(STEPS):
-        slope = RESTRAINT * push - (have - want) / total
-        if np.abs(slope).max() <= MISS:
-            break
-        push = push - np.linalg.solve(gram / total + RESTRAINT * np.eye(n), slope)
-        have, gram = sums(push)
-    return push
+        return Rates(steps, have, have, True)
+    want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * have[DOMAINS.index(anchor)] * anchor_rate
+    room = WITHIN * np.where(want > 0, want, total)
+    inverse = lambda gram: np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True)
+    whole = inverse(every)
+    size = lambda x: float((x - want) @ whole @ (x - want)) / total**2
+    met = lambda x: bool((np.abs(x - want) <= room).all())
+    before = np.inf
+    while not met(have) and NOUGHT < size(have) < (1 - GAIN) * before:  # first kind
+        before, best = size(have), (steps, have)
+        steps = np.vstack([steps, [*(inverse(active) @ (have - want) / total), 0.0]])
+        have, ahead, active, _ = passed(steps)
+    if size(have) >= before:
+        steps, have = best
+    ahead, best, mark, since, k = have, (steps, have), size(have), 0, 0
+    while not met(best[1]) and size(best[1]) > NOUGHT and since < PATIENCE and len(steps) < STEPS:  # second kind
+        steps = np.vstack([steps, [*(whole @ (ahead - want) / total), k / (k + 3)]])
+        have, ahead, _, _ = passed(steps)
+        k, since = k + 1, since + 1
+        if met(have) or size(have) < size(best[1]):
+            best = (steps, have)
+        if size(best[1]) < 0.99 * mark:
+            mark, since = size(best[1]), 0
+    steps, have = best
+    if not met(have):
+        warnings.warn(f"the targets cannot all be met: {dict(zip(DOMAINS, want.round()))} tokens wanted, {dict(zip(DOMAINS, have.round()))} reached", stacklevel=3)
+    return Rates(steps, have, want, met(have))
 
 
 def copies(doc_ids: pa.Array, r: np.ndarray) -> np.ndarray:
@@ -218,32 +281,51 @@ def copies(doc_ids: pa.Array, r: np.ndarray) -> np.ndarray:
     return (np.floor(r) + (draw < r - np.floor(r))).astype(np.int64)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_tokens, the posteriors, rate and copies of every document."""
+def _mixed(p: list[pa.Array], doc_ids: pa.Array, found: Rates) -> tuple[np.ndarray, np.ndarray]:
+    r = found.of(np.stack([np.asarray(c, float) for c in p], axis=1))
+    return r, copies(doc_ids, r)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05) -> DataFrame:
+    """doc_id, n_tokens, the posteriors, rate, copies, and whether the targets are met, of every document."""
     members = materialise(posteriors(docs, train(docs, labels, sample)), "posteriors")
-    push = solve(members, targets)
+    found = solve(members, targets, anchor_rate=anchor_rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = rates(np.stack([np.asarray(c, float) for c in batch.columns[2:]], axis=1), push)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(copies(batch.column(0), r))], names=[*batch.schema.names, "rate", "copies"])
+            r, many = _mixed(batch.columns[2:], batch.column(0), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(many)], names=[*batch.schema.names, "rate", "copies"])
 
-    return members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double, copies long")
+    rows = members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double, copies long")
+    return rows.withColumn("targets_met", F.lit(found.met))
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, relative: bool = False, sample: int = SAMPLE) -> DataFrame:
-    """The documents with all their columns, each as often as its copies say."""
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05) -> DataFrame:
+    """The documents with all their columns, each as often as its copies say.
+
+    Texts are read once: the posteriors are written beside the rows, and the passes of ``solve`` read these alone.
+    """
     model = train(docs, labels, sample)
-    push = solve(materialise(posteriors(docs, model), "posteriors"), targets, relative)
-    at, own = docs.columns.index("text"), docs.columns.index("doc_id")
+    at, own, width = docs.columns.index("text"), docs.columns.index("doc_id"), len(docs.columns)
+    extra = [unused(x, docs.columns) for x in ("n_tokens", *DOMAINS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(at), CHUNK):
                 part = batch.slice(a, b - a)
-                owner, bucket, _ = features(part.column(at))
-                r = rates(model.posteriors(model.scores(owner, bucket, b - a)), push)
-                many = copies(part.column(own), r)
-                yield from (part.take(pa.array(np.repeat(np.arange(b - a), many)[x : x + 4096])) for x in range(0, max(1, int(many.sum())), 4096))
+                owner, bucket, words = features(part.column(at))
+                p = model.posteriors(model.scores(owner, bucket, b - a))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, pa.int64()), *map(pa.array, np.ascontiguousarray(p.T))], names=[*part.schema.names, *extra])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in extra[1:])])
+    scored = materialise(docs.mapInArrow(score, schema), "scored")
+    found = solve(scored.select(*(F.col(x).alias(y) for x, y in zip(extra, ("n_tokens", *DOMAINS)))), targets, anchor_rate=anchor_rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, many = _mixed(batch.columns[width + 1 :], batch.column(own), found)
+            part = batch.select(range(width))
+            row = np.repeat(np.arange(batch.num_rows), many)
+            yield from (part.take(pa.array(row[x : x + AT_ONCE])) for x in range(0, len(row), AT_ONCE))
 
-    return docs.mapInArrow(run, docs.schema)
+    return scored.mapInArrow(run, docs.schema)

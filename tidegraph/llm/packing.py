@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .storage import materialise
-from .tokenize import chunks, encoder
+from .tokenize import CHUNK_BYTES, REMEMBERED, chunks, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 #: One pattern of a plan: lengths with copies, and the number of bins made so.
@@ -75,16 +75,17 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return plan
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, at_once: int = CHUNK_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """Encodes whole texts, ends each with ``end_id`` and cuts those over ``capacity``; the first piece is the short one.
 
-    ``part`` and ``rank`` number the pieces of one length within a task. ``keep_ids`` adds the ids.
+    ``part`` and ``rank`` number the pieces of one length within a task. ``keep_ids`` adds the ids. A worker
+    holds some 30 times ``at_once`` bytes of text, and 150 bytes for each of ``remembered`` word pieces.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen, end = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.uint32(end_id).tobytes()
+        enc, part, seen, end = encoder(vocabulary, remembered), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.uint32(end_id).tobytes()
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(1), at_once):
                 ids, at = enc.encode(batch.column(1).slice(a, b - a))
                 sizes = np.diff(at) + 1
                 full = (sizes - 1) // capacity
@@ -147,9 +148,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.mapInArrow(place, schema).drop("rank")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, at_once: int = CHUNK_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(token_pieces(docs, vocabulary, capacity, end_id, keep_ids), "pieces"), capacity)
+    return pack(materialise(token_pieces(docs, vocabulary, capacity, end_id, keep_ids, at_once, remembered), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

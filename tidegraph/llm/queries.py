@@ -26,7 +26,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import DOMAINS, mix
 
     mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "n_tokens", *(F.round(d, 9).alias(f"p_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"), "copies")
+    return mixed.select("doc_id", "n_tokens", *(F.round(d, 9).alias(f"p_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"), "copies", "targets_met")
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,10 +53,10 @@ SETTLED = re.compile(r"[!-@\[-`{-~\xdf-\xf6\xf8-\xff]*").fullmatch
 _encoders: dict[str, "BulkEncoder"] = {}
 
 
-def encoder(path: str) -> "BulkEncoder":
+def encoder(path: str, remembered: int = REMEMBERED) -> "BulkEncoder":
     """The encoder of this process for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = BulkEncoder(path)
+    if path not in _encoders or _encoders[path].remembered != remembered:
+        _encoders[path] = BulkEncoder(path, remembered)
     return _encoders[path]
 
 
