@@ -9,8 +9,11 @@ from tidegraph.llm.queries import BYTE_VOCABULARY, vocabulary
 from tidegraph.llm.storage import materialise
 
 
-#: Part of its tokens that each domain keeps, against that of good documents.
-KEEP = {"poor": 0.5, "poor_toxic": 0.1, "good": 1.0, "good_toxic": 0.1}
+#: Target shares of the domains' tokens in the mix, and how much the good ones grow to reach them: their documents are taken once or more.
+SHARES = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.925, "good_toxic": 0.02}
+GROWTH = 1.25
+#: Bytes of text and word pieces that a packing worker holds at once: stages before it have left their share of memory behind.
+AT_ONCE, REMEMBERED = 4 << 20, 300_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is taken as often as the mix of domains asks for."""
-    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), KEEP, relative=True)
+    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, anchor_rate=GROWTH)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
-    rows = packing.pack_documents(docs, vocabulary(BYTE_VOCABULARY), capacity=1024, end_id=2)
+    rows = packing.pack_documents(docs, vocabulary(BYTE_VOCABULARY), capacity=1024, end_id=2, at_once=AT_ONCE, remembered=REMEMBERED)
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
