@@ -99,12 +99,12 @@ def test_rates_meet_targets_that_can_be_met(spark):
         p, tokens = g.dirichlet(np.full(4, g.choice([0.1, 0.3, 1.0])), 400), g.integers(1, 900, 400).astype(float)
         some = p.T @ (tokens * g.uniform(0, 2, 400) * (g.random(400) < 0.8))  # what some rates give
         targets = dict(zip(mixing.DOMAINS, some / some.sum()))
-        found = mixing.projected_gradient(lambda steps: mixing.summed(p, tokens, steps), targets, "good", 1.0)
+        found = mixing.projected_gradient(lambda steps: mixing.summed(p, tokens, steps), targets, "good", 1.0, most=100)
         r = found.of(p)
         assert found.met and (r >= 0).all()
         assert (np.abs(p.T @ (tokens * r) - found.want) <= 1.001 * mixing.WITHIN * found.want).all()
     frame = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(tokens, p)], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
-    assert np.abs(mixing.solve(frame, targets, anchor_rate=1.0).of(p) - r).max() < 1e-6
+    assert np.abs(mixing.solve(frame, targets, anchor_rate=1.0, most=100).of(p) - r).max() < 1e-6
 
 
 def test_rates_come_as_near_as_can_be():
@@ -114,7 +114,7 @@ def test_rates_come_as_near_as_can_be():
         p, tokens = g.dirichlet(np.full(4, 2.0), 300), g.integers(1, 900, 300).astype(float)
         targets = dict(zip(mixing.DOMAINS, (0.0, 0.0, 0.99, 0.01)))
         with pytest.warns(UserWarning, match="cannot all be met"):
-            found = mixing.projected_gradient(lambda steps: mixing.summed(p, tokens, steps), targets, "good", 1.05)
+            found = mixing.projected_gradient(lambda steps: mixing.summed(p, tokens, steps), targets, "good", 1.05, most=100)
         assert not found.met
         total = tokens.sum()
         whole = np.linalg.inv(p.T @ (p * tokens[:, None]) / total)

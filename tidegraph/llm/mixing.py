@@ -15,7 +15,9 @@ documents, with which plain steps always converge, and with momentum. Steps end
 within ``WITHIN`` of its target, or when ``PATIENCE`` steps got no closer: then the targets contradict
 each other on these documents, ``Rates.met`` is false, and a warning says so.
 
-Targets are relative to an anchor domain, whose tokens grow to ``anchor_rate`` times what they are.
+Targets are relative to an anchor domain, whose tokens grow to ``anchor_rate`` times what they are. No
+domain grows to more than ``most`` times what it has: the target of one that hardly any document belongs
+to is lowered to that (``Rates.want`` tells the targets that hold), else others would pay for it.
 
 The classifier is fitted on at most ``sample`` labelled documents (rows, those of least hash): naive
 Bayes log ratios over the hashed words that stand out in a domain, then a multinomial logistic regression
@@ -54,6 +56,8 @@ BUCKETS = 1 << 14
 CHUNK = 4 << 20
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
+#: How much a domain may grow.
+MOST = 4.0
 #: How near each domain's tokens come to their target (as a part of it, or of all tokens where it is 0).
 WITHIN = 1e-3
 #: Steps at most; the least part of the squared miss that a step of the first kind takes away; steps of the second kind that must take a hundredth.
@@ -213,7 +217,7 @@ def summed(p: np.ndarray, t: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.concatenate([p.T @ (t * r), p.T @ (t * ahead), gram(t * (r > 0)), gram(t)])
 
 
-def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, anchor_rate: float = 1.05) -> Rates:
+def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, anchor_rate: float = 1.05, most: float = MOST) -> Rates:
     """Nonnegative rates whose expected tokens are as near to the targets as can be. ``members``: n_tokens and posteriors."""
     n = len(DOMAINS)
 
@@ -229,10 +233,10 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str =
         found = {r.i: r.s for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row for each number
         return np.array([found.get(i, 0.0) for i in range(2 * n + 2 * n * n)])
 
-    return projected_gradient(sums, targets, anchor, anchor_rate)
+    return projected_gradient(sums, targets, anchor, anchor_rate, most)
 
 
-def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[str, float], anchor: str, anchor_rate: float) -> Rates:
+def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[str, float], anchor: str, anchor_rate: float, most: float = MOST) -> Rates:
     """The steps to the targets. ``sums``: what ``summed`` gives over all documents."""
     n = len(DOMAINS)
 
@@ -246,6 +250,7 @@ def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[s
     if not total:
         return Rates(steps, have, have, True)
     want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * have[DOMAINS.index(anchor)] * anchor_rate
+    want = np.minimum(want, most * have)
     room = WITHIN * np.where(want > 0, want, total)
     inverse = lambda gram: np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True)
     whole = inverse(every)
@@ -286,10 +291,10 @@ def _mixed(p: list[pa.Array], doc_ids: pa.Array, found: Rates) -> tuple[np.ndarr
     return r, copies(doc_ids, r)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05, most: float = MOST) -> DataFrame:
     """doc_id, n_tokens, the posteriors, rate, copies, and whether the targets are met, of every document."""
     members = materialise(posteriors(docs, train(docs, labels, sample)), "posteriors")
-    found = solve(members, targets, anchor_rate=anchor_rate)
+    found = solve(members, targets, anchor_rate=anchor_rate, most=most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +305,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return rows.withColumn("targets_met", F.lit(found.met))
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05, most: float = MOST) -> DataFrame:
     """The documents with all their columns, each as often as its copies say.
 
     Texts are read once: the posteriors are written beside the rows, and the passes of ``solve`` read these alone.
@@ -319,7 +324,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
 
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in extra[1:])])
     scored = materialise(docs.mapInArrow(score, schema), "scored")
-    found = solve(scored.select(*(F.col(x).alias(y) for x, y in zip(extra, ("n_tokens", *DOMAINS)))), targets, anchor_rate=anchor_rate)
+    found = solve(scored.select(*(F.col(x).alias(y) for x, y in zip(extra, ("n_tokens", *DOMAINS)))), targets, anchor_rate=anchor_rate, most=most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
