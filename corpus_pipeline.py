@@ -9,7 +9,7 @@ from tidegraph.llm.queries import BYTE_VOCABULARY, vocabulary
 from tidegraph.llm.storage import materialise
 
 
-#: Target shares of the domains' tokens in the mix, and how much the good ones grow to reach them: their documents are taken once or more.
+#: Target shares of the domains' tokens in the mix, and how much the good ones grow to reach them (their documents are taken once or more); no domain grows more.
 SHARES = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.925, "good_toxic": 0.02}
 GROWTH = 1.25
 #: Bytes of text and word pieces that a packing worker holds at once: stages before it have left their share of memory behind.
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is taken as often as the mix of domains asks for."""
-    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, anchor_rate=GROWTH)
+    return mixing.take(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, anchor_rate=GROWTH, most=GROWTH)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
