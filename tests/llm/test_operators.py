@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import licenses, mixing, neardup, packing, quality, sharding, simhash, simple8b, sitestyle, tokenize, warc, winnowing
+from tidegraph.llm import licenses, mixing, neardup, packing, quality, sharding, simhash, simple8b, tokenize, warc, winnowing
 from tidegraph.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY, vocabulary
 
 rng = random.Random(3)
@@ -454,51 +454,6 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, vocabulary(BYTE_VOCABULARY)).count() == 0
 
 
-# 8 -------------------------------------------------------------------------------------------------------
-
-
-def page(body, title="t"):
-    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var a='</p><p>x';</script></head><body>{body}</body></html>"
-
-
-def test_main_text():
-    none = lambda path: False
-    cases = [
-        ("", ""), ("just text", "just text"), ("<p>a &amp; b&nbsp;&#233;<p>c <b>d</b>e", "a & b é\nc de"),
-        (page("<nav><a>menu</a></nav><article><h1>Head</h1><p><b>one\n two<br><p>three</article><footer>f</footer>"), "Head\none two\nthree"),
-        (page("<div class='ad'>buy</div><div id=main-content><p>x<aside>no</aside>y</div><div class='comments-list'><p>c</div>"), "x\ny"),
-        (page("<article><p>a</p><form>f</form><section class='comments'>r</section><table><tr><td>1<td>2</table><ul><li>p<li>q</ul></article><p>outside"), "a\n1\n2\np\nq"),
-        (page("<header>site</header><div role=navigation>n</div><div hidden>h</div><div style='display: none'>s</div><p>t <span class=ad>buy</span>u"), "t u"),
-        ("<p>unclosed <a href='x>y'>link</a> <!-- no --> end<script>z", "unclosed link end"),
-    ]
-    for html, text in cases:
-        assert sitestyle.main_text(html, none) == text, html
-
-
-def test_site_style_tree(spark):
-    rows = [(i, f"http://h.org/{i}", page(f"<div class=top>Welcome to our site</div><div class=body><p>{prose(30)}</p><p>{prose(30)}</p></div><div class=tail>All our pages</div>")) for i in range(12)]
-    rows += [(20, "http://alone.org/", page("<div class=top>Only</div><div class=body><p>here</p></div>")), (21, None, None), (None, "http://h.org/x", ""), (22, "http://[bad", "<p>t")]
-    rows += [(30 + i, f"http://same.org/{i}", page("<div>all alike</div>")) for i in range(6)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, node string")
-    got = {r.page_id: r for r in sitestyle.extract(df).collect()}
-    for i, _, html in rows[:12]:
-        assert got[i].text == "\n".join(re.findall(r"<p>([^<]*)</p>", html))
-    assert (got[20].text, got[21].text, got[None].text, got[22].text, got[30].text) == ("Only\nhere", "", "", "t", "all alike")
-    assert all(r.n_chars == len(r.text) for r in got.values())
-    assert sitestyle.extract(df.where("false")).count() == 0
-
-
-def test_site_style_tree_within_the_main_element(spark):
-    box = "<div class=box><p>Get our letter every week</p></div>"
-    rows = [(i, f"http://h.org/{i}", page(f"<main><article><div class=body><p>{prose(30)}</p></div>{box}</article></main>")) for i in range(12)]
-    rows += [(30 + i, f"http://same.org/{i}", page("<article><p>all alike</p></article>")) for i in range(6)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in sitestyle.extract(df).collect()}
-    for i, _, html in rows[:12]:
-        assert got[i] == re.findall(r"<p>([^<]*)</p>", html)[0]
-    assert all(got[30 + i] == "all alike" for i in range(6))
-
-
 # 9 -------------------------------------------------------------------------------------------------------
 
 
