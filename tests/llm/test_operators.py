@@ -199,7 +199,7 @@ def test_winnowing_edited(docs, none):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "y" * 1500
-    pages = [(1, "http://a/%0A", big), (2, "http://b", big), (9, None, big), (None, "u", big), (3, "", "short"), (4, "x\ny", "short"), (5, "c", None), (6, "d", "é" * 600), (7, "e", "é" * 600), (7, "e", "é" * 600)]
+    pages = [(1, "http://a/%0A%25", big), (2, "http://b", big), (9, None, big), (None, "u", big), (3, "", "short"), (4, "x\ny", "short"), (5, "c", None), (6, "d", "é" * 600), (7, "e", "é" * 600), (7, "e", "é" * 600)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
     index = warc.write_archives(df, f"file://{tmp_path}/w")
     got = warc.read_records(index, f"file://{tmp_path}/w").collect()
@@ -215,6 +215,11 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if top is None or top == i else ("revisit", top))
         assert r.payload == (raw if r.record_type == "response" else None)
+    texts = [gzip.decompress((tmp_path / "w" / r.file).read_bytes()[r.offset : r.offset + r.length]) for r in index.collect()]
+    names = [re.search(rb"WARC-Record-ID: (\S+)", x)[1] for x in texts]
+    assert len(set(names)) == len(pages)  # repeated rows too
+    assert any(b"WARC-Target-URI: http://a/%0A%25\r\n" in x for x in texts) and any(b"WARC-Target-URI: x%0Ay\r\n" in x for x in texts)
+    assert sorted((r.page_id or 0, r.url or "") for r in index.collect()) == sorted((i or 0, u or "") for i, u, _ in pages)
     some = warc.read_records(index.where("page_id in (2, 6)"), f"file://{tmp_path}/w").collect()
     assert sorted(r.page_id for r in some) == [2, 6]
     row = index.where("page_id = 9").first()
@@ -226,6 +231,17 @@ def test_warc_round_trip(spark, tmp_path):
         warc.parse(text.replace(b"yyy", b"yyz"))
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK", 5000)
+    hot = [(7, "http://h/", "<p>" + "z" * 3000)] * 200 + [(i, f"http://h/{i}", f"<p>{i}" + prose(300)) for i in range(200)]
+    df = spark.createDataFrame(hot, "page_id long, url string, html string")
+    index = warc.write_archives(df, f"file://{tmp_path}/m")
+    read = warc.read_records(index, f"file://{tmp_path}/m", payloads=False)
+    assert read.rdd.getNumPartitions() >= index.agg(F.sum("length")).first()[0] // 5000
+    got = collections.Counter((r.page_id, r.record_type) for r in read.collect())
+    assert got == collections.Counter((i, "response") for i, _, _ in hot)
+
+
 def test_ranges_are_coalesced():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 30, 5), ("a", 10**9, 7), ("b", 0, 3)]
     assert [(f, a, b, len(own)) for f, a, b, own in warc.ranges(rows)] == [("a", 0, 35, 3), ("a", 10**9, 10**9 + 7, 1), ("b", 0, 3, 1)]

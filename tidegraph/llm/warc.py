@@ -8,9 +8,14 @@ sorted, and ranges that lie close together are fetched by one read.
 Of records with equal payloads of at least ``least`` bytes, the one with the largest id is a response
 and the others are revisits that refer to it; their block keeps the headers, with the payload's length.
 
-Defined results: a null payload is empty; a null url is written as an empty one and read as null; repeated
+A record's id is its own even where rows repeat; pages are named by a field of their own. A url stands in
+its header as it is, but for line ends, which no header can hold: these are percent-encoded there, and the
+exact url follows in a field of its own (as it does in the index).
+
+Defined results: a null payload is empty; a null url has no header and is read as null; repeated
 rows (same id, same payload) that hold the largest id are responses each; a null id is never referred
-to and revisits a record that has an id; an empty table gives no archive and no row.
+to and revisits a record that has an id; payloads of any length are one record, read whole by one task;
+an empty table gives no archive and no row; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,40 +36,47 @@ INDEX = "page_id long, url string, record_type string, payload_digest string, pa
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Gaps up to this many bytes are read over, and no read spans more, unless one record does.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Bytes of archive that a reading task takes.
+TASK = 16 << 20
 #: Fixed value of the WARC 1.1 standard.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(number: int | None, salt: str) -> str:
-    return f"<urn:tidegraph:{'null-' + salt if number is None else number}>"
+#: Fields of our own: pages by their ids, and the exact url where its header had to change it.
+PAGE, REFERS, EXACT = "Page-ID", "Refers-To-Page-ID", "Target-URI-Base64"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool, date: str, salt: str) -> bytes:
-    """One WARC record, not compressed. A revisit's block has the headers alone."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, there: str | None, date: str, name: uuid.UUID) -> bytes:
+    """One WARC record, not compressed. A revisit (with ``refers_to`` and the url there) has the headers alone in its block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, salt)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_one_line(url)}", "Content-Type: application/http; msgtype=response"]
-    head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
-    if revisit:
-        head += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: {_record_id(refers_to, salt)}"]
-    block = http if revisit else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name.urn}>", f"WARC-Date: {date}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {one_line(url)}")
+        if one_line(url) != url:
+            head.append(f"{EXACT}: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
+    head += ["Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()]
+    if page_id is not None:
+        head.append(f"{PAGE}: {page_id}")
+    if refers_to is not None:
+        head += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To-Date: {date}", f"{REFERS}: {refers_to}"]
+        head += [] if there is None else [f"WARC-Refers-To-Target-URI: {one_line(there)}"]
+    block = http + payload if refers_to is None else http
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _one_line(url: str | None) -> str:
-    """A url for a header: line ends and % itself where they would be unclear are percent-encoded."""
-    return "" if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") or "%"
-
-
-def _as_given(field: str) -> str | None:
-    return None if not field else "" if field == "%" else field.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def one_line(url: str) -> str:
+    """A url for a header: line ends are percent-encoded, all else stays."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def parse(data: bytes) -> dict:
     """What a record says; its payload is checked against its digest and length."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    fields = {}
+    for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name] = value.removeprefix(" ")
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -72,17 +84,20 @@ def parse(data: bytes) -> dict:
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    number = lambda x: int(n) if (n := x.rpartition(":")[2].rstrip(">")).lstrip("-").isdigit() else None
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": _as_given(fields["WARC-Target-URI"]), "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": size, "refers_to": number(fields["WARC-Refers-To"]) if revisit else None, "payload": None if revisit else payload}
+    number = lambda x: int(fields[x]) if x in fields else None
+    url = base64.b64decode(fields[EXACT]).decode("utf-8", "surrogatepass") if EXACT in fields else fields.get("WARC-Target-URI")
+    return {"page_id": number(PAGE), "url": url, "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": size, "refers_to": number(REFERS), "payload": None if revisit else payload}
 
 
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, size and refers_to (null: a response)."""
+    """page_id, url, html, digest, size, refers_to (null: a response) and the url there."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
-    repeated = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    repeated = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
     rows = rows.join(repeated, "digest", "left")
-    return rows.withColumn("refers_to", F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")) & (F.col("size") >= least), F.col("last"))).drop("last")
+    last = F.col("last.page_id")
+    revisits = last.isNotNull() & ~last.eqNullSafe(F.col("page_id")) & (F.col("size") >= least)
+    return rows.withColumns({"refers_to": F.when(revisits, last), "there": F.when(revisits, F.col("last.url"))}).drop("last")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
@@ -91,24 +106,23 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, date: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_filesystem(folder)
         system.create_dir(base, recursive=True)
-        salt = uuid.uuid4().hex
-        file, out, offset = f"records-{TaskContext.get().partitionId():06d}-{salt}.warc.gz", None, 0
+        salt = uuid.uuid4()
+        file, out, offset = f"records-{TaskContext.get().partitionId():06d}-{salt.hex}.warc.gz", None, 0
         for batch in batches:
             index = []
             for n in range(batch.num_rows):
-                page_id, url, html, digest, size, refers_to = (c[n].as_py() for c in batch.columns)
+                page_id, url, html, digest, size, refers_to, there = (c[n].as_py() for c in batch.columns)
                 if out is None:
                     out = system.open_output_stream(f"{base}/{file}", compression=None)
-                revisit = refers_to is not None
-                member = gzip.compress(record(page_id, url, html, digest, size, refers_to, revisit, date, f"{salt}-{n}"), 5, mtime=0)
+                member = gzip.compress(record(page_id, url, html, digest, size, refers_to, there, date, uuid.uuid5(salt, str(offset))), 5, mtime=0)
                 out.write(member)
-                index.append((page_id, url, "revisit" if revisit else "response", digest, size, file, offset, len(member)))
+                index.append((page_id, url, "response" if refers_to is None else "revisit", digest, size, file, offset, len(member)))
                 offset += len(member)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index) if index else [()] * 8, INDEX_TYPES)], names=INDEX_NAMES)
         if out is not None:
             out.close()
 
-    rows = with_revisits(pages, least).select("page_id", "url", "html", "digest", "size", "refers_to")
+    rows = with_revisits(pages, least).select("page_id", "url", "html", "digest", "size", "refers_to", "there")
     return materialise(rows.mapInArrow(write, INDEX), "warc-index")
 
 
@@ -149,7 +163,8 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
                     found = [x | {"payload": None} for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in zip(RECORD_NAMES, RECORD_TYPES)], names=RECORD_NAMES)
 
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    rows = selected.select("file", "offset", "length").repartitionByRange(-(-total // TASK) or 1, "file", "offset").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(read, RECORDS)
 
 
