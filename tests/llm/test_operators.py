@@ -504,19 +504,69 @@ def test_votes_find_planted_quality(spark):
 # 10 ------------------------------------------------------------------------------------------------------
 
 
-def test_sharding(spark, docs, none):
-    rows = [(i, prose(rng.randint(1, 60))) for i in range(3000)] + [(5000 + i, "hot text of many rows") for i in range(1500)] + [(None, None), (None, None)]
+def sharded(rows, spark, shards=16):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sharding.shard(df, 16).collect()
+    got = sharding.shard(df, shards).collect()
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     by = collections.defaultdict(list)
     for r in got:
         by[r.shard].append(r)
         assert r.law == "bytes" and r.grown_shard is None
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    return by
+
+
+def test_sharding(spark, docs, none):
+    rows = [(i, prose(rng.randint(1, 60))) for i in range(3000)] + [(5000 + i, "hot text of many rows") for i in range(1500)] + [(None, None), (None, None)]
+    rows += [(9000 + i, rows[i // 3][1]) for i in range(300)]  # copies, three each
+    by = sharded(rows, spark)
     assert sorted(by) == list(range(16))
     sizes = [sum(r["size"] for r in own) for own in by.values()]
     assert max(sizes) - min(sizes) < 0.04 * sum(sizes) / 16
-    for own in by.values():
-        assert sorted(r.slot for r in own) == list(range(len(own)))
+    where = collections.defaultdict(set)
+    for k, own in by.items():
+        for r in own:
+            where[r.text_crc32].add(k)
+    weight = collections.Counter()
+    for _, t in rows:
+        weight[t or ""] += len((t or "").encode()) + 1
+    small = [t for t, n in weight.items() if n <= sum(sizes) / 16 * sharding.TOGETHER]
+    assert len(small) > 1000 and all(len(where[zlib.crc32(t.encode())]) == 1 for t in small)
     assert sharding.shard(docs).count() == docs.count()
     assert sharding.shard(none).count() == 0
+
+
+def test_one_id_of_equal_rows_is_divided(spark):
+    """Rows that are alike in all, a third of the table."""
+    rows = [(7, "the very same row")] * 4000 + [(i, prose(rng.randint(1, 40))) for i in range(1000)]
+    sizes = [sum(r["size"] for r in own) for own in sharded(rows, spark).values()]
+    assert max(sizes) - min(sizes) < 0.06 * sum(sizes) / 16
+    kept = sharding.materialise(sharding.records(spark.createDataFrame(rows, "doc_id long, text string")), "records")
+    cuts, total = sharding.boundaries(kept, 16)
+    per = [r.bytes for r in sharding.with_ranges(kept, cuts).groupBy("range").agg(F.sum("size").alias("bytes")).collect()]
+    assert len(per) > 200 and max(per) < 4 * total / 256
+
+
+def test_one_very_long_record(spark):
+    by = sharded([(i, prose(20)) for i in range(400)] + [(1000, prose(40000))], spark, 4)
+    assert sum(map(len, by.values())) == 401
+
+
+def test_places_order_as_tuples():
+    g = np.random.default_rng(1)
+    key, ids, row = (g.integers(-3, 3, 500) for _ in range(3))
+    has = g.random(500) < 0.8
+    found = np.argsort(sharding.places(key, ids, has, row + 3), kind="stable")
+    want = sorted(range(500), key=lambda i: (key[i], (1, ids[i]) if has[i] else (0, 0), row[i]))
+    tuples = [(key[i], bool(has[i]), ids[i] if has[i] else 0, row[i]) for i in range(500)]
+    assert [tuples[i] for i in found] == [tuples[i] for i in want]
+
+
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    more = docs.withColumn("shard", F.lit("clash")).withColumn("row", F.lit(1))
+    by = sharding.write_shards(more, 4, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert by == "_shard" and sorted(back.columns) == sorted([*more.columns, by])
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "", r.shard, r.key)
+    assert sorted(map(key, back.collect())) == sorted(map(key, more.collect()))
