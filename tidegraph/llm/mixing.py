@@ -9,7 +9,7 @@ With S the expected tokens and T the targets, the gradient of a document's rate
 p . M (S - T), M being the matrix that the squares are taken in. In each step every rate moves against
 its gradient (for each token) and is projected to 0 or more: r <- max(0, r - p . M (S - T)). So a step is
 told by one number for each domain, a task replays all steps for each of its documents, and one pass adds
-up S. M is the inverse Gram matrix of the documents whose rate is over 0, with which few steps suffice; when
+up S. M is the inverse Gram matrix (with a small ridge) of the documents whose rate is over 0, with which few steps suffice; when
 such a step takes less than ``GAIN`` of the squared miss away, steps go on with the Gram matrix of all
 documents, with which plain steps always converge, and with momentum. Steps end when every domain is
 within ``WITHIN`` of its target, or when ``PATIENCE`` steps got no closer: then the targets contradict
@@ -58,10 +58,12 @@ CHUNK = 4 << 20
 SAMPLE = 20_000
 #: How much a domain may grow.
 MOST = 4.0
-#: How near each domain's tokens come to their target (as a part of it, or of all tokens where it is 0).
-WITHIN = 1e-3
+#: How near each domain's tokens come to their target: as a part of it, or (if that is more) of all tokens.
+WITHIN, OF_ALL = 5e-3, 2.5e-5
+#: Added to the diagonal of Gram matrices (of all tokens): a domain that hardly any document belongs to weighs little in the squares.
+RIDGE_GRAM = 1e-3
 #: Steps at most; the least part of the squared miss that a step of the first kind takes away; steps of the second kind that must take a hundredth.
-STEPS, GAIN, PATIENCE = 150, 0.2, 20
+STEPS, GAIN, PATIENCE = 150, 0.2, 10
 #: A squared miss (of all tokens) under this is none, or of a kind that no rates can change.
 NOUGHT = 1e-14
 #: Standard deviations by which a feature must stand out in a domain to count, and documents that must show it.
@@ -251,8 +253,8 @@ def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[s
         return Rates(steps, have, have, True)
     want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * have[DOMAINS.index(anchor)] * anchor_rate
     want = np.minimum(want, most * have)
-    room = WITHIN * np.where(want > 0, want, total)
-    inverse = lambda gram: np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True)
+    room = np.maximum(WITHIN * want, OF_ALL * total)
+    inverse = lambda gram: np.linalg.inv(gram / total + RIDGE_GRAM * np.eye(n))
     whole = inverse(every)
     size = lambda x: float((x - want) @ whole @ (x - want)) / total**2
     met = lambda x: bool((np.abs(x - want) <= room).all())

@@ -8,12 +8,15 @@ of fingerprints within the radius meets in some table.
 Only distinct fingerprints enter the tables (documents with equal ones are linked already). A bucket
 never lists its pairs: its members within the radius are joined to one another by a search that looks
 only at members not reached yet, and the bucket gives a row for each member that has joined another.
-Buckets over ``HOT`` members are dealt anew first, by a second cover that keeps about half of the bits
-that their table left free; a bucket holds 8 bytes for each of its distinct fingerprints. Links form components through contraction rounds on Spark, each cut by a checkpoint.
-
-Defined results: a null or empty text has no shingle and fingerprint zero; repeated rows stay, a row
-each; a null ``doc_id`` never names a component unless no other id can; an empty table gives an empty
-result; other columns of the input are ignored.
+Buckets over ``HOT`` members are dealt anew first, by a further cover that keeps about half of the bits
+that their table left free, and so on: once at most log2(``HOT``) bits are left free no bucket can hold
+more, so this ends after a few covers, and no task ever searches more than ``HOT`` fingerprints at once.
+Links form components through contraction rounds on Spark, each cut by a written table.
+
+Defined results: a null or empty text has no shingle and fingerprint zero; a text of any length is read
+whole (one over a chunk's bytes alone); repeated rows stay, a row each, and ties (bits that half of the
+hashes have) are 0; a null ``doc_id`` never names a component unless no other id can; an empty table gives
+an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import materialise
+from ..plans.lineage import union
+from .storage import drop, materialise
 from .tokenize import chunks
 
 #: Members from which on a bucket is dealt anew.
@@ -110,13 +114,13 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _rotated(mask: int, by: int = 7) -> int:
+def _rotated(mask: int, by: int) -> int:
     """The same cover with its vectors dealt to other bits."""
     return (mask >> by | mask << 64 - by) & (1 << 64) - 1
 
 
-def _bucket_links(radius: int, hot: int | None):
-    """Rows (t, key, fp) in the order of t and key become links (a, b); members of a bucket over ``hot`` pass with their t."""
+def _bucket_links(radius: int, hot: int):
+    """Rows (mask, key, fp) in the order of mask and key become links (a, b); members of a bucket over ``hot`` pass with its mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passing = np.empty((3, 0), np.int64), None
@@ -133,7 +137,7 @@ def _bucket_links(radius: int, hot: int | None):
             whole = cut[-1] if len(cut) else 0
             yield from linked(rows[:, :whole], np.concatenate([[0], cut]))
             held = rows[:, whole:]
-            if hot and held.shape[1] > hot:
+            if held.shape[1] > hot:
                 passing = tuple(held[:2, 0])
                 yield passed(held)
                 held = held[:, :0]
@@ -141,7 +145,7 @@ def _bucket_links(radius: int, hot: int | None):
             yield from linked(held, np.array([0, held.shape[1]]))
 
     def passed(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[2]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0])], names=["a", "b", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[2]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0])], names=["a", "b", "mask"])
 
     def linked(rows: np.ndarray, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
         fps, sizes = rows[2].view(np.uint64), np.diff(cut)
@@ -149,28 +153,34 @@ def _bucket_links(radius: int, hot: int | None):
         close = pair[np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= radius]
         roots, members = [np.minimum(fps[close], fps[close + 1])], [np.maximum(fps[close], fps[close + 1])]
         for a, n in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if hot and n > hot:
+            if n > hot:
                 yield passed(rows[:, a : a + n])
                 continue
             r, m = reached(fps[a : a + n], radius)
             roots.append(r)
             members.append(m)
         a, b = (pa.array(np.concatenate(x).view(np.int64)) for x in (roots, members))
-        yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64())], names=["a", "b", "t"])
+        yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64())], names=["a", "b", "mask"])
 
     return run
 
 
 def links(classes: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b), a row each, with the same components as all pairs of distinct ``fp`` within ``radius`` bits."""
-    masks = covering_masks(64, radius)
-    tables = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
-    dealt = classes.select(F.inline(tables), "fp").repartition("t", "key").sortWithinPartitions("t", "key")
-    first = materialise(dealt.mapInArrow(_bucket_links(radius, HOT), "a long, b long, t long"), "links")
-    finer = F.array(*(F.struct((F.col("t") * len(masks) + j).alias("t"), F.col("a").bitwiseAND(F.element_at(F.array(*(F.lit(_signed(m | _rotated(k))) for m in masks)), F.col("t").cast("int") + 1)).alias("key"), F.col("a").alias("fp")) for j, k in enumerate(masks)))
-    again = first.where("b is null").select(F.inline(finer)).repartition("t", "key").sortWithinPartitions("t", "key")
-    second = again.mapInArrow(_bucket_links(radius, None), "a long, b long, t long")
-    return first.where("b is not null").unionByName(second).select("a", "b").distinct()
+    masks, found, level = covering_masks(64, radius), [], 0
+    rows = classes.select("fp", F.lit(0).cast("long").alias("had"))
+    while True:
+        cover = [F.col("had").bitwiseOR(F.lit(_signed(_rotated(m, 7 * level % 64)))) for m in masks]
+        dealt = rows.select("fp", F.explode(F.array(*cover)).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if level:  # tables of other buckets may have become one
+            dealt = dealt.distinct()
+        dealt = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
+        made = materialise(dealt.mapInArrow(_bucket_links(radius, HOT), "a long, b long, mask long"), "links")
+        found.append(made.where("b is not null"))
+        again = made.where("b is null")
+        if again.isEmpty():
+            return union(found).select("a", "b").distinct()
+        rows, level = again.select(F.col("a").alias("fp"), F.col("mask").alias("had")), level + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,11 +197,16 @@ def components(edges: DataFrame) -> DataFrame:
         top = up.select(F.col("n").alias("p"), F.col("p").alias("pp"))
         up = materialise(up.join(top, "p", "left").select("n", F.coalesce("pp", "p").alias("p")), "pointers")
         a, b = (up.select(F.col("n").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
-        edges = materialise(edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        left = materialise(edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        drop(edges)
+        edges = left
         if nodes is None:
-            nodes = up.select(F.col("n").alias("node"), F.col("p").alias("root"))
+            nodes = materialise(up.select(F.col("n").alias("node"), F.col("p").alias("root")), "nodes")
         else:
-            nodes = materialise(nodes.join(up, nodes.root == up.n, "left").select("node", F.coalesce("p", "root").alias("root")), "nodes")
+            moved = materialise(nodes.join(up, nodes.root == up.n, "left").select("node", F.coalesce("p", "root").alias("root")), "nodes")
+            drop(nodes)
+            nodes = moved
+        drop(up)
     return nodes if nodes is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
