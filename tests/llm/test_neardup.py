@@ -108,6 +108,8 @@ def test_variants_that_only_resemble_each_other(spark):
 def test_many_centres(spark, monkeypatch):
     """Each text that shares a passage with all others is compared with all of them."""
     monkeypatch.setattr(neardup, "MORE", 3)
+    monkeypatch.setattr(neardup, "FIRST", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     common, rows = words(60), []
     for i in range(0, 80, 2):
         own = words(60)
@@ -125,3 +127,66 @@ def test_repeats_do_not_count(spark, part, times):
         rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(passage * times + base[200 // part :]))]
     assert expected(rows) == [2 * i for i in range(20)]
     assert kept(spark, rows) == expected(rows)
+
+
+@pytest.mark.parametrize("sample", [0, 4000])
+@pytest.mark.parametrize("n, most", [(200, 5), (150, 4)])
+def test_four_hundred_near_copies(spark, monkeypatch, n, most, sample):
+    """Of one text, a few words replaced in each; with and without late shingles."""
+    monkeypatch.setattr(neardup, "SAMPLE", sample)
+    base, rows = words(n), []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(n), rng.randint(1, most)):
+            copy[at] = words(1)[0]
+        rows.append((i, " ".join(copy)))
+    assert 1 < len(expected(rows)) < 200
+    assert kept(spark, rows) == expected(rows)
+
+
+def test_common_passage(spark, monkeypatch):
+    """Texts that share a passage and little else, among them pairs of near copies; small blocks and rounds."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "FIRST", 2)
+    passage, rows = words(80), []
+    for i in range(0, 300, 2):
+        own = words(rng.randint(5, 60))
+        rows += [(i, " ".join(passage + own)), (i + 1, " ".join(passage + own + words(rng.randint(1, 25))))]
+    assert kept(spark, rows) == expected(rows)
+
+
+def test_any_order_shares_a_key():
+    g = np.random.default_rng(4)
+    for _ in range(2000):
+        n = int(g.integers(1, 60))
+        a = int(g.integers(0, n * 0.2 + 1e-9 + 1))
+        b = int(g.integers(0, max(0, (n - a) / 0.8 - n) + 1e-9 + 1))
+        pool = g.integers(0, 2**64, n + b, dtype=np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[a:])
+        late = np.sort(g.choice(pool, int(g.integers(0, n + b)), replace=False))
+        if n - a >= 0.8 * (n + b):
+            (p, _), (q, _) = neardup.in_order(x, late), neardup.in_order(y, late)
+            assert set(neardup.keys(p, 0.8).tolist()) & set(neardup.keys(q, 0.8).tolist())
+
+
+def test_stars_over_batches():
+    import pyarrow as pa
+
+    rows = [(1, 5), (1, 6), (1, 9), (2, 1), (3, 2), (3, 7), (3, 8), (3, 9), (3, 11), (4, 3)]
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], names=["bucket", "id"]) for i in range(0, len(rows), size)]
+        got = [(r["a"], r["b"]) for batch in neardup._stars(iter(batches)) for r in batch.to_pylist()]
+        assert got == [(5, 6), (5, 9), (2, 7), (2, 8), (2, 9), (2, 11)]
+
+
+def test_rows_that_share_an_id(spark):
+    """The row that stays has the text that the id stands for; columns with names of the operator's own."""
+    base = [" ".join(words(60)) for _ in range(4)]
+    rows = [(1, base[0], "x", 1), (1, base[1], "y", 2), (1, base[1], "y", 2), (2, base[2], "z", 3), (3, base[3], "z", 4), (3, base[3], "w", 5), (None, base[0], "n", 6), (None, base[0], "n", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, lot int")
+    first = sorted(map(tuple, neardup.keep_one(df).collect()), key=str)
+    again = sorted(map(tuple, neardup.keep_one(df.repartition(7)).collect()), key=str)
+    assert first == again
+    least = min(base[:2], key=lambda t: neardup._key(t.encode().lower()))
+    assert [r[1] for r in first if r[0] == 1] == [least]
+    assert sorted(str(r[0]) for r in first) == ["1", "2", "3", "None", "None"]
