@@ -9,8 +9,9 @@ template of another label.
 
 Templates of two or three words are phrases: each of their hits is a place where the phrase stands.
 
-Defined results: a null or empty text has no word, label or place and score 0; repeated rows stay, a row
-each; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text has no word, label or place and score 0; a text of any length is
+read whole; repeated rows stay, a row each; ties (a share right at the limit) stand; a null ``doc_id`` is
+kept; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .storage import materialise
 #: Characters that part words, after lower-casing.
 APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 K, SLACK, COVERED = 3, 4, 0.6
+#: Templates up to which their runs (some 100 bytes each, a few dozen a template) are broadcast; more are joined by a shuffle.
+BROADCAST_TEMPLATES = 20_000
 
 #: Phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -91,7 +94,7 @@ def hits(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     rows = rows.withColumn("two", F.expr("zip_with(one, slice(one, 2, n_words), (a, b) -> xxhash64(a, b))"))
     rows = rows.withColumn("all", F.concat(F.array(F.lit(_EVERY).cast("long")), F.col("two"), F.expr("zip_with(two, slice(one, 3, n_words), (a, b) -> xxhash64(a, b))")))
     rows = rows.select("row", "doc_id", "n_words", "words", F.posexplode("all").alias("i", "hash"))
-    found = rows.join(F.broadcast(listed), "hash")
+    found = rows.join(F.broadcast(listed) if len(phrases) + len(templates) <= BROADCAST_TEMPLATES else listed.hint("merge"), "hash")
     place = F.when(F.col("template") < 0, 0).otherwise((F.col("i") - 1) % F.greatest("n_words", F.lit(1))).cast("int")
     found = found.withColumn("place", place).where("template < 0 or slice(words, place + 1, size(run)) = run")
     return found.select("row", "doc_id", "n_words", "template", "label", "phrase", "n_runs", "telling", "at", "place", F.size("run").alias("k"))

@@ -6,9 +6,10 @@ whatever the size of the corpus): per bin a bitset subset-sum over the lengths s
 the fullest combination that holds the longest one left, and it is taken out as often as the counts
 allow. Every piece then finds its bin from its rank among the pieces of its length, by arithmetic.
 
-Defined results: a null text is empty and makes one piece with the end id alone; repeated rows are
-packed each; a null ``doc_id`` is kept; an empty table gives an empty result; other columns of the
-input are ignored.
+Defined results: a null text is empty and makes one piece with the end id alone; a text of any length is
+encoded whole, then cut; repeated rows are packed each; ties (pieces of one length) are settled by their
+place in the input; a null ``doc_id`` is kept; an empty table gives an empty result; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

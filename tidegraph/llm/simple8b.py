@@ -11,8 +11,10 @@ how many ids of which width its other 60 bits hold. Selector 0 is the escape: a
 id itself in the next word. Ids that need it have a bit over the 60th, so no such word looks like an
 escape, and all words of a segment can be decoded at once from the offsets of its blocks.
 
-Defined results: a null text is empty (its end id alone); repeated rows are written each; a null
-``doc_id`` comes first and is read back as null; an empty table gives no file and no row.
+Defined results: a null text is empty (its end id alone); a text of any length is written whole, in one
+segment; repeated rows are written each, ties of ids in the order of a hash of their texts (then of the
+input); a null ``doc_id`` comes first and is read back as null; an empty table gives no file and no row;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -182,8 +184,9 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> D
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]  # an id that many rows share is divided
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialise(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long").repartition(1), "ids-manifest")
 
 

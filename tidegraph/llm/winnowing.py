@@ -6,15 +6,20 @@ k-grams in a row the least hash is kept, the rightmost on ties, with its positio
 share ``window + k - 1`` words in a row therefore share a kept hash, at the positions told.
 
 A value is (hash << 32 | 2^32 - 1 - position), so the least value of a window is the least hash and,
-on ties, the rightmost; sliding minima are taken over windows of doubling width.
+on ties, the rightmost; sliding minima are taken over windows of doubling width. The polynomial has 31 bits,
+enough to choose by; the hash that a fingerprint tells of a kept k-gram has 31 more, from a second hash of
+its words, so that chance hits are rare among many documents.
 
 Defined results: a null or empty text has no k-gram and an empty fingerprint; one with fewer words
-than ``k`` has its whole word sequence as its only k-gram; two empty fingerprints are alike (1), an
-empty and another are not (0). Repeated rows stay, a row each; a null ``doc_id`` comes first.
+than ``k`` has its whole word sequence as its only k-gram; a text of any length is one row, read whole; two
+empty fingerprints are alike (1), an empty and another are not (0). Repeated rows stay, a row each; a null
+``doc_id`` comes first; rows of one ``doc_id`` lie in one range, in the order of their texts; an empty table
+gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,7 +42,7 @@ def _joined(left: Column, right: Column, words: int) -> Column:
 
 
 def with_grams(rows: DataFrame, text: str, out: str, k: int) -> DataFrame:
-    """Adds the values of all k-grams of ``text``."""
+    """Adds the values of all k-grams of ``text``, and (as ``<out>_words``) the hashes of its words."""
     words = F.array_remove(F.split(F.lower(text), "\\s+"), "")
     rows = rows.withColumn(out, F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(PRIME))))
     one = F.col(f"_{out}1")
@@ -51,7 +56,7 @@ def with_grams(rows: DataFrame, text: str, out: str, k: int) -> DataFrame:
             have, width = f"_{out}{width + 1}", width + 1
     count = F.greatest(F.size(one) - (k - 1), F.least(F.size(one), F.lit(1)))
     values = F.transform(F.slice(F.col(have), 1, count), lambda h, i: F.shiftleft(h, 32).bitwiseOR(F.lit(2**32 - 1) - i))
-    return rows.withColumn(out, values).drop(*(c for c in rows.columns if c.startswith(f"_{out}")))
+    return rows.withColumn(out, values).withColumn(f"{out}_words", one).drop(*(c for c in rows.columns if c.startswith(f"_{out}")))
 
 
 def with_kept(rows: DataFrame, values: str, out: str, window: int) -> DataFrame:
@@ -65,27 +70,40 @@ def with_kept(rows: DataFrame, values: str, out: str, window: int) -> DataFrame:
     return rows.withColumn(out, F.array_distinct(low)).drop(*(c for c in rows.columns if c.startswith(f"_{out}")))
 
 
-def hashes(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda v: F.shiftright(v, 32)))
+def position(value: Column) -> Column:
+    return F.lit(2**32 - 1) - value.bitwiseAND(F.lit(2**32 - 1))
 
 
-def written(kept: Column) -> Column:
+def hashes(kept: str, words: str, k: int) -> Column:
+    """The 62-bit hash of every kept k-gram, from its value and the hashes of its words."""
+    second = lambda v: F.xxhash64(F.slice(F.col(words), (position(v) + 1).cast("int"), F.lit(k))).bitwiseAND(F.lit(PRIME))
+    return F.transform(kept, lambda v: F.shiftleft(F.shiftright(v, 32), 31).bitwiseOR(second(v)))
+
+
+def written(kept: str, found: str) -> Column:
     """``hash@position`` of every kept k-gram (hash in hex, position in words from 0)."""
-    return F.concat_ws(" ", F.transform(kept, lambda v: F.concat(F.lower(F.hex(F.shiftright(v, 32))), F.lit("@"), (F.lit(2**32 - 1) - v.bitwiseAND(F.lit(2**32 - 1))).cast("string"))))
+    return F.concat_ws(" ", F.zip_with(kept, found, lambda v, h: F.concat(F.lower(F.hex(h)), F.lit("@"), position(v).cast("string"))))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two sets of hashes."""
+    """Jaccard likeness of two lists of hashes as sets."""
+    a, b = F.array_distinct(a), F.array_distinct(b)
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def with_fingerprint(rows: DataFrame, text: str, kept: str, found: str, k: int, window: int) -> DataFrame:
+    """Adds the kept values and the hashes of their k-grams."""
+    rows = with_kept(with_grams(rows, text, "grams", k), "grams", kept, window)
+    return rows.withColumn(found, hashes(kept, "grams_words", k)).drop("grams", "grams_words")
+
+
 def fingerprint(docs: DataFrame, k: int = 5, window: int = 8) -> DataFrame:
-    """doc_id, fingerprint and the kept ``values`` of every whole text."""
+    """doc_id, fingerprint and its ``hashes`` of every whole text."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_kept(with_grams(rows, "text", "grams", k), "grams", "kept", window)
-    return rows.select("doc_id", written(F.col("kept")).alias("fingerprint"), F.col("kept").alias("values"))
+    rows = with_fingerprint(rows, "text", "kept", "hashes", k, window)
+    return rows.select("doc_id", written("kept", "hashes").alias("fingerprint"), "hashes")
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -104,8 +122,9 @@ def beside_next(docs: DataFrame) -> DataFrame:
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     if groups:  # two short searches in place of a long one
         below = lambda array: F.size(F.filter(array, lambda c: c <= F.col("doc_id")))
-        nested = F.array(*(F.array(*map(F.lit, g)) for g in groups))
-        coarse = below(F.array(*(F.lit(g[0]) for g in groups)))
+        listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # one constant of the plan, however many there are
+        nested = listed(groups, "array<array<bigint>>")
+        coarse = below(listed([g[0] for g in groups], "array<bigint>"))
         rows = rows.withColumn("coarse", F.when(F.col("doc_id").isNull(), 0).otherwise(coarse))
         fine = F.when(F.col("coarse") == 0, 0).otherwise((F.col("coarse") - 1) * step + below(F.element_at(nested, F.greatest(F.col("coarse"), F.lit(1)))))
         starts = F.array_contains(F.element_at(nested, F.greatest(F.col("coarse"), F.lit(1))), F.col("doc_id"))
@@ -124,14 +143,13 @@ def compare_edited(docs: DataFrame, k: int = 5, window: int = 8) -> DataFrame:
     The edited text has its last quarter of code points replaced by the first as many of the next
     document's, in ascending doc_id (equal ids by text); the first follows the last.
     """
-    rows = with_kept(with_grams(beside_next(docs), "text", "grams", k), "grams", "kept", window).drop("grams").withColumn("own", hashes(F.col("kept")))
+    rows = with_fingerprint(beside_next(docs), "text", "kept", "own", k, window)
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.withColumns({"after": F.lead("text").over(order), "next": F.lead("own").over(order)}).where("guest = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("cut")), F.substring("after", F.lit(1), F.col("cut")))
-    rows = rows.withColumn("edited", edited)
-    rows = with_kept(with_grams(rows, "edited", "egrams", k), "egrams", "ekept", window).drop("egrams").withColumn("theirs", hashes(F.col("ekept")))
+    rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "ekept", "theirs", k, window)
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("kept")).alias("fingerprint"), written(F.col("ekept")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written("kept", "own").alias("fingerprint"), written("ekept", "theirs").alias("edited_fingerprint"),
         likeness("own", "theirs").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
