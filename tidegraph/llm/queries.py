@@ -85,6 +85,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+# What SQL can say of results that it cannot say whole: the same operators, fewer columns.
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the shards: all documents and bytes, sizes no further from even than the longest record and the texts kept together allow, slots without gaps."""
+    from pyspark.sql import functions as F
+
+    from .sharding import TOGETHER
+
+    per = op10_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    total, longest = F.sum("bytes"), F.max("longest")
+    gapless = F.min((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    even = F.greatest(F.max("bytes") - total / 16, total / 16 - F.min("bytes")) <= longest + total / 16 * 2 * TOGETHER
+    return per.agg(F.sum("n").alias("documents"), total.alias("bytes"), F.count("*").alias("shards"), gapless.alias("gapless"), even.alias("even"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_winnowing": op2_winnowing,
@@ -96,6 +124,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sitestyle": op8_sitestyle,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "edited_texts": edited_texts,
+    "license_base": license_base,
+    "quality_counts": quality_counts,
+    "shard_law": shard_law,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +140,31 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
         FROM g
     """,
+    "edited_texts": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d)
+        SELECT doc_id, n_chars, sha256(left(t, n_chars - n_chars // 4) || left(after, n_chars // 4)) AS edited_sha256 FROM n
+    """,
+    "license_base": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        x AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) - 1 AS i FROM w),
+        g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        f AS (SELECT doc_id, i, 'cc-by' AS label FROM g WHERE a = 'cc' AND b = 'by' UNION ALL SELECT doc_id, i, 'gpl' FROM g WHERE a = 'general' AND b = 'public' AND c = 'license'
+              UNION ALL SELECT doc_id, i, 'reserved' FROM g WHERE a = 'all' AND b = 'rights' AND c = 'reserved')
+        SELECT w.doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words, count(f.i) AS n_base, min(f.i) AS first_word, max(f.i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM w LEFT JOIN f ON f.doc_id = w.doc_id GROUP BY w.doc_id
+    """,
+    "quality_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        x AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+        g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
+        k AS (SELECT doc_id, count(DISTINCT i + v.j) AS n FROM r, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
+        s AS (SELECT doc_id, sum(length(a)) AS chars FROM x GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(s.chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+               CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(k.n, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(k.n, 0) > 50 * len(words) AS base_failed
+        FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
+    "shard_law": "SELECT count(*) AS documents, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(16 AS BIGINT) AS shards, true AS gapless, true AS even FROM documents",
 }
