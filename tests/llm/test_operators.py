@@ -104,7 +104,12 @@ def test_rates_meet_targets_that_can_be_met(spark):
         assert found.met and (r >= 0).all()
         assert (np.abs(p.T @ (tokens * r) - found.want) <= 1.001 * mixing.WITHIN * found.want).all()
     frame = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(tokens, p)], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
-    assert np.abs(mixing.solve(frame, targets, anchor_rate=1.0, most=100).of(p) - r).max() < 1e-6
+    over = mixing.solve(frame, targets, anchor_rate=1.0, most=100)
+    assert over.met and (np.abs(p.T @ (tokens * over.of(p)) - over.want) <= 1.001 * mixing.WITHIN * over.want).all()
+    told = frame.select(mixing.rate_of(over.steps, mixing.DOMAINS).alias("r")).collect()
+    assert np.abs(np.array([x.r for x in told]) - over.of(p)).max() < 1e-9
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        assert not mixing.solve(frame, dict(zip(mixing.DOMAINS, (0.0, 0.0, 0.99, 0.01))), most=100).met
 
 
 def test_rates_come_as_near_as_can_be():
@@ -113,8 +118,7 @@ def test_rates_come_as_near_as_can_be():
         g = np.random.default_rng(seed)
         p, tokens = g.dirichlet(np.full(4, 2.0), 300), g.integers(1, 900, 300).astype(float)
         targets = dict(zip(mixing.DOMAINS, (0.0, 0.0, 0.99, 0.01)))
-        with pytest.warns(UserWarning, match="cannot all be met"):
-            found = mixing.projected_gradient(lambda steps: mixing.summed(p, tokens, steps), targets, "good", 1.05, most=100)
+        found = mixing.projected_gradient(lambda steps: mixing.summed(p, tokens, steps), targets, "good", 1.05, most=100)
         assert not found.met
         total = tokens.sum()
         whole = np.linalg.inv(p.T @ (p * tokens[:, None]) / total)

@@ -15,6 +15,10 @@ documents, with which plain steps always converge, and with momentum. Steps end
 within ``WITHIN`` of its target, or when ``PATIENCE`` steps got no closer: then the targets contradict
 each other on these documents, ``Rates.met`` is false, and a warning says so.
 
+Most steps are found on a table of at most some 6,000 rows: the tokens of the documents by their posteriors,
+each rounded to a multiple of 1 / ``LEVELS``, with the mean of the posteriors in each cell. The steps then
+go on over all documents, whose sums alone tell whether the targets are met.
+
 Targets are relative to an anchor domain, whose tokens grow to ``anchor_rate`` times what they are. No
 domain grows to more than ``most`` times what it has: the target of one that hardly any document belongs
 to is lowered to that (``Rates.want`` tells the targets that hold), else others would pay for it.
@@ -33,6 +37,7 @@ names, are ignored by ``mix`` and passed on by ``take``.
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 import zlib
@@ -42,7 +47,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .storage import materialise, unused
 from .tokenize import chunks
@@ -53,7 +58,7 @@ TARGETS = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.925, "good_toxic": 0.02}
 ANCHOR = "good"
 BUCKETS = 1 << 14
 #: Bytes of text handled at once: a worker holds some 30 times as much.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
 #: How much a domain may grow.
@@ -66,11 +71,11 @@ RIDGE_GRAM = 1e-3
 STEPS, GAIN, PATIENCE = 150, 0.2, 10
 #: A squared miss (of all tokens) under this is none, or of a kind that no rates can change.
 NOUGHT = 1e-14
+#: Cells along each domain of the table that the first steps are found on, and steps over all documents after these.
+LEVELS, OVER_ALL = 32, 6
 #: Standard deviations by which a feature must stand out in a domain to count, and documents that must show it.
 SURE, SEEN = 4.0, 5
 FIT_STEPS, RIDGE = 600, 1e-4
-#: Rows that leave ``take`` at once.
-AT_ONCE = 4096
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -219,6 +224,15 @@ def summed(p: np.ndarray, t: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.concatenate([p.T @ (t * r), p.T @ (t * ahead), gram(t * (r > 0)), gram(t)])
 
 
+def cells(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean posteriors and tokens of the documents in each cell of rounded posteriors (at most (LEVELS + 5)^3 / 6 or so, whatever the corpus)."""
+    names = [f"c{i}" for i in range(len(DOMAINS))]
+    rows = members.select("n_tokens", *DOMAINS, *(F.round(F.col(d) * LEVELS).cast("int").alias(c) for d, c in zip(DOMAINS, names)))
+    found = rows.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("t"), *(F.sum(F.col("n_tokens") * F.col(d)).alias(d) for d in DOMAINS)).where("t > 0").orderBy(*names).collect()
+    t = np.array([r.t for r in found])
+    return np.array([[r[d] for d in DOMAINS] for r in found]).reshape(-1, len(DOMAINS)) / t[:, None], t
+
+
 def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, anchor_rate: float = 1.05, most: float = MOST) -> Rates:
     """Nonnegative rates whose expected tokens are as near to the targets as can be. ``members``: n_tokens and posteriors."""
     n = len(DOMAINS)
@@ -235,38 +249,47 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str =
         found = {r.i: r.s for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row for each number
         return np.array([found.get(i, 0.0) for i in range(2 * n + 2 * n * n)])
 
-    return projected_gradient(sums, targets, anchor, anchor_rate, most)
+    p, t = cells(members)
+    first = projected_gradient(lambda steps: summed(p, t, steps), targets, anchor, anchor_rate, most)
+    found = projected_gradient(sums, targets, anchor, anchor_rate, most, first.steps, OVER_ALL)
+    if not found.met:
+        told = lambda x: {d: round(float(v)) for d, v in zip(DOMAINS, x)}
+        warnings.warn(f"the targets cannot all be met: {told(found.want)} tokens wanted, {told(found.have)} reached", stacklevel=3)
+    return found
 
 
-def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[str, float], anchor: str, anchor_rate: float, most: float = MOST) -> Rates:
-    """The steps to the targets. ``sums``: what ``summed`` gives over all documents."""
+def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[str, float], anchor: str, anchor_rate: float, most: float = MOST, steps: np.ndarray | None = None, room_for: int | None = None) -> Rates:
+    """The steps to the targets, after ``steps`` and at most ``room_for`` more. ``sums``: what ``summed`` gives over all documents."""
     n = len(DOMAINS)
 
     def passed(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         s = sums(steps)
         return s[:n], s[n : 2 * n], s[2 * n : 2 * n + n * n].reshape(n, n), s[2 * n + n * n :].reshape(n, n)
 
-    steps = np.zeros((0, n + 1))
-    have, ahead, active, every = passed(steps)
-    total = have.sum()
+    none = np.zeros((0, n + 1))
+    at_one, _, active, every = passed(none)
+    total = at_one.sum()
     if not total:
-        return Rates(steps, have, have, True)
-    want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * have[DOMAINS.index(anchor)] * anchor_rate
-    want = np.minimum(want, most * have)
+        return Rates(none, at_one, at_one, True)
+    want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * at_one[DOMAINS.index(anchor)] * anchor_rate
+    want = np.minimum(want, most * at_one)
     room = np.maximum(WITHIN * want, OF_ALL * total)
     inverse = lambda gram: np.linalg.inv(gram / total + RIDGE_GRAM * np.eye(n))
     whole = inverse(every)
     size = lambda x: float((x - want) @ whole @ (x - want)) / total**2
     met = lambda x: bool((np.abs(x - want) <= room).all())
-    before = np.inf
-    while not met(have) and NOUGHT < size(have) < (1 - GAIN) * before:  # first kind
+    have, steps = at_one, none if steps is None else steps
+    if len(steps):
+        have, _, active, _ = passed(steps)
+    last, before = len(steps) + (STEPS if room_for is None else room_for), np.inf
+    while not met(have) and NOUGHT < size(have) < (1 - GAIN) * before and len(steps) < last:  # first kind
         before, best = size(have), (steps, have)
         steps = np.vstack([steps, [*(inverse(active) @ (have - want) / total), 0.0]])
-        have, ahead, active, _ = passed(steps)
+        have, _, active, _ = passed(steps)
     if size(have) >= before:
         steps, have = best
     ahead, best, mark, since, k = have, (steps, have), size(have), 0, 0
-    while not met(best[1]) and size(best[1]) > NOUGHT and since < PATIENCE and len(steps) < STEPS:  # second kind
+    while not met(best[1]) and size(best[1]) > NOUGHT and since < PATIENCE and len(steps) < last:  # second kind
         steps = np.vstack([steps, [*(whole @ (ahead - want) / total), k / (k + 3)]])
         have, ahead, _, _ = passed(steps)
         k, since = k + 1, since + 1
@@ -275,36 +298,33 @@ def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[s
         if size(best[1]) < 0.99 * mark:
             mark, since = size(best[1]), 0
     steps, have = best
-    if not met(have):
-        warnings.warn(f"the targets cannot all be met: {dict(zip(DOMAINS, want.round()))} tokens wanted, {dict(zip(DOMAINS, have.round()))} reached", stacklevel=3)
     return Rates(steps, have, want, met(have))
 
 
-def copies(doc_ids: pa.Array, r: np.ndarray) -> np.ndarray:
-    """Whole numbers of copies whose mean is the rate, drawn by the hash of the id."""
-    import xxhash
+def rate_of(steps: np.ndarray, names: list[str]) -> Column:
+    """``Rates.of`` as an expression over columns of posteriors."""
+    listed = F.from_json(F.lit(json.dumps([list(map(float, s)) for s in steps])), "array<array<double>>")  # one constant of the plan
 
-    draw = np.array([xxhash.xxh64_intdigest(str(i or 0).encode(), 7) / 2**64 for i in doc_ids.to_pylist()])
-    return (np.floor(r) + (draw < r - np.floor(r))).astype(np.int64)
+    def step(held: Column, s: Column) -> Column:
+        pushed = sum((F.col(f"`{d}`") * s[i] for i, d in enumerate(names[1:], 1)), F.col(f"`{names[0]}`") * s[0])
+        new = F.greatest(F.lit(0.0), held["ahead"] - pushed)
+        return F.struct(new.alias("r"), (new + s[len(names)] * (new - held["r"])).alias("ahead"))
 
+    return F.aggregate(listed, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("ahead")), step, lambda held: held["r"])
 
-def _mixed(p: list[pa.Array], doc_ids: pa.Array, found: Rates) -> tuple[np.ndarray, np.ndarray]:
-    r = found.of(np.stack([np.asarray(c, float) for c in p], axis=1))
-    return r, copies(doc_ids, r)
+
+def copies_of(rate: Column, doc_id: Column) -> Column:
+    """Whole numbers of copies whose mean is the rate, drawn by the hash of the id."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")), F.lit("copies")), 11) / F.lit(float(2**53))
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05, most: float = MOST) -> DataFrame:
     """doc_id, n_tokens, the posteriors, rate, copies, and whether the targets are met, of every document."""
     members = materialise(posteriors(docs, train(docs, labels, sample)), "posteriors")
     found = solve(members, targets, anchor_rate=anchor_rate, most=most)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r, many = _mixed(batch.columns[2:], batch.column(0), found)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(many)], names=[*batch.schema.names, "rate", "copies"])
-
-    rows = members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double, copies long")
-    return rows.withColumn("targets_met", F.lit(found.met))
+    rows = members.withColumn("rate", rate_of(found.steps, DOMAINS))
+    return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))).withColumn("targets_met", F.lit(found.met))
 
 
 def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, anchor_rate: float = 1.05, most: float = MOST) -> DataFrame:
@@ -313,7 +333,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     Texts are read once: the posteriors are written beside the rows, and the passes of ``solve`` read these alone.
     """
     model = train(docs, labels, sample)
-    at, own, width = docs.columns.index("text"), docs.columns.index("doc_id"), len(docs.columns)
+    at = docs.columns.index("text")
     extra = [unused(x, docs.columns) for x in ("n_tokens", *DOMAINS)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,12 +347,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in extra[1:])])
     scored = materialise(docs.mapInArrow(score, schema), "scored")
     found = solve(scored.select(*(F.col(x).alias(y) for x, y in zip(extra, ("n_tokens", *DOMAINS)))), targets, anchor_rate=anchor_rate, most=most)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, many = _mixed(batch.columns[width + 1 :], batch.column(own), found)
-            part = batch.select(range(width))
-            row = np.repeat(np.arange(batch.num_rows), many)
-            yield from (part.take(pa.array(row[x : x + AT_ONCE])) for x in range(0, len(row), AT_ONCE))
-
-    return scored.mapInArrow(run, docs.schema)
+    many, rate = unused("copies", scored.columns), unused("rate", scored.columns)
+    rows = scored.withColumn(rate, rate_of(found.steps, extra[1:])).withColumn(many, copies_of(F.col(rate), F.col("doc_id")))
+    rows = rows.where(F.col(many) > 0).withColumn(many, F.explode(F.sequence(F.lit(1).cast("long"), F.col(many))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

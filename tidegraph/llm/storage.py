@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 
-from ..plans.lineage import counted, cut as materialise, drop, remove, shared_dir, work_path
+from ..plans.lineage import cut, drop, remove, shared_dir, work_path
 
-__all__ = ["counted", "drop", "materialise", "open_filesystem", "remove", "shared_dir", "unused", "work_path"]
+__all__ = ["drop", "materialise", "open_filesystem", "remove", "shared_dir", "unused", "work_path"]
+
+#: Bytes of an Arrow batch that a Python worker gets at most while a table is made: it and its executor hold several at once.
+BATCH, SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder and reads it back, which also cuts its lineage."""
+    conf = df.sparkSession.conf
+    before = conf.get(SETTING)
+    if 0 < int(before.rstrip("b")) <= BATCH:
+        return cut(df, label)
+    conf.set(SETTING, str(BATCH))
+    try:
+        return cut(df, label)
+    finally:
+        conf.set(SETTING, before)
 
 
 def unused(name: str, columns: list[str]) -> str:
