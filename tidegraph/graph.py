@@ -71,5 +71,5 @@ class Graph:
         return self.with_edges(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["weight"] if self.weighted else [])))
 
     def by_source(self) -> DataFrame:
-        """Edges dealt by ``src`` and cached, so that the joins of an iteration shuffle only what joins them."""
-        return self.edges.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+        """Edges dealt by ``src`` and cached in its order: joins of an iteration shuffle only what joins them, and a filter on ``src`` passes over batches."""
+        return self.edges.repartition("src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)

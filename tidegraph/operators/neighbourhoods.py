@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import spread_again, trailing_rank
 from ..graph import Graph
-from ..plans.lineage import counted, cut
+from ..plans.lineage import counted, cut, drop
 
 
 def hyperanf_exact(graph: Graph, steps: int = 4) -> DataFrame:
@@ -32,42 +32,67 @@ def _alpha(m: int) -> float:
     return {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
 
 
+#: Ranks that a register can hold: a number of 32 bits says which have been seen, and its highest bit is the register's value.
+RANKS = 31
+
+
+def counters(graph: Graph, k: int) -> DataFrame:
+    """id and a counter of 2^k registers, two in each of the columns w0, w1, ...: bit r of a register tells that rank r + 1 was seen."""
+    m = 1 << k
+    h = spread_again(F.col("id") * 31 + 7)
+    rows = graph.vertices.select("id", h.bitwiseAND(F.lit(m - 1)).cast("int").alias("at"), trailing_rank(F.shiftright(h, k), 32 - k).alias("rank"))
+    bit = F.expr("shiftleft(1L, (at % 2) * 32 + rank - 1)")
+    return rows.withColumn("bit", bit).select("id", *(F.when(F.floor(F.col("at") / 2) == i, F.col("bit")).otherwise(F.lit(0).cast("long")).alias(f"w{i}") for i in range(m // 2)))
+
+
+def spread_on(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """A step: every counter joins those of the vertices that point at it. One row travels along an edge."""
+    words = [c for c in state.columns if c != "id"]
+    moved = edges.join(state, edges.src == state.id).select(F.col("dst").alias("id"), *words)
+    return state.unionByName(moved).groupBy("id").agg(*(F.bit_or(w).alias(w) for w in words))
+
+
+def registers(state: DataFrame) -> DataFrame:
+    """id, register, value of the registers that are set."""
+    words = [c for c in state.columns if c != "id"]
+    halves = [(2 * i + j, F.col(w).bitwiseAND(F.lit(2**32 - 1)) if not j else F.shiftrightunsigned(w, 32)) for i, w in enumerate(words) for j in (0, 1)]
+    rows = state.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("register"), x.alias("seen")) for i, x in halves))).alias("r")).select("id", "r.register", "r.seen").where("seen <> 0")
+    return rows.select("id", "register", F.length(F.bin("seen")).cast("int").alias("value"))
+
+
+def estimates(state: DataFrame) -> DataFrame:
+    """id, reach: the number of vertices that each counter tells of."""
+    m = 2 * (len(state.columns) - 1)
+    per = registers(state).groupBy("id").agg(F.sum(F.pow(F.lit(2.0), -F.col("value"))).alias("s"), F.count("*").alias("set"))
+    raw, empty = _alpha(m) * m * m / (F.col("s") + (m - F.col("set"))), m - F.col("set")
+    return per.select("id", F.when((raw <= 2.5 * m) & (empty > 0), m * F.log(m / empty)).otherwise(raw).alias("reach"))
+
+
 def hyperanf(graph: Graph, rsd: float = 0.1, max_steps: int = 100, epsilon: float = 0.001, to_the_end: bool = False) -> DataFrame:
-    """t, estimate: the neighbourhood function from HyperLogLog counters, until it grows by less than ``epsilon``.
+    """t, estimate, seed and seed_reach from HyperLogLog counters, until the estimate grows by less than ``epsilon``.
 
-    A counter is kept as the registers that are set, (id, register, value), so that a step is one
-    aggregation by maximum and a vertex has at most 2^k rows.
+    The estimate is the neighbourhood function, the seed the vertex with the largest reach (the least id on ties).
+    A vertex has one row with its whole counter, and a step is one aggregation by bits.
     """
     k = registers_log2(rsd)
-    m = 1 << k
     edges = graph.by_source()
-    h = spread_again(F.col("id") * 31 + 7)
-    state = cut(graph.vertices.select("id", h.bitwiseAND(F.lit(m - 1)).cast("int").alias("register"), trailing_rank(F.shiftright(h, k), 32 - k).alias("value")))
-
-    def total(state: DataFrame) -> float:
-        per = state.groupBy("id").agg(F.sum(F.pow(F.lit(2.0), -F.col("value"))).alias("s"), F.count("*").alias("set"))
-        raw = _alpha(m) * m * m / (F.col("s") + (m - F.col("set")))
-        empty = m - F.col("set")
-        return per.select(F.when((raw <= 2.5 * m) & (empty > 0), m * F.log(m / empty)).otherwise(raw).alias("n")).agg(F.sum("n")).first()[0] or 0.0
-
-    sizes = [(0, total(state))]
-    for t in range(1, max_steps + 1):
-        moved = edges.join(state, edges.src == state.id).select(F.col("dst").alias("id"), "register", "value")
-        state = cut(state.unionByName(moved).groupBy("id", "register").agg(F.max("value").alias("value")))
-        sizes.append((t, total(state)))
-        before = sizes[-2][1]
-        if not to_the_end and before and abs(sizes[-1][1] - before) / before < epsilon:
+    state, sizes = cut(counters(graph, k)), []
+    for t in range(max_steps + 1):
+        if t:
+            after = cut(spread_on(edges, state))
+            drop(state)
+            state = after
+        told = estimates(state).withColumn("reach", F.round("reach", 9)).agg(F.sum("reach").alias("n"), F.max(F.struct("reach", (-F.col("id")).alias("i"))).alias("top")).first()
+        sizes.append((t, told["n"] or 0.0, -told["top"]["i"] if told["top"] else None, told["top"]["reach"] if told["top"] else None))
+        if t and not to_the_end and sizes[-2][1] and abs(sizes[-1][1] - sizes[-2][1]) / sizes[-2][1] < epsilon:
             break
     edges.unpersist()
-    return graph.spark.createDataFrame(sizes, "t int, estimate double")
+    return graph.spark.createDataFrame(sizes, "t int, estimate double, seed long, seed_reach double")
 
 
 def hll_registers(graph: Graph, steps: int, rsd: float = 0.1) -> DataFrame:
     """id, register, value after ``steps`` steps."""
-    k = registers_log2(rsd)
-    h = spread_again(F.col("id") * 31 + 7)
-    state = graph.vertices.select("id", h.bitwiseAND(F.lit((1 << k) - 1)).cast("int").alias("register"), trailing_rank(F.shiftright(h, k), 32 - k).alias("value"))
+    state = cut(counters(graph, registers_log2(rsd)))
     for _ in range(steps):
-        moved = graph.edges.join(state, graph.edges.src == state.id).select(F.col("dst").alias("id"), "register", "value")
-        state = cut(state.unionByName(moved).groupBy("id", "register").agg(F.max("value").alias("value")))
-    return state
+        state = cut(spread_on(graph.edges, state))
+    return registers(state)

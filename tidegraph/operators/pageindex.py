@@ -1,27 +1,31 @@
 """Bloom filters over pages of the edge list, and supersteps that read only the pages that may matter.
 
-A page is a run of ``per_page`` edges in stored order. Its filter holds four bits of each source in it,
-kept as rows (page_id, bit), so that a probe is a join. A page is hit if some frontier vertex has all its
-bits in the filter: pages with a frontier source always are, others may be.
+A page is a run of ``per_page`` edges in stored order. Its filter holds four bits of each source in it. The
+filters of ``GROUP`` pages are kept as bit slices: for each bit that any of them has set, one number whose
+bits say which pages have it, (bit, block, pages), in the order of the bits. A probe reads the slices of the
+bits that it asks for and no others: a vertex may be in the pages that are in all its slices. Pages with a
+frontier source always are hit, others may be.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import bloom_positions
 from ..graph import Graph
-from ..plans.lineage import cut, work_path
+from ..plans.lineage import cut, drop, work_path
 from ..plans.superstep import MonotoneProgram, Result, run_monotone
 from .sorting import numbered
 
-PER_PAGE, BITS = 256, 4096
-#: Pages in a folder of the stored edges: files of folders without a hit page are not opened.
-PAGES_PER_FOLDER = 64
+PER_PAGE, BITS, GROUP = 256, 1024, 64
+#: Pages in a folder of the stored edges (some two million edges): folders without a hit page are not opened.
+PAGES_PER_FOLDER = 8192
 #: Frontiers over this many vertices read all pages.
 MAX_CHECK = 600_000
+#: Hit pages that may be broadcast (16 bytes each).
+BROADCAST_PAGES = 1_000_000
 
 
 def paged(edges: DataFrame, *order: Column | str, per_page: int = PER_PAGE, first_row: int = 0) -> DataFrame:
@@ -32,17 +36,28 @@ def paged(edges: DataFrame, *order: Column | str, per_page: int = PER_PAGE, firs
 
 
 def filters(edges: DataFrame, bits: int = BITS) -> DataFrame:
-    """page_id, bit of all bits that are set. Deleted edges are left out."""
+    """bit, block, pages: the slices of all filters. Deleted edges are left out."""
     live = edges.where(~F.col("is_deleted")) if "is_deleted" in edges.columns else edges
-    return live.select("page_id", F.explode(bloom_positions(F.col("src"), bits)).alias("bit")).distinct()
+    there = F.expr(f"shiftleft(1L, CAST(page_id % {GROUP} AS INT))")
+    found = live.select(F.explode(bloom_positions(F.col("src"), bits)).alias("bit"), F.floor(F.col("page_id") / GROUP).cast("long").alias("block"), there.alias("page"))
+    return found.groupBy("bit", "block").agg(F.bit_or("page").alias("pages"))
+
+
+def pages_of(slices: DataFrame) -> DataFrame:
+    """Rows (.., block, pages) become a row with ``page_id`` for each page."""
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda i: F.getbit("pages", i) == 1))
+    rest = [c for c in slices.columns if c not in ("block", "pages")]
+    return slices.select(*rest, "block", at.alias("_at")).select((F.col("block") * GROUP + F.col("_at")).alias("page_id"), *rest)
 
 
 def probe(index: DataFrame, frontier: DataFrame, bits: int = BITS) -> DataFrame:
-    """page_id of the pages that the ids of the frontier hit."""
+    """page_id of the pages that the ids of the frontier hit. A slice may come in several rows."""
     wanted = frontier.select("id", F.array_distinct(bloom_positions(F.col("id"), bits)).alias("at"))
     wanted = wanted.select("id", F.size("at").alias("need"), F.explode("at").alias("bit"))
-    found = index.join(wanted, "bit").groupBy("id", "page_id", "need").agg(F.count("*").alias("n"))
-    return found.where("n = need").select("page_id").distinct()
+    whole = index.join(wanted.select("bit").distinct(), "bit", "left_semi").groupBy("bit", "block").agg(F.bit_or("pages").alias("pages"))
+    found = whole.join(wanted, "bit").groupBy("id", "need", "block").agg(F.count("*").alias("n"), F.bit_and("pages").alias("pages"))
+    blocks = found.where("n = need and pages <> 0").groupBy("block").agg(F.bit_or("pages").alias("pages"))
+    return pages_of(blocks).select("page_id")
 
 
 @dataclass
@@ -53,50 +68,80 @@ class PageIndex:
     path: str
     per_page: int = PER_PAGE
     bits: int = BITS
+    _read: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     @classmethod
     def create(cls, edges: DataFrame, *order: Column | str, path: str | None = None, per_page: int = PER_PAGE, bits: int = BITS) -> "PageIndex":
         index = cls(edges.sparkSession, path or work_path(edges.sparkSession, "pages"), per_page, bits)
         index._write(paged(edges, *order, per_page=per_page), "overwrite")
-        filters(index.edges, bits).write.mode("overwrite").parquet(f"{index.path}/index")
+        index._write_slices(filters(index.edges, bits), "overwrite")
         return index
 
     load = classmethod(lambda cls, spark, path, per_page=PER_PAGE, bits=BITS: cls(spark, path, per_page, bits))
 
     def _write(self, edges: DataFrame, mode: str) -> None:
         foldered = edges.withColumn("folder", F.floor(F.col("page_id") / PAGES_PER_FOLDER).cast("long"))
-        foldered.repartition("folder").sortWithinPartitions("row").write.mode(mode).partitionBy("folder").parquet(f"{self.path}/edges")
+        foldered.repartition("folder").sortWithinPartitions("folder", "row").write.mode(mode).partitionBy("folder").parquet(f"{self.path}/edges")
+        self._read.pop("edges", None)
+
+    def _write_slices(self, slices: DataFrame, mode: str) -> None:
+        slices.repartitionByRange("bit").sortWithinPartitions("bit", "block").write.mode(mode).parquet(f"{self.path}/index")
+        self._read.pop("index", None)
+
+    def _table(self, name: str) -> DataFrame:
+        """A stored table; its files are listed once, until it changes."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._read[name]
 
     @property
     def edges(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/edges")
+        return self._table("edges")
 
     @property
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/index")
+        """The slices; one may come in several rows, of which each says something."""
+        return self._table("index")
+
+    def filters(self) -> DataFrame:
+        """page_id, bit of all bits that the stored filters have set."""
+        return pages_of(self.index.groupBy("bit", "block").agg(F.bit_or("pages").alias("pages"))).select("page_id", "bit")
 
     def verify(self) -> bool:
-        """Whether the stored filters are those of the stored edges."""
-        built, stored = filters(self.edges, self.bits), self.index.select("page_id", "bit")
-        return built.exceptAll(stored).isEmpty() and stored.exceptAll(built).isEmpty()
+        """Whether the stored filters are those of the stored edges (deleted ones left out)."""
+        built, stored = filters(self.edges, self.bits), self.index.groupBy("bit", "block").agg(F.bit_or("pages").alias("pages"))
+        apart = built.join(stored.withColumnRenamed("pages", "other"), ["bit", "block"], "full").where(~F.col("pages").eqNullSafe(F.col("other")))
+        return apart.isEmpty()
 
     def append(self, more: DataFrame, *order: Column | str) -> None:
-        """Adds edges after the stored ones and the filters of the pages that they fill."""
+        """Adds edges after the stored ones and the slices of the pages that they fill."""
         last = self.edges.agg(F.max("row")).first()[0]
         first_row = 0 if last is None else last + 1
-        added = cut(paged(more, *order, per_page=self.per_page, first_row=first_row))
+        added = paged(more, *order, per_page=self.per_page, first_row=first_row)
+        added = cut(added.withColumn("is_deleted", F.lit(False)) if "is_deleted" in self.edges.columns else added)
         self._write(added, "append")
-        fresh = filters(added, self.bits)
-        if first_row % self.per_page:  # the page that was not full: only bits that it lacks
-            at = first_row // self.per_page
-            fresh = fresh.join(self.index.where(F.col("page_id") == at), ["page_id", "bit"], "left_anti")
-        cut(fresh).write.mode("append").parquet(f"{self.path}/index")
+        self._write_slices(filters(added, self.bits), "append")
+        drop(added)
+
+    def delete(self, which: Column) -> None:
+        """Marks stored edges as deleted. They keep their places, and the filters stay as they are: they may say too much, never too little."""
+        was = F.col("is_deleted") if "is_deleted" in self.edges.columns else F.lit(False)
+        marked = cut(self.edges.drop("folder").withColumn("is_deleted", was | F.coalesce(which, F.lit(False))))
+        self._write(marked, "overwrite")
+        drop(marked)
+
+    def rebuild(self) -> None:
+        """Makes the filters anew from the edges that are left."""
+        self._write_slices(cut(filters(self.edges, self.bits)), "overwrite")
+
+    def _live(self, edges: DataFrame) -> DataFrame:
+        return edges.where("not is_deleted") if "is_deleted" in edges.columns else edges
 
     def scan(self, frontier: DataFrame) -> DataFrame:
-        """The edges of the pages that the frontier hits."""
-        hit = cut(probe(self.index, frontier, self.bits))
-        folders = [r[0] for r in hit.select(F.floor(F.col("page_id") / PAGES_PER_FOLDER).cast("long")).distinct().collect()]  # a row for each folder
-        return self.edges.where(F.col("folder").isin(folders)).join(hit, "page_id", "left_semi")
+        """The live edges of the pages that the frontier hits. Folders without one are pruned by the join."""
+        hit = cut(probe(self.index, frontier, self.bits).withColumn("folder", F.floor(F.col("page_id") / PAGES_PER_FOLDER).cast("long")))
+        hit, few = hit.where("page_id >= 0"), hit.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+        return self._live(self.edges.join(F.broadcast(hit) if few else hit, ["folder", "page_id"], "left_semi"))
 
     def select(self, max_check: int = MAX_CHECK, min_phase: int = 0):
         """For ``run_monotone``: reads by the index while the frontier is small (and not a single vertex), else all edges."""
@@ -104,7 +149,7 @@ class PageIndex:
         def choose(frontier: DataFrame, active: int, phase: int) -> DataFrame:
             if phase >= min_phase and 1 < active < max_check:
                 return self.scan(frontier)
-            return self.edges
+            return self._live(self.edges)
 
         return choose
 

@@ -54,19 +54,19 @@ def clean_up() -> None:
             continue
 
 
-def cut(df: DataFrame, label: str = "state") -> DataFrame:
-    """Writes ``df`` and reads it back: what follows starts from the files."""
+def cut(df: DataFrame, label: str = "state", by: list[str] | None = None) -> DataFrame:
+    """Writes ``df`` (in folders ``by`` some columns) and reads it back: what follows starts from the files."""
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
-def counted(df: DataFrame, label: str = "state") -> tuple[DataFrame, int]:
+def counted(df: DataFrame, label: str = "state", by: list[str] | None = None) -> tuple[DataFrame, int]:
     """As ``cut``, with the number of rows, which is counted as they are written."""
     seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label, by)
     return out, seen.get["n"]
 
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixtures
@@ -15,6 +18,7 @@ from .fixtures import COPURCHASE_SQL, EVENT_EDGES_SQL, PART_EDGES_SQL, RATINGS_S
 from .graph import Graph
 from .operators import belief, centrality, factorisation, independent, mutation, neighbourhoods, pageindex, ranking, scans, sorting, spanning, strong, traversal, triangles
 from .plans.lineage import work_path
+from .plans.superstep import BatchProgram, VertexProgram, run, run_batches, run_monotone
 from .sources import edgefiles, generators
 from .streaming import online
 
@@ -291,12 +295,36 @@ def bp_seeded(spark, sf_dir):
 # forests, centrality, factors ------------------------------------------------------------------------
 
 
-@query(SYM + LABELS_SQL.format(x="s") + ", k AS (SELECT count(*) AS cc_count FROM l WHERE id = c) SELECT (SELECT count(*) FROM v) - cc_count AS tree_edges, cc_count FROM k")
+#: Components when only edges up to each weight count (weights are whole numbers from 1 to 8): where they fall, edges of that weight are taken.
+FOREST_WEIGHT_SQL = """,
+    w AS (SELECT CAST(range AS INTEGER) AS k FROM range(9)),
+    l(k, id, c) USING KEY (k, id) AS (
+        SELECT k, id, id FROM w, v
+        UNION
+        SELECT n.k, n.id, n.c FROM (SELECT l.k, x.dst AS id, min(l.c) AS c FROM l JOIN s x ON x.src = l.id AND x.weight <= l.k GROUP BY l.k, x.dst) n JOIN recurring.l r ON r.k = n.k AND r.id = n.id WHERE n.c < r.c),
+    m AS (SELECT k, count(*) AS n FROM l WHERE id = c GROUP BY k)
+    SELECT (SELECT count(*) FROM v) - (SELECT n FROM m WHERE k = 8) AS tree_edges, (SELECT n FROM m WHERE k = 8) AS cc_count, CAST(sum(a.k * (b.n - a.n)) AS DOUBLE) AS total_weight FROM m a JOIN m b ON b.k = a.k - 1"""
+
+
+@query(SYM + FOREST_WEIGHT_SQL)
 def mcst_summary(spark, sf_dir):
-    return spanning.mcst_summary(fixtures.part_edges(spark, sf_dir)).select("tree_edges", "cc_count")
+    return spanning.mcst_summary(fixtures.part_edges(spark, sf_dir))
+
+
+#: Edges one after the other in their order, each taken if its ends have different labels then. Row -1 holds the place, rows below the edges taken.
+KRUSKAL_SQL = """,
+    o AS MATERIALIZED (SELECT u, v, weight, row_number() OVER (ORDER BY weight, u, v) AS k FROM (SELECT src AS u, dst AS v, weight FROM s WHERE src < dst)),
+    t(id, c) USING KEY (id) AS (
+        SELECT id, id FROM v UNION ALL SELECT -1, 0
+        UNION
+        SELECT n.id, n.c FROM (
+            SELECT CASE j.i WHEN 0 THEN -1 WHEN 1 THEN -1 - o.k ELSE r.id END AS id, CASE j.i WHEN 0 THEN o.k WHEN 1 THEN o.k ELSE least(a.c, b.c) END AS c
+            FROM t JOIN o ON o.k = t.c + 1 JOIN recurring.t a ON a.id = o.u JOIN recurring.t b ON b.id = o.v, (VALUES (0), (1), (2)) j(i), recurring.t r
+            WHERE t.id = -1 AND (j.i = 0 AND r.id = -1 OR a.c <> b.c AND (j.i = 1 AND r.id = -1 OR j.i = 2 AND r.id >= 0 AND r.c = greatest(a.c, b.c)))) n)
+    SELECT o.u AS src, o.v AS dst, o.weight FROM t JOIN o ON o.k = -1 - t.id WHERE t.id < -1"""
 
 
-@query()
+@query(SYM + KRUSKAL_SQL)
 def mcst(spark, sf_dir):
     return spanning.mcst(fixtures.part_edges(spark, sf_dir))
 
@@ -326,10 +354,46 @@ def bc(spark, sf_dir):
     return rounded(centrality.betweenness(graph.unweighted(), root_of(graph)), "paths", "centrality")
 
 
-@query()
-def als_rmse(spark, sf_dir):
-    graph = fixtures.ratings(spark, sf_dir)
-    return rounded(factorisation.als(graph)[2], "sse", "rmse", digits=3)
+#: Shortest paths by their number of edges, forward, and shares back in the same way: both sums end with the longest path.
+WEIGHTED_BC_SQL = SSSP_SQL + """,
+    g AS MATERIALIZED (SELECT e.src, e.dst FROM e JOIN p x ON x.id = e.src JOIN p y ON y.id = e.dst WHERE x.distance + e.weight = y.distance AND e.src <> e.dst),
+    hops(id, h, x) AS (SELECT min(src), 0, CAST(1 AS DOUBLE) FROM e UNION ALL SELECT g.dst, hops.h + 1, sum(hops.x) FROM hops JOIN g ON g.src = hops.id GROUP BY g.dst, hops.h),
+    n AS MATERIALIZED (SELECT id, sum(x) AS x FROM hops GROUP BY id),
+    r AS MATERIALIZED (SELECT g.src, g.dst, a.x / b.x AS share FROM g JOIN n a ON a.id = g.src JOIN n b ON b.id = g.dst),
+    back(id, h, x) AS (SELECT id, 0, CAST(1 AS DOUBLE) FROM n UNION ALL SELECT r.src, back.h + 1, sum(r.share * back.x) FROM back JOIN r ON r.dst = back.id GROUP BY r.src, back.h),
+    q AS (SELECT id, sum(x) AS x FROM back WHERE h > 0 GROUP BY id)
+    SELECT n.id, round(n.x + 1e-10, 6) AS paths, round(coalesce(q.x, 0) + 1e-10, 6) AS centrality FROM n LEFT JOIN q ON q.id = n.id"""
+
+
+@query(PART + WEIGHTED_BC_SQL)
+def bc_weighted(spark, sf_dir):
+    graph = fixtures.part_edges(spark, sf_dir)
+    return rounded(centrality.betweenness(graph, root_of(graph)), "paths", "centrality")
+
+
+ALS_ROUNDS, PENALTY = 2, 0.065
+
+
+def _als_sql() -> str:
+    """Factors of two numbers: the normal equations of two unknowns have a formula."""
+    first = lambda k: f"0.5::DOUBLE + ((id + 1) * {k * 7919 + 1} % 104729) / 209458::DOUBLE"
+    sql = RAT + f", z AS (SELECT src AS a, dst AS b, CAST(weight AS DOUBLE) AS x FROM r), l0 AS MATERIALIZED (SELECT id, {first(0)} AS f, {first(1)} AS g FROM (SELECT DISTINCT a AS id FROM z))"
+    solved = lambda own, other, table: f"""SELECT id, (q * t - s * u) / (p * q - s * s) AS f, (p * u - s * t) / (p * q - s * s) AS g FROM (
+        SELECT z.{own} AS id, sum(f * f) + {PENALTY} * count(*) AS p, sum(g * g) + {PENALTY} * count(*) AS q, sum(f * g) AS s, sum(f * x) AS t, sum(g * x) AS u FROM z JOIN {table} y ON y.id = z.{other} GROUP BY z.{own})"""
+    for k in range(ALS_ROUNDS):
+        sql += f", h{k} AS MATERIALIZED ({solved('b', 'a', f'l{k}')}), l{k + 1} AS MATERIALIZED ({solved('a', 'b', f'h{k}')})"
+    return sql
+
+
+@query(_als_sql() + f" SELECT count(*) AS edges, round(sum((x - l.f * h.f - l.g * h.g) ** 2) + 1e-10, 3) AS sse, round(sqrt(sum((x - l.f * h.f - l.g * h.g) ** 2) / count(*)) + 1e-10, 6) AS rmse FROM z JOIN l{ALS_ROUNDS} l ON l.id = z.a JOIN h{ALS_ROUNDS - 1} h ON h.id = z.b")
+def als(spark, sf_dir):
+    fit = factorisation.als(fixtures.ratings(spark, sf_dir), rank=2, rounds=ALS_ROUNDS, penalty=PENALTY)[2]
+    return rounded(rounded(fit, "sse", digits=3), "rmse")
+
+
+@query(_als_sql() + f" SELECT id, round(f + 1e-10, 6) AS f0, round(g + 1e-10, 6) AS f1 FROM l{ALS_ROUNDS} UNION ALL SELECT id, round(f + 1e-10, 6), round(g + 1e-10, 6) FROM h{ALS_ROUNDS - 1}")
+def als_async(spark, sf_dir):
+    return rounded(factorisation.als_async(fixtures.ratings(spark, sf_dir), rank=2, rounds=ALS_ROUNDS, penalty=PENALTY), "f0", "f1")
 
 
 # neighbourhoods and triangles ------------------------------------------------------------------------
@@ -355,9 +419,17 @@ def hyperanf_hll(spark, sf_dir):
     return neighbourhoods.hll_registers(fixtures.part_edges(spark, sf_dir), 3)
 
 
-@query()
+HYPERANF_STEPS = 4
+REACH_OF = """(SELECT id, round(CASE WHEN raw <= 320 AND empty > 0 THEN 128 * ln(128 / empty) ELSE raw END, 9) AS reach FROM (
+    SELECT id, 128 - count(*) AS empty, 0.7213 / (1 + 1.079 / 128) * 128 * 128 / (sum(pow(2, -value)) + 128 - count(*)) AS raw FROM h{0} GROUP BY id))"""
+
+
+@query(
+    COP + unrolled("h", HLL_FIRST, lambda k: f"SELECT id, register, max(value) AS value FROM (SELECT * FROM h{k - 1} UNION ALL SELECT c.dst, h.register, h.value FROM h{k - 1} h JOIN c ON c.src = h.id) GROUP BY id, register", HYPERANF_STEPS)
+    + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS t, round(sum(reach) + 1e-10, 3) AS estimate, -max({{'a': reach, 'b': -id}}).b AS seed, round(max(reach) + 1e-10, 3) AS seed_reach FROM {REACH_OF.format(k)}" for k in range(HYPERANF_STEPS + 1)) + ")"
+)
 def hyperanf(spark, sf_dir):
-    return rounded(neighbourhoods.hyperanf(fixtures.copurchase(spark, sf_dir), max_steps=8), "estimate", digits=3)
+    return rounded(neighbourhoods.hyperanf(fixtures.copurchase(spark, sf_dir), max_steps=HYPERANF_STEPS, to_the_end=True), "estimate", "seed_reach", digits=3)
 
 
 @query(
@@ -393,7 +465,7 @@ INDEX_SQL = PAGES_SQL + ", i AS MATERIALIZED (SELECT DISTINCT page_id, unnest("
 
 @query(PART + INDEX_SQL + " SELECT page_id, bit FROM i")
 def page_index(spark, sf_dir):
-    return pageindex.filters(pageindex.paged(fixtures.part_edges(spark, sf_dir).edges))
+    return pageindex.pages_of(pageindex.filters(pageindex.paged(fixtures.part_edges(spark, sf_dir).edges), 4096)).select("page_id", "bit")
 
 
 @query(
@@ -402,8 +474,8 @@ def page_index(spark, sf_dir):
 )
 def page_probe(spark, sf_dir):
     graph = fixtures.part_edges(spark, sf_dir)
-    index = pageindex.filters(pageindex.paged(graph.edges))
-    return pageindex.probe(index, graph.vertices.where("id % 200 = 0"))
+    index = pageindex.filters(pageindex.paged(graph.edges), 4096)
+    return pageindex.probe(index, graph.vertices.where("id % 200 = 0"), 4096)
 
 
 @query(ORACLE_SQL["bfs"])
@@ -413,6 +485,89 @@ def bfs_selective(spark, sf_dir):
     return pageindex.run_selective(graph, traversal.bfs_program(graph, root_of(graph)), index).state.select("id", "v.level", "v.parent")
 
 
+@query(
+    PART + f""", a AS (SELECT src, CAST(row_number() OVER (ORDER BY src, dst, weight) - 1 AS BIGINT) AS row FROM e WHERE dst % 5 <> 0),
+    b AS (SELECT src, (SELECT count(*) FROM a) + CAST(row_number() OVER (ORDER BY src, dst, weight) - 1 AS BIGINT) AS row FROM e WHERE dst % 5 = 0)
+    SELECT DISTINCT row // 256 AS page_id, unnest({BITS_SQL.format('src')}) AS bit FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+)
+def index_update(spark, sf_dir):
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    index = pageindex.PageIndex.create(edges.where("dst % 5 <> 0"), bits=4096)
+    index.append(edges.where("dst % 5 = 0"))
+    return index.filters()
+
+
+@query("SELECT true AS built, true AS appended, false AS after_deletion, true AS rebuilt")
+def index_verify(spark, sf_dir):
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    index = pageindex.PageIndex.create(edges.where("dst % 5 <> 0"))
+    found = [index.verify()]
+    for change in (lambda: index.append(edges.where("dst % 5 = 0")), lambda: index.delete(F.col("src") % 3 == 0), index.rebuild):
+        change()
+        found.append(index.verify())
+    return spark.createDataFrame([tuple(found)], "built boolean, appended boolean, after_deletion boolean, rebuilt boolean")
+
+
+LIVE_BFS = PART + ", live AS (SELECT src, dst FROM e WHERE (src + 3 * dst) % 10 <> 0)" + BFS_SQL.replace("FROM e\n", "FROM live\n").replace("JOIN e ON", "JOIN live e ON")
+
+
+@query(LIVE_BFS + " SELECT id, level, parent FROM b")
+def bfs_deleted(spark, sf_dir):
+    """Over deleted edges, with the filters that they left."""
+    graph = fixtures.part_edges(spark, sf_dir).unweighted()
+    index = pageindex.PageIndex.create(graph.edges)
+    index.delete((F.col("src") + 3 * F.col("dst")) % 10 == 0)
+    live = graph.with_edges(index.edges.where("not is_deleted"))
+    return pageindex.run_selective(live, traversal.bfs_program(live, root_of(live)), index).state.select("id", "v.level", "v.parent")
+
+
+@query(PART + BFS_SQL + ", n AS (SELECT level, count(*) AS n FROM b GROUP BY level) SELECT CAST(a.level AS BIGINT) AS phase, a.n AS active, coalesce(c.n, 0) AS changed FROM n a LEFT JOIN n c ON c.level = a.level + 1")
+def superstep_metrics(spark, sf_dir):
+    graph = fixtures.part_edges(spark, sf_dir).unweighted()
+    return run_monotone(graph, traversal.bfs_program(graph, root_of(graph)), ahead=1).metrics().select("phase", "active", "changed")
+
+
+PROGRAM_STEPS = 3
+PROGRAM_SQL = PART + unrolled("x", "SELECT id, id AS x FROM v", lambda k: f"SELECT p.id, greatest(p.x, coalesce(max(q.x), p.x)) AS x FROM x{k - 1} p LEFT JOIN e ON e.dst = p.id LEFT JOIN x{k - 1} q ON q.id = e.src GROUP BY p.id, p.x", PROGRAM_STEPS) + f" SELECT id, x FROM x{PROGRAM_STEPS}"
+
+
+@query(PROGRAM_SQL)
+def vertex_program(spark, sf_dir):
+    program = VertexProgram(init={"x": F.col("id")}, message={"m": F.col("x")}, combine={"m": F.max("m")}, apply={"x": F.greatest("x", F.coalesce("m", "x"))}, phases=PROGRAM_STEPS)
+    return run(fixtures.part_edges(spark, sf_dir).unweighted(), program).state.select("id", "x")
+
+
+@query(PROGRAM_SQL)
+def batch_program(spark, sf_dir):
+    """The same by Python functions over Arrow batches."""
+
+    def scatter(edges: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([edges.column("dst"), edges.column("x")], names=["dst", "m"])
+
+    def gather(state: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([state.column("id"), pc.max_element_wise(state.column("x"), state.column("m"))], names=["id", "x"])
+
+    program = BatchProgram(init={"x": F.col("id")}, state="id long, x long", messages="dst long, m long", scatter=scatter, combine={"m": F.max("m")}, gather=gather, phases=PROGRAM_STEPS)
+    return run_batches(fixtures.part_edges(spark, sf_dir).unweighted(), program).state
+
+
+@query(PART + " SELECT v.id, coalesce(sum(e.weight * (e.src % 7)), 0.0) AS y FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id")
+def spmv_x(spark, sf_dir):
+    graph = fixtures.part_edges(spark, sf_dir)
+    return scans.spmv(graph, graph.vertices.select("id", (F.col("id") % 7).cast("double").alias("x")))
+
+
+@query(PART + " SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM e")
+def sort_check(spark, sf_dir):
+    return sorting.is_sorted(sorting.numbered(fixtures.part_edges(spark, sf_dir).edges, "src", "dst"), "row", "src", "dst")
+
+
+@query(PART + " SELECT src, dst, weight, src % 4 = 0 AS is_deleted FROM e")
+def edges_delete_named(spark, sf_dir):
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    return mutation.delete_edges(edges, edges.where("src % 4 = 0").select("src", "dst"))
+
+
 @query(PART + PAGES_SQL + " SELECT src, dst, weight, row, page_id FROM g")
 def sort_edges(spark, sf_dir):
     return pageindex.paged(fixtures.part_edges(spark, sf_dir).edges).select("src", "dst", "weight", "row", "page_id")
@@ -500,6 +655,67 @@ def pairs_roundtrip(spark, sf_dir):
     return edgefiles.read_snap(spark, folder).select("src", "dst")
 
 
+@query(PART + " SELECT src, dst FROM e")
+def binary8_roundtrip(spark, sf_dir):
+    folder = work_path(spark, "binary")
+    edgefiles.write_binary(fixtures.part_edges(spark, sf_dir).edges, folder, 8)
+    return edgefiles.read_binary(spark, folder, 8)
+
+
+@query(PART + " SELECT src, dst, weight FROM e")
+def binary16_roundtrip(spark, sf_dir):
+    folder = work_path(spark, "binary")
+    edgefiles.write_binary(fixtures.part_edges(spark, sf_dir).edges, folder, 16)
+    return edgefiles.read_binary(spark, folder, 16)
+
+
+@query(PART + " SELECT src, dst FROM e")
+def matrix_market_pattern(spark, sf_dir):
+    graph, folder = fixtures.part_edges(spark, sf_dir).unweighted(), work_path(spark, "matrix-market")
+    edgefiles.write_matrix_market(graph.edges, folder, graph.meta)
+    return edgefiles.read_matrix_market(spark, folder)[0].select("src", "dst")
+
+
+def _as_text(lines: DataFrame, label: str) -> str:
+    folder = work_path(lines.sparkSession, label)
+    lines.write.text(folder)
+    return folder
+
+
+@query(PART + " SELECT src, dst FROM e")
+def numbered_pairs(spark, sf_dir):
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    return edgefiles.read_pairs(spark, _as_text(edges.select(F.concat_ws(" ", (F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string")).alias("value")), "pairs")).select("src", "dst")
+
+
+@query(PART + " SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e")
+def adjacency_lists(spark, sf_dir):
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    lists = edges.groupBy("src").agg(F.count("*").alias("n"), F.concat_ws(" ", F.collect_list(F.col("dst").cast("string"))).alias("to"))
+    return edgefiles.read_adjacency(spark, _as_text(lists.select(F.concat_ws(" ", "src", "n", "to").alias("value")), "adjacency")).select("src", "dst")
+
+
+@query(
+    """WITH r AS (SELECT l_suppkey AS src, l_partkey AS user, max(CAST(l_quantity AS INTEGER) % 5 + 1) AS weight FROM lineitem WHERE l_suppkey < 8 GROUP BY 1, 2)
+    SELECT src, 17769 + dense_rank() OVER (ORDER BY user) AS dst, CAST(weight AS DOUBLE) AS weight FROM r"""
+)
+def rating_files(spark, sf_dir):
+    """Eight suppliers as movies, a file each."""
+    lines = fixtures.table(spark, sf_dir, "lineitem").where("l_suppkey < 8").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_quantity").cast("int") % 5 + 1).alias("rating"))
+    folder = work_path(spark, "ratings")
+
+    def write(table: pa.Table) -> pa.Table:
+        movie = table.column("l_suppkey")[0].as_py() + 1
+        system, base = pafs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(f"{base}/mv_{movie:07d}.txt") as out:
+            out.write(f"{movie}:\n".encode() + "".join(f"{u},{r},2005-01-01\n" for u, r in zip(table.column("l_partkey").to_pylist(), table.column("rating").to_pylist())).encode())
+        return pa.table({"movie": pa.array([movie], pa.int64())})
+
+    lines.groupBy("l_suppkey").applyInArrow(write, "movie long").collect()  # a row for each of the eight files
+    return edgefiles.read_ratings(spark, folder)
+
+
 def _mixed_steps(seed: int, kinds: list[int], n: int) -> str:
     """CTEs that make the hashes u<kind> of the ids below ``n``, a step at a time."""
     step = lambda x: f"xor({x}, {x} >> 16)"
@@ -539,3 +755,34 @@ def _rmat_sql(scale: int, n: int) -> str:
 @query(_rmat_sql(12, 20000))
 def rmat(spark, sf_dir):
     return generators.rmat(spark, 12, 20000, noise=0)
+
+
+def _noisy_rmat_sql(scale: int, n: int, noise: float = 0.05) -> str:
+    """As above with chances varied by level, a weight, and both directions."""
+    chances = (0.57, 0.19, 0.19, 1 - 0.57 - 0.19 - 0.19)
+    names = {f"u{k}": (1, 4 * k) for k in range(scale)} | {f"n{k}_{q}": (2, 4 * k + q) for k in range(scale) for q in range(4)} | {"weight": (1, 3)}
+    step = lambda x: f"xor({x}, {x} >> 16)"
+    mix = lambda x: f"(({step(x)}) * 73244475) & 4294967295"
+    folded = {}
+    for name, parts in names.items():
+        x = 0
+        for part in parts:
+            x = (x * 31 + part) & 4294967295
+            for _ in range(2):
+                x = ((x ^ x >> 16) * 73244475) & 4294967295
+        folded[name] = x
+    sql = f"WITH i AS (SELECT CAST(range AS BIGINT) AS id FROM range({n}))"
+    sql += ", a AS (SELECT id, " + ", ".join(f"({x}::BIGINT * 31 + id) & 4294967295 AS {name}" for name, x in folded.items()) + " FROM i)"
+    for after, before, expr in (("b", "a", mix), ("c", "b", mix), ("d", "c", step)):
+        sql += f", {after} AS (SELECT id, " + ", ".join(f"{expr(name)} AS {name}" for name in names) + f" FROM {before})"
+    varied = lambda k, q: f"{chances[q]!r}::DOUBLE * ({1 - noise!r}::DOUBLE + {2 * noise / 2**32!r}::DOUBLE * n{k}_{q})"
+    sql += ", p AS (SELECT id, weight / 4294967296.0::DOUBLE AS weight, " + ", ".join(f"u{k} / 4294967296.0::DOUBLE AS u{k}, " + ", ".join(f"{varied(k, q)} AS p{k}_{q}" for q in range(4)) for k in range(scale)) + " FROM d)"
+    sql += ", q AS (SELECT *, " + ", ".join(f"u{k} * (p{k}_0 + p{k}_1 + p{k}_2 + p{k}_3) AS x{k}" for k in range(scale)) + " FROM p)"
+    down = " + ".join(f"{1 << scale - 1 - k} * CAST(x{k} >= p{k}_0 + p{k}_1 AS BIGINT)" for k in range(scale))
+    right = " + ".join(f"{1 << scale - 1 - k} * CAST(x{k} >= p{k}_0 AND x{k} < p{k}_0 + p{k}_1 OR x{k} >= p{k}_0 + p{k}_1 + p{k}_2 AS BIGINT)" for k in range(scale))
+    return sql + f", m AS (SELECT {down} AS src, {right} AS dst, weight FROM q) SELECT src, dst, weight FROM m UNION ALL SELECT dst, src, weight FROM m"
+
+
+@query(_noisy_rmat_sql(10, 8000))
+def rmat_noise(spark, sf_dir):
+    return generators.rmat(spark, 10, 8000, weighted=True, symmetric=True)

@@ -91,7 +91,10 @@ def read_matrix_market(spark: SparkSession, path: str, weighted: bool = False) -
     header = sized.agg(F.min(F.struct("at", "line", "t")).alias("h")).first()["h"]
     if header is None:
         raise ValueError("no size line")
-    body = lines.where(F.col("line") != header["line"])
+    body = lines.where(F.col("line") != header["line"]).select("t")
+    again = lines.where(F.col("line") == header["line"]).count() - 1  # edges that read like the size line: as many stay as there are
+    if again > 0:
+        body = body.unionByName(spark.range(again).select(F.array(*map(F.lit, header["t"])).alias("t")))
     edges = body.select((F.col("t")[0].cast("long") - 1).alias("src"), (F.col("t")[1].cast("long") - 1).alias("dst"), "t")
     edges = edges.select("src", "dst", F.col("t")[2].cast("double").alias("weight")) if weighted else edges.select("src", "dst", _hashed_weight())
     return edges, max(int(header["t"][0]), int(header["t"][1]))

@@ -6,49 +6,98 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..graph import Graph
 from ..operators.traversal import cc
-from ..plans.lineage import cut, work_path
+from ..plans.lineage import cut, drop, remove, union, work_path
+
+#: Batches whose new vertices are kept side by side before they become one table.
+LOG = 16
 
 
 class OnlineComponents:
     """Labels (id, component) after every batch: the least id that a vertex is connected to.
 
-    A batch links the labels of its ends; the components of this small graph of labels say which labels
-    become one, and the table of labels is rewritten through that map. Each version is a table in the
-    shared folder and is replaced only when the next one is whole.
+    A vertex is named once, by its own id, when it comes. A batch links the labels of its ends; the
+    components of this small graph of labels say which labels become one, and only the table of labels that
+    have been given up (label, root) is rewritten. All lies in ``folder``, a folder for each batch that is
+    whole once its history is written, so that a driver that starts anew goes on after the last whole batch
+    and takes no batch twice. Without a folder a working one is used.
     """
 
-    def __init__(self, spark: SparkSession, vertices: DataFrame | None = None):
-        self.spark = spark
-        self.labels = cut((vertices.select("id") if vertices is not None else spark.createDataFrame([], "id long")).select("id", F.col("id").alias("component")), "labels")
+    def __init__(self, spark: SparkSession, vertices: DataFrame | None = None, folder: str | None = None):
+        self.spark, self.folder = spark, (folder or work_path(spark, "components")).rstrip("/")
+        self.names: list[DataFrame] = []
+        self.roots: DataFrame | None = None
         self.history: list[tuple[int, int, int]] = []
+        if not self._load() and vertices is not None:
+            self._write(-1, vertices.select(F.col("id").cast("long").alias("id")).distinct(), None, 0)
+
+    def _load(self) -> bool:
+        """Takes up what whole batches have left."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+        whole = sorted(int(n.removeprefix("batch-")) for n in found if n.startswith("batch-") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/history/_SUCCESS")))
+        for b in whole:
+            self._read(b)
+        return bool(whole)
+
+    def _read(self, batch_id: int) -> None:
+        at = f"{self.folder}/batch-{batch_id}"
+        self.names.append(self.spark.read.schema("id long").parquet(f"{at}/names"))
+        self.roots = self.spark.read.schema("label long, root long").parquet(f"{at}/roots")
+        self.history.append(tuple(self.spark.read.parquet(f"{at}/history").first()))
+        if len(self.names) > LOG:
+            self.names = [cut(union(self.names), "names")]
+
+    def _write(self, batch_id: int, new: DataFrame, roots: DataFrame | None, merged: int) -> None:
+        at = f"{self.folder}/batch-{batch_id}"
+        remove(self.spark, at)  # what a driver that was lost left behind
+        new.write.parquet(f"{at}/names")
+        roots = self.spark.createDataFrame([], "label long, root long") if roots is None else roots
+        roots.write.parquet(f"{at}/roots")
+        n = (self.history[-1][1] if self.history else 0) + self.spark.read.parquet(f"{at}/names").count() - merged
+        self.spark.createDataFrame([(batch_id, n, merged)], "batch_id long, n long, merged long").coalesce(1).write.parquet(f"{at}/history")
+        self._read(batch_id)
+
+    @property
+    def labels(self) -> DataFrame:
+        """id, component of all vertices that have come."""
+        ids = union(self.names) if self.names else self.spark.createDataFrame([], "id long")
+        return self._rooted(ids, "id", "component")
+
+    def _rooted(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        if self.roots is None:
+            return rows.withColumn(name, F.col(column))
+        return rows.join(self.roots.withColumnRenamed("label", column), column, "left").withColumn(name, F.coalesce("root", column)).drop("root")
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """Takes in edges (src, dst), in whatever direction."""
+        if self.history and batch_id <= self.history[-1][0]:
+            return  # a batch that was whole already
         edges = cut(batch.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null").distinct(), "batch")
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        new = ends.join(self.labels, "id", "left_anti").select("id", F.col("id").alias("component"))
-        labels = cut(self.labels.unionByName(new), "labels")
-        a, b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in ("src", "dst"))
-        links = edges.join(a, "src").join(b, "dst").where("csrc <> cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst"))
-        links = cut(links.distinct(), "links")
-        merged = 0
+        new = cut(ends.join(union(self.names), "id", "left_anti") if self.names else ends, "new")
+        links = self._rooted(self._rooted(edges, "src", "a"), "dst", "b").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+        links, merged, roots = cut(links, "links"), 0, self.roots
         if not links.isEmpty():
-            least = cut(cc(Graph(links).symmetrize()).where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("to")), "merges")
-            merged = least.count()
-            labels = cut(labels.join(least, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
-        self.labels = labels
-        self.history.append((batch_id, labels.where("id = component").count(), merged))
+            least = cut(cc(Graph(links).symmetrize()).where("id <> component").select(F.col("id").alias("label"), F.col("component").alias("root")), "merges")
+            merged, roots = least.count(), least
+            if self.roots is not None:  # older roots may have been given up now
+                moved = least.select(F.col("label").alias("root"), F.col("root").alias("to"))
+                roots = self.roots.join(moved, "root", "left").select("label", F.coalesce("to", "root").alias("root")).unionByName(least)
+        self._write(batch_id, new, roots, merged)
+        drop(edges, new, links)
 
     def counts(self) -> DataFrame:
         """batch_id, n_components, merges."""
-        return self.spark.createDataFrame(self.history, "batch_id long, n_components long, merges long")
+        return self.spark.createDataFrame([h for h in self.history if h[0] >= 0], "batch_id long, n_components long, merges long")
 
 
-def cc_online(source: DataFrame, vertices: DataFrame | None = None) -> OnlineComponents:
-    """Runs a stream of edges (src, dst) to its end, batch by batch."""
+def cc_online(source: DataFrame, vertices: DataFrame | None = None, folder: str | None = None) -> OnlineComponents:
+    """Runs a stream of edges (src, dst) to its end, batch by batch. With a ``folder`` a later run goes on where this one ended."""
     spark = source.sparkSession
-    state = OnlineComponents(spark, vertices)
-    query = source.writeStream.foreachBatch(lambda batch, batch_id: state.add(batch, batch_id)).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start()
+    state = OnlineComponents(spark, vertices, folder)
+    query = source.writeStream.foreachBatch(lambda batch, batch_id: state.add(batch, batch_id)).option("checkpointLocation", f"{state.folder}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
     return state
 
