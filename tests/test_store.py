@@ -47,6 +47,46 @@ def test_selective_is_full(spark, edges):
     assert rows(pageindex.run_selective(graph, program, index, max_check=1).state) == rows(full.state)
 
 
+def test_slices_say_what_filters_hold(spark, edges):
+    stored = pageindex.paged(edges, per_page=4)
+    slices = pageindex.filters(stored, 256)
+    want = stored.select("page_id", F.explode(pageindex.bloom_positions(F.col("src"), 256)).alias("bit")).distinct()
+    assert rows(pageindex.pages_of(slices).select("page_id", "bit")) == rows(want)
+    assert want.agg(F.max("page_id")).first()[0] > 4 * pageindex.GROUP
+
+
+def test_deleted_edges_and_filters_that_say_too_much(spark, edges):
+    index = pageindex.PageIndex.create(edges, per_page=16, bits=512)
+    index.delete((F.col("src") + F.col("dst")) % 3 == 0)
+    assert not index.verify()
+    live = Graph.dense(edges.where("(src + dst) % 3 <> 0"), 400)
+    program = traversal.bfs_program(live, 5)
+    assert rows(pageindex.run_selective(live, program, index).state) == rows(run_monotone(live, program).state)
+    index.rebuild()
+    assert index.verify()
+    index.append(edges.where("src < 10").select("src", "dst"))
+    assert index.verify() and index.edges.where("not is_deleted").count() == live.edges.count() + edges.where("src < 10").count()
+
+
+def test_folders_without_a_hit_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(pageindex, "PAGES_PER_FOLDER", 4)
+    edges = spark.range(20000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    index = pageindex.PageIndex.create(edges, per_page=64, bits=4096)
+    found = index.scan(spark.createDataFrame([(70,), (71,)], "id long"))
+    assert {70, 71} <= {r.src for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan  # of the folders
+    hit = pageindex.probe(index.index, spark.createDataFrame([(70,), (71,)], "id long"), 4096).count()
+    assert found.count() <= 64 * hit < 20000 / 4
+
+
+def test_filters_are_small_beside_the_edges(spark, tmp_path):
+    edges = generators.rmat(spark, 16, 300_000, weighted=True)
+    index = pageindex.PageIndex.create(edges, path=str(tmp_path / "i"))
+    size = lambda x: sum(f.stat().st_size for f in (tmp_path / "i" / x).rglob("*.parquet"))
+    assert size("index") < size("edges") / 5
+
+
 def test_append_equals_rebuilding(spark, edges):
     first, more = edges.where("src < 300"), edges.where("src >= 300")
     index = pageindex.PageIndex.create(first, per_page=16, bits=512)
@@ -67,7 +107,8 @@ def test_delete_and_purge(spark, edges):
     purged = mutation.purge(gone, per_page=16)
     assert rows(purged.select("src", "dst")) == left
     assert sorted(r.row for r in purged.collect()) == list(range(len(left)))
-    assert pageindex.filters(gone, 256).count() <= pageindex.filters(stored, 256).count()
+    bits = lambda df: df.agg(F.sum(F.bit_count("pages"))).first()[0]
+    assert bits(pageindex.filters(gone, 256)) < bits(pageindex.filters(stored, 256))
     share = edges.where(mutation.drawn(30)).count() / edges.count()
     assert 0.2 < share < 0.4
     assert mutation.append_edges(edges, edges, 1).count() == 2 * edges.count()
@@ -97,6 +138,8 @@ def test_text_formats(spark, tmp_path):
     assert rows(pattern.select("src", "dst")) == [(0, 1), (3, 2)] and n == 4
     real, _ = edgefiles.read_matrix_market(spark, put("r.mtx", "%%MatrixMarket\n4 4 2\n1 2 0.5\n4 3 2\n"), weighted=True)
     assert rows(real) == [(0, 1, 0.5), (3, 2, 2.0)]
+    same, _ = edgefiles.read_matrix_market(spark, put("e.mtx", "%%MatrixMarket\n4 4 3\n4 4 3\n1 2 3\n4 4 3\n"), weighted=True)
+    assert rows(same) == [(0, 1, 3.0), (3, 3, 3.0), (3, 3, 3.0)]  # edges that read like the size line
     assert rows(edgefiles.read_snap(spark, put("s.txt", "# x\n0\t5\n5\t6\n")).select("src", "dst")) == [(0, 5), (5, 0), (5, 6), (6, 5)]
     assert rows(edgefiles.read_pairs(spark, put("t.txt", "% x\n1 2\n3 1\n")).select("src", "dst")) == [(0, 1), (2, 0)]
     assert rows(edgefiles.read_adjacency(spark, put("y.txt", "0 2 1 2\n3 0\n4 1 0\n"), both_ways=False).select("src", "dst")) == [(0, 1), (0, 2), (4, 0)]
@@ -141,6 +184,22 @@ def test_online_components_equal_batch(spark, tmp_path):
     assert rows(state.labels) == rows(traversal.cc(graph))
 
 
+def test_online_components_go_on_after_a_new_start(spark, tmp_path):
+    batches = [[(1, 2), (3, 4)], [(2, 3)], [(9, 9)], [(4, 7), (8, 9)], [(7, 8)]]
+    frames = [spark.createDataFrame(b, "src long, dst long") for b in batches]
+    folder, state = str(tmp_path / "batches"), str(tmp_path / "state")
+    online.feed(frames[:2], folder)
+    online.cc_online(online.edge_stream(spark, folder), folder=state)
+    online.feed(frames[2:], folder)
+    (tmp_path / "state" / "batch-2" / "names").mkdir(parents=True)  # a batch that a lost driver did not end
+    again = online.cc_online(online.edge_stream(spark, folder), folder=state)
+    whole = online.cc_online(online.edge_stream(spark, folder), folder=str(tmp_path / "other"))
+    assert rows(again.labels) == rows(whole.labels)
+    assert rows(again.counts()) == rows(whole.counts()) and again.counts().count() == 5
+    again.add(frames[0], 0)  # a batch that was whole already
+    assert again.counts().count() == 5
+
+
 def test_incremental_labels(spark):
     old = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 3)], "src long, dst long")
     labels = traversal.cc(Graph(old))
