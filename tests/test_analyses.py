@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.graph import Graph
-from tidegraph.operators import belief, centrality, independent, neighbourhoods, ranking, scans, spanning, strong, traversal, triangles
+from tidegraph.operators import belief, centrality, factorisation, independent, neighbourhoods, ranking, scans, spanning, strong, traversal, triangles
+from tidegraph.plans import superstep
 from tidegraph.plans.superstep import MonotoneProgram, VertexProgram, run, run_monotone
 
 EMPTY: list = []
@@ -194,7 +196,9 @@ def test_triangles_and_neighbourhoods(spark):
     estimate = triangles.triangle_total(triangles.triangles_minhash(complete, 60), "estimate").first()[0]
     assert estimate == pytest.approx(220, rel=0.35)
     exact = dict(rows(neighbourhoods.hyperanf_exact(g, 3)))
-    near = dict(rows(neighbourhoods.hyperanf(g, rsd=0.1, max_steps=3, to_the_end=True)))
+    told = neighbourhoods.hyperanf(g, rsd=0.1, max_steps=3, to_the_end=True).collect()
+    near = {r.t: r.estimate for r in told}
+    assert [r.t for r in told] == [0, 1, 2, 3] and all(1 <= r.seed_reach <= 1.5 * n for r in told)
     for t in exact:
         assert near[t] == pytest.approx(exact[t], rel=0.35)
 
@@ -213,3 +217,58 @@ def test_programs_agree(spark):
     )
     assert rows(fast.state) == [(v, d) for v, d in rows(slow.state.select("id", "d")) if d < math.inf]
     assert fast.steps[0].active == 1
+
+
+@pytest.mark.parametrize("kind", ["ahead", "large", "plain"])
+def test_ways_to_run_agree(spark, monkeypatch, kind):
+    """Several steps a plan; a graph that counts as large, its values in folders; and step by step."""
+    if kind == "large":
+        for name, value in (("MANY", 0), ("FOLDER", 5), ("LOG", 2)):
+            monkeypatch.setattr(superstep, name, value)
+    n, edges = GRAPHS["random"]
+    g, ahead = graph(spark, "random"), 4 if kind == "ahead" else 1
+    levels, dist = distances(n, edges, 0, True), distances(n, edges, 0)
+    bfs = run_monotone(g.unweighted(), traversal.bfs_program(g, 0), ahead=ahead)
+    assert {r.id: r.v.level for r in bfs.state.collect()} == levels
+    start = g.vertices.where("id = 0").select("id", F.lit(0.0).alias("v"))
+    assert dict(rows(run_monotone(g, MonotoneProgram(start, lambda: F.col("v") + F.col("weight")), ahead=ahead).state)) == dist
+    told = bfs.metrics().collect()
+    assert sum(r.changed for r in told) == len(levels) - 1
+    assert all((r.arrived >= r.changed) if kind == "large" else r.arrived == -1 for r in told) and all(r.seconds > 0 for r in told)
+
+
+def test_few_ids_read_few_folders(spark, monkeypatch):
+    monkeypatch.setattr(superstep, "FOLDER", 100)
+    known = superstep.Known(True)
+    known.add(spark.range(2000).select("id", F.col("id").alias("v")), 2000)
+    known.settle()
+    wanted = spark.createDataFrame([(5,), (77,)], "id long")
+    found = known.of(wanted, 2)
+    assert rows(found) == [(5, 5), (77, 77)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "folder" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert sum(known.tables[0][0].where(F.col("folder") == f).count() for f in range(known.tables[0][2])) == 2000
+
+
+@pytest.mark.parametrize("rank, rounds", [(2, 3), (4, 1)])
+def test_als_is_that_of_plain_normal_equations(spark, rank, rounds):
+    draw = random.Random(rank)
+    ratings = sorted({(draw.randrange(12), 2**33 + draw.randrange(9)): float(draw.randrange(1, 6)) for _ in range(70)}.items())
+    g = Graph(spark.createDataFrame([(a, b, w) for (a, b), w in ratings], "src long, dst long, weight double"))
+    first = lambda i: np.array([0.5 + ((i + 1) * (k * factorisation.STEPS[0] + 1) % factorisation.STEPS[1]) / (2 * factorisation.STEPS[1]) for k in range(rank)])
+    left, right = {a: first(a) for (a, _), _ in ratings}, {}
+    for _ in range(rounds):
+        for own, other, side in ((right, left, 1), (left, right, 0)):
+            for i in {e[side] for e, _ in ratings}:
+                near = [(other[e[1 - side]], w) for e, w in ratings if e[side] == i]
+                a = sum(np.outer(f, f) for f, _ in near) + 0.065 * len(near) * np.eye(rank)
+                own[i] = np.linalg.solve(a, sum(f * w for f, w in near))
+    sse = sum((w - left[a] @ right[b]) ** 2 for (a, b), w in ratings)
+    x, y, fit = factorisation.als(g, rank, rounds)
+    got = {r[0]: np.array(r[1:]) for r in x.unionByName(y).collect()}
+    assert all(np.allclose(got[i], f, atol=1e-8) for i, f in (left | right).items())
+    assert fit.first().edges == len(ratings) and fit.first().sse == pytest.approx(sse)
+    assert fit.first().rmse == pytest.approx(math.sqrt(sse / len(ratings)))
+    assert {r[0] for r in factorisation.als_async(g, rank, rounds).collect()} == set(got)
+    with pytest.raises(ValueError):
+        factorisation.als(g, 0)
