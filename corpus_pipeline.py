@@ -10,7 +10,7 @@ from tidegraph.llm.storage import materialise
 
 
 #: Target shares of the domains' tokens in the mix, and how much the good ones grow to reach them (their documents are taken once or more); no domain grows more.
-SHARES = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.925, "good_toxic": 0.02}
+SHARES = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.915, "good_toxic": 0.03}
 GROWTH = 1.25
 #: Bytes of text and word pieces that a packing worker holds at once: stages before it have left their share of memory behind.
 AT_ONCE, REMEMBERED = 4 << 20, 300_000
