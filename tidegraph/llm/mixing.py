@@ -58,7 +58,7 @@ TARGETS = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.925, "good_toxic": 0.02}
 ANCHOR = "good"
 BUCKETS = 1 << 14
 #: Bytes of text handled at once: a worker holds some 30 times as much.
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
 #: How much a domain may grow.
@@ -302,7 +302,7 @@ def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[s
 
 
 def rate_of(steps: np.ndarray, names: list[str]) -> Column:
-    """``Rates.of`` as an expression over columns of posteriors."""
+    """``Rates.of`` as an expression over columns of posteriors, for rows whose texts need not go to Python again."""
     listed = F.from_json(F.lit(json.dumps([list(map(float, s)) for s in steps])), "array<array<double>>")  # one constant of the plan
 
     def step(held: Column, s: Column) -> Column:
@@ -323,7 +323,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """doc_id, n_tokens, the posteriors, rate, copies, and whether the targets are met, of every document."""
     members = materialise(posteriors(docs, train(docs, labels, sample)), "posteriors")
     found = solve(members, targets, anchor_rate=anchor_rate, most=most)
-    rows = members.withColumn("rate", rate_of(found.steps, DOMAINS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.stack([np.asarray(c, float) for c in batch.columns[2:]], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.of(p))], names=[*batch.schema.names, "rate"])
+
+    rows = members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double")
     return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))).withColumn("targets_met", F.lit(found.met))
 
 
