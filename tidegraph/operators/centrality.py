@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
-from ..plans.lineage import counted, cut, union
+from ..plans.lineage import cut, union
+from ..plans.superstep import AHEAD, SHORT
 from .traversal import bfs, sssp
 
 #: Paths whose lengths differ by less count as equal.
@@ -24,41 +25,40 @@ def path_edges(graph: Graph, source: int) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where(F.abs(F.col("dsrc") + F.col("weight") - F.col("ddst")) < BAND).select("src", "dst")
 
 
-def _accumulate(dag: DataFrame, start: DataFrame, term, finish) -> DataFrame:
-    """Values (id, x) of a DAG from those of ``start``: a vertex is ready once all its predecessors are.
+def _summed(dag: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """id, x: over all paths of a DAG that begin in ``start`` (id, x) and have an edge, the sum of x times the shares of their edges.
 
-    ``term`` is what an edge passes on, from x of its source; ``finish`` the value from the sum of these.
+    A step sends what the paths of so many edges have gathered one edge further; while few vertices are
+    reached, a plan goes several steps. A DAG has no path of more than ``hops`` edges.
     """
-    need = dag.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
-    need = cut(need)
-    frontier, left = counted(start)
-    done, got = [frontier], []
+    frontier, left, found, gone = start, start.count(), [], 0
     while left:
-        sent = dag.join(frontier, dag.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.sum(term()).alias("s"), F.count("*").alias("n"))
-        sent, any_sent = counted(sent)
-        if not any_sent:
-            break
-        got.append(sent)
-        touched = union(got).join(sent.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        frontier, left = counted(touched.join(need, "id").where("n = need").select("id", finish().alias("x")))
-        done.append(frontier)
-        if len(got) > 12:
-            got, done = [cut(union(got).groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))], [cut(union(done))]
-    return union(done)
+        if gone > hops:
+            raise ValueError("edges of weight 0 make a cycle")
+        ahead, layers = AHEAD if left <= SHORT else 1, []
+        for k in range(ahead):
+            frontier = dag.join(frontier, dag.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("x"))
+            layers.append(frontier.withColumn("step", F.lit(k)))
+        made = cut(union(layers))
+        found.append(made.select("id", "x"))
+        if len(found) > 12:
+            found = [cut(union(found).groupBy("id").agg(F.sum("x").alias("x")))]
+        frontier, gone = made.where(F.col("step") == ahead - 1).select("id", "x"), gone + ahead
+        left = frontier.count()
+    return union(found).groupBy("id").agg(F.sum("x").alias("x")) if found else start.where("false")
 
 
 def betweenness(graph: Graph, source: int = 0) -> DataFrame:
     """id, paths (shortest ones from the source) and centrality (their share through a vertex, summed over the others)."""
-    dag = cut(path_edges(graph, source).groupBy("src", "dst").agg(F.count("*").alias("many")))
+    dag = cut(path_edges(graph, source).groupBy("src", "dst").agg(F.count("*").cast("double").alias("share")))
+    hops = dag.select("dst").distinct().count()
     root = graph.vertices.where(F.col("id") == source).select("id", F.lit(1.0).alias("x"))
-    paths = cut(_accumulate(dag.select("src", "dst", "many"), root, lambda: F.col("x") * F.col("many"), lambda: F.col("s")))
-    back = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "many")
-    sigma = paths.select(F.col("id").alias("dst"), F.col("x").alias("sigma"))
-    back = cut(back.join(sigma, "dst").join(sigma.select(F.col("dst").alias("src"), F.col("sigma").alias("theirs")), "src"))
-    sinks = paths.join(dag.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0.0).alias("x"))
-    share = lambda: F.col("many") * F.col("sigma") / F.col("theirs") * (1 + F.col("x"))
-    delta = _accumulate(back, sinks, share, lambda: F.col("s"))
-    return paths.join(delta.select("id", F.col("x").alias("centrality")), "id").select("id", F.col("x").alias("paths"), "centrality")
+    paths = cut(root.unionByName(_summed(dag, root, hops)))
+    sigma = lambda end, name: paths.select(F.col("id").alias(end), F.col("x").alias(name))
+    back = dag.join(sigma("src", "own"), "src").join(sigma("dst", "theirs"), "dst")
+    back = cut(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") * F.col("own") / F.col("theirs")).alias("share")))
+    through = _summed(back, paths.select("id", F.lit(1.0).alias("x")), hops).withColumnRenamed("x", "centrality")
+    return paths.join(through, "id", "left").select("id", F.col("x").alias("paths"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
 
 
 def max_centrality(per_vertex: DataFrame, source: int) -> DataFrame:
