@@ -537,6 +537,15 @@ def vertex_program(spark, sf_dir):
     return run(fixtures.part_edges(spark, sf_dir).unweighted(), program).state.select("id", "x")
 
 
+@query(PROGRAM_SQL.rpartition(" SELECT ")[0] + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({k - 1} AS BIGINT) AS phase, CAST(sum(x) AS BIGINT) AS total FROM x{k}" for k in range(1, PROGRAM_STEPS + 1)) + ")")
+def program_metrics(spark, sf_dir):
+    """A sum over all states after each superstep."""
+    program = VertexProgram(
+        init={"x": F.col("id")}, message={"m": F.col("x")}, combine={"m": F.max("m")}, apply={"x": F.greatest("x", F.coalesce("m", "x"))}, phases=PROGRAM_STEPS, metrics={"total": F.sum("x")}
+    )
+    return run(fixtures.part_edges(spark, sf_dir).unweighted(), program).metrics()
+
+
 @query(PROGRAM_SQL)
 def batch_program(spark, sf_dir):
     """The same by Python functions over Arrow batches."""
@@ -621,8 +630,9 @@ ONLINE_DAYS = 6
         SELECT DISTINCT batch_id, src, src FROM s
         UNION
         SELECT m.batch_id, m.id, m.c FROM (SELECT l.batch_id, s.dst AS id, min(l.c) AS c FROM l JOIN s ON s.batch_id = l.batch_id AND s.src = l.id GROUP BY l.batch_id, s.dst) m
-        JOIN recurring.l r ON r.batch_id = m.batch_id AND r.id = m.id WHERE m.c < r.c)
-    SELECT batch_id, count(*) AS n_components FROM l WHERE id = c GROUP BY batch_id"""
+        JOIN recurring.l r ON r.batch_id = m.batch_id AND r.id = m.id WHERE m.c < r.c),
+    n2 AS (SELECT batch_id, count(*) FILTER (id = c) AS n_components, count(*) FILTER (id <> c) AS given_up FROM l GROUP BY batch_id)
+    SELECT batch_id, n_components, given_up - lag(given_up, 1, 0) OVER (ORDER BY batch_id) AS merges FROM n2"""
 )
 def cc_online(spark, sf_dir):
     edges = fixtures.event_edges(spark, sf_dir)
@@ -631,7 +641,7 @@ def cc_online(spark, sf_dir):
     batches = sorted(r.batch for r in edges.select("batch").distinct().collect())  # a row for each batch
     folder = work_path(spark, "edge-batches")
     online.feed([edges.where(F.col("batch") == b) for b in batches], folder)
-    return online.cc_online(online.edge_stream(spark, folder)).counts().select("batch_id", "n_components")
+    return online.cc_online(online.edge_stream(spark, folder)).counts()
 
 
 @query(PART + " SELECT src, dst, weight FROM e")
@@ -676,6 +686,16 @@ def matrix_market_pattern(spark, sf_dir):
     return edgefiles.read_matrix_market(spark, folder)[0].select("src", "dst")
 
 
+@query(PART + " SELECT 'part_edges' AS name, true AS weighted, (SELECT count(*) FROM v) AS n_vertices, count(*) AS n_edges FROM e")
+def descriptor_roundtrip(spark, sf_dir):
+    folder = work_path(spark, "descriptor")
+    system, base = pafs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    edgefiles.write_descriptor(fixtures.part_edges(spark, sf_dir).meta, f"{folder}/graph.ini")
+    meta = edgefiles.read_descriptor(f"{folder}/graph.ini")
+    return spark.createDataFrame([(meta.name, meta.weighted, meta.n_vertices, meta.n_edges)], "name string, weighted boolean, n_vertices long, n_edges long")
+
+
 def _as_text(lines: DataFrame, label: str) -> str:
     folder = work_path(lines.sparkSession, label)
     lines.write.text(folder)
