@@ -129,8 +129,7 @@ def test_repeats_do_not_count(spark, part, times):
     assert kept(spark, rows) == expected(rows)
 
 
-@pytest.mark.parametrize("sample", [0, 4000])
-@pytest.mark.parametrize("n, most", [(200, 5), (150, 4)])
+@pytest.mark.parametrize("n, most, sample", [(200, 5, 4000), (150, 4, 0)])
 def test_four_hundred_near_copies(spark, monkeypatch, n, most, sample):
     """Of one text, a few words replaced in each; with and without late shingles."""
     monkeypatch.setattr(neardup, "SAMPLE", sample)
@@ -146,10 +145,10 @@ def test_four_hundred_near_copies(spark, monkeypatch, n, most, sample):
 
 def test_common_passage(spark, monkeypatch):
     """Texts that share a passage and little else, among them pairs of near copies; small blocks and rounds."""
-    monkeypatch.setattr(neardup, "BLOCK", 16)
-    monkeypatch.setattr(neardup, "FIRST", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "FIRST", 4)
     passage, rows = words(80), []
-    for i in range(0, 300, 2):
+    for i in range(0, 200, 2):
         own = words(rng.randint(5, 60))
         rows += [(i, " ".join(passage + own)), (i + 1, " ".join(passage + own + words(rng.randint(1, 25))))]
     assert kept(spark, rows) == expected(rows)
