@@ -59,6 +59,8 @@ ANCHOR = "good"
 BUCKETS = 1 << 14
 #: Bytes of text handled at once: a worker holds some 30 times as much.
 CHUNK = 3 << 20
+#: The same where the rows go through whole, beside their posteriors.
+BESIDE = 2 << 20
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
 #: How much a domain may grow.
@@ -344,7 +346,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(at), CHUNK):
+            for a, b in chunks(batch.column(at), BESIDE):
                 part = batch.slice(a, b - a)
                 owner, bucket, words = features(part.column(at))
                 p = model.posteriors(model.scores(owner, bucket, b - a))
