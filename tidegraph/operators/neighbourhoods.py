@@ -91,8 +91,11 @@ def hyperanf(graph: Graph, rsd: float = 0.1, max_steps: int = 100, epsilon: floa
 
 
 def hll_registers(graph: Graph, steps: int, rsd: float = 0.1) -> DataFrame:
-    """id, register, value after ``steps`` steps."""
-    state = cut(counters(graph, registers_log2(rsd)))
+    """id, register, value after ``steps`` steps. For validation: a vertex has a row for each register that is set."""
+    k = registers_log2(rsd)
+    h = spread_again(F.col("id") * 31 + 7)
+    state = graph.vertices.select("id", h.bitwiseAND(F.lit((1 << k) - 1)).cast("int").alias("register"), trailing_rank(F.shiftright(h, k), 32 - k).alias("value"))
     for _ in range(steps):
-        state = cut(spread_on(graph.edges, state))
-    return registers(state)
+        moved = graph.edges.join(state, graph.edges.src == state.id).select(F.col("dst").alias("id"), "register", "value")
+        state = cut(state.unionByName(moved).groupBy("id", "register").agg(F.max("value").alias("value")))
+    return state
