@@ -203,6 +203,28 @@ def test_triangles_and_neighbourhoods(spark):
         assert near[t] == pytest.approx(exact[t], rel=0.35)
 
 
+def test_hashes_of_any_id(spark):
+    from tidegraph.functions import hashing
+
+    ids = [0, 1, 29, 2**27, 2**31, 2**32 - 1, 2**45 + 17, 2**63 - 1, -1, -(2**63)]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", hashing.spread(F.col("id")), hashing.spread_again(F.col("id"))).collect()
+    assert [tuple(r) for r in got] == [(i, i * hashing.FIRST % 2**32, (i + 1) * hashing.SECOND % 2**32) for i in ids]
+
+
+def test_neighbourhoods_of_large_ids(spark):
+    shift = 6 * 10**8
+    edges = spark.createDataFrame([(shift + i, shift + i + 1) for i in range(3)], "src long, dst long")
+    told = neighbourhoods.hyperanf(Graph(edges), max_steps=3, to_the_end=True).collect()
+    assert [r.estimate for r in told] == pytest.approx([4, 7, 9, 10], rel=0.1) and told[-1].seed == shift + 3
+    assert neighbourhoods.hll_registers(Graph(edges), 3).select("id").distinct().count() == 4
+
+
+def test_counters_are_not_broadcast(spark):
+    g = graph(spark, "random", symmetric=True)
+    plan = neighbourhoods.spread_on(g.edges, neighbourhoods.counters(g, 7))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_programs_agree(spark):
     g = graph(spark, "random")
     start = g.vertices.where("id = 0").select("id", F.lit(0.0).alias("v"))

@@ -1,4 +1,4 @@
-"""Hash functions that any SQL engine computes alike, in 64-bit integers without overflow (ids below 2^31)."""
+"""Hash functions that any SQL engine computes alike, in 64-bit integers without overflow (for any id)."""
 
 from __future__ import annotations
 
@@ -10,14 +10,25 @@ WORD = 2**32 - 1
 MIX = 73244475
 
 
+def low(v: Column) -> Column:
+    """The lowest 32 bits, which are all that those of a sum or product depend on."""
+    return v.bitwiseAND(F.lit(WORD))
+
+
+def _times(v: Column, constant: int) -> Column:
+    """The lowest 32 bits of a product with a constant below 2^32, by halves of ``v``: the whole product may not fit."""
+    upper = F.shiftright(low(v), 16) * F.lit(constant)
+    return low(v.bitwiseAND(F.lit(0xFFFF)) * F.lit(constant) + F.shiftleft(upper.bitwiseAND(F.lit(0xFFFF)), 16))
+
+
 def spread(v: Column) -> Column:
     """32 hashed bits of an id."""
-    return (v * F.lit(FIRST)).bitwiseAND(F.lit(WORD))
+    return _times(v, FIRST)
 
 
 def spread_again(v: Column) -> Column:
     """32 bits of a second hash."""
-    return ((v + 1) * F.lit(SECOND)).bitwiseAND(F.lit(WORD))
+    return _times(low(v) + 1, SECOND)
 
 
 def bloom_positions(v: Column, bits: int) -> Column:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.hashing import spread_again, trailing_rank
+from ..functions.hashing import low, spread_again, trailing_rank
 from ..graph import Graph
 from ..plans.lineage import counted, cut, drop
 
@@ -39,16 +39,19 @@ RANKS = 31
 def counters(graph: Graph, k: int) -> DataFrame:
     """id and a counter of 2^k registers, two in each of the columns w0, w1, ...: bit r of a register tells that rank r + 1 was seen."""
     m = 1 << k
-    h = spread_again(F.col("id") * 31 + 7)
+    h = spread_again(low(F.col("id")) * 31 + 7)
     rows = graph.vertices.select("id", h.bitwiseAND(F.lit(m - 1)).cast("int").alias("at"), trailing_rank(F.shiftright(h, k), 32 - k).alias("rank"))
     bit = F.expr("shiftleft(1L, (at % 2) * 32 + rank - 1)")
     return rows.withColumn("bit", bit).select("id", *(F.when(F.floor(F.col("at") / 2) == i, F.col("bit")).otherwise(F.lit(0).cast("long")).alias(f"w{i}") for i in range(m // 2)))
 
 
 def spread_on(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """A step: every counter joins those of the vertices that point at it. One row travels along an edge."""
+    """A step: every counter joins those of the vertices that point at it. One row travels along an edge.
+
+    The counters are never broadcast: their files, mostly zeros at first, are a hundredth of what they take in memory.
+    """
     words = [c for c in state.columns if c != "id"]
-    moved = edges.join(state, edges.src == state.id).select(F.col("dst").alias("id"), *words)
+    moved = edges.join(state.hint("merge"), edges.src == state.id).select(F.col("dst").alias("id"), *words)
     return state.unionByName(moved).groupBy("id").agg(*(F.bit_or(w).alias(w) for w in words))
 
 
@@ -93,7 +96,7 @@ def hyperanf(graph: Graph, rsd: float = 0.1, max_steps: int = 100, epsilon: floa
 def hll_registers(graph: Graph, steps: int, rsd: float = 0.1) -> DataFrame:
     """id, register, value after ``steps`` steps. For validation: a vertex has a row for each register that is set."""
     k = registers_log2(rsd)
-    h = spread_again(F.col("id") * 31 + 7)
+    h = spread_again(low(F.col("id")) * 31 + 7)
     state = graph.vertices.select("id", h.bitwiseAND(F.lit((1 << k) - 1)).cast("int").alias("register"), trailing_rank(F.shiftright(h, k), 32 - k).alias("value"))
     for _ in range(steps):
         moved = graph.edges.join(state, graph.edges.src == state.id).select(F.col("dst").alias("id"), "register", "value")
