@@ -118,6 +118,36 @@ def test_many_centres(spark, monkeypatch):
     assert kept(spark, rows) == expected(rows)
 
 
+def test_a_pair_that_shares_many_keys_is_seldom_repeated(spark, monkeypatch):
+    """Fifteen variants of a text, each pair just below the limit and with many keys in common."""
+    made, against = spark.sparkContext.accumulator(0), neardup._against
+
+    def counting(similarity):
+        run = against(similarity)
+
+        def counted(batches):
+            for batch in run(batches):
+                made.add(len(batch))
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(neardup, "_against", counting)
+    base = words(600)
+    rows = [(i, " ".join(base[: 40 * i + 5] + words(30) + base[40 * i + 35 :])) for i in range(15)]
+    assert 0.75 < jaccard(shingles(rows[3][1]), shingles(rows[8][1])) < 0.8
+    assert kept(spark, rows) == expected(rows) == list(range(15))
+    pairs = 15 * 14 // 2
+    assert pairs // 2 < made.value < 5 * pairs
+
+
+def test_buckets_of_one_least_id_are_one(spark):
+    rows = [(1, False, 5), (1, False, 6), (2, False, 5), (2, False, 6), (2, False, 7), (3, True, 6), (3, True, 8), (4, False, 9), (5, True, 9)]
+    stars = neardup.star_pairs(spark.createDataFrame(rows, "bucket long, hot boolean, id long"))
+    assert sorted(map(tuple, stars.collect())) == [(5, 6), (5, 7), (6, 8)]
+    assert sorted(map(tuple, neardup.by_least(stars).collect())) == [(5, 5), (5, 6), (5, 7), (6, 6), (6, 8)]
+
+
 @pytest.mark.parametrize("part, times", [(20, 9), (20, 6), (10, 5)])
 def test_repeats_do_not_count(spark, part, times):
     rows = []

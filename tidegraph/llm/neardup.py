@@ -19,15 +19,19 @@ The order is that of the hashes, but shingles that many texts of a sample share
 stands in many texts is then no key of texts that have enough of their own. The lemma holds in any order,
 so the sample changes the work and not the result.
 
+Buckets with the same least id are one from then on, with the members of all: texts that are alike but not
+enough share hundreds of keys, and each pair of them would meet in as many buckets. The rows are then no more
+than the pairs of the first round and their least ids.
+
 Pairs of a bucket are checked in rounds: its least id with all others, then about 16 members drawn by a
 hash of their ids with all others, then 256, and so on. What a round links is one component from then on,
 and pairs within one component are passed over; a bucket ends when all its members are in one component or
 have been centres. So a large group of copies of one text takes about one pair for each member, and yet
 each pair that shares a bucket is checked, or is in one component, or is ruled out by ``_bounded``. That
-bound is exact too: counts of the hashes in ``CELLS`` cells cannot differ by more than the sets do. A round
-deals a bucket's members out in blocks of about ``BLOCK``, each with a copy of the round's centres, of
-which there are at most about as many. Keys of shingles that many texts share are never dealt by the key
-alone: their least ids come from an aggregation.
+bound is exact too: counts of the hashes in ``CELLS`` cells cannot differ by more than the sets do, and with
+that many cells they differ by hardly less. A round deals a bucket's members out in blocks of about ``BLOCK``,
+each with a copy of the round's centres, of which there are at most about as many. Keys of shingles that many
+texts share are never dealt by the key alone: their least ids come from an aggregation.
 
 Defined results: rows that share a doc_id are one document, with the text whose words hash least, and one of
 its rows with that text stays; rows with a null doc_id stay as they are; null and empty texts are
@@ -50,7 +54,7 @@ from .tokenize import chunks
 #: Bits within which the tables of the cover bring fingerprints together.
 RADIUS = 4
 #: Cells of the counts that rule pairs out, a byte each.
-CELLS = 128
+CELLS = 512
 #: Centres of the first round after that of the least ids; each later one has ``MORE`` times as many, up to ``BLOCK`` more.
 FIRST, MORE, BLOCK = 16, 16, 2048
 #: Parts that a bucket of late shingles is dealt to.
@@ -60,7 +64,7 @@ SAMPLE, OFTEN, LATE = 4000, 4, 500_000
 #: Texts up to which those to read are picked by a broadcast (24 bytes each) and not by a shuffle.
 BROADCAST_IDS = 200_000
 #: Pairs compared at once.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
 #: Bytes of text handled at once: a worker holds some 30 times as much.
 CHUNK = 2 << 20
 SLACK = 1e-9
@@ -233,7 +237,8 @@ def _against(similarity: float):
         cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
         members = np.arange(k, len(ids))
         for i in range(k):
-            other = members[(root[k:] != root[i]) & ((draw[k:] > draw[i]) | (draw[k:] == draw[i]) & (ids[k:] > ids[i]))]
+            later = (draw[k:] > draw[i]) | (draw[k:] == draw[i]) & (ids[k:] > ids[i])
+            other = members[(root[k:] != root[i]) & later & (np.minimum(n[k:], n[i]) >= similarity * np.maximum(n[k:], n[i]) - 1e-6)]
             if len(other):
                 other = other[_bounded(cells[i][None].astype(np.int16), cells[other], n[i], n[other], similarity)]
             if len(other):
@@ -284,8 +289,8 @@ def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, s
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * either).select("a", "b")
 
 
-def crowded_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (bucket, hot, id) those whose bucket has another member, and pairs (a, b) of each bucket's least id with the others."""
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Of rows (bucket, hot, id) the pairs (a, b) of each bucket's least id with the others, each pair once."""
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
     rows = rows.repartition("bucket", salt).sortWithinPartitions("bucket", "id").mapInArrow(_crowded, "bucket long, hot boolean, id long")
     rows = materialise(rows, "crowded")
@@ -294,9 +299,15 @@ def crowded_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a bucket of late shingles may hold a large part of all texts: combined before it is dealt, and split by the join if need be
     hot = rows.where("hot").select("bucket", "id")
     least = hot.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a")
-    hot = hot.join(least, "bucket")
-    stars = stars.unionByName(hot.where("id <> a").select("a", F.col("id").alias("b")))
-    return plain.unionByName(hot.select("bucket", "id")), stars.distinct()
+    stars = stars.unionByName(hot.join(least, "bucket").where("id <> a").select("a", F.col("id").alias("b")))
+    stars = materialise(stars.distinct(), "stars")
+    drop(rows)
+    return stars
+
+
+def by_least(stars: DataFrame) -> DataFrame:
+    """Rows (bucket, id) of the buckets that pairs (least id, other) tell of, one for each least id."""
+    return stars.select(F.col("a").alias("bucket"), F.col("b").alias("id")).unionByName(stars.select(F.col("a").alias("bucket"), F.col("a").alias("id")).distinct())
 
 
 def open_members(rest: DataFrame, roots: DataFrame, start: int) -> DataFrame:
@@ -309,7 +320,8 @@ def open_members(rest: DataFrame, roots: DataFrame, start: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (a, b) with the same components as all pairs of ``classes`` (rep, key) that are as similar as asked."""
     late = docs.sparkSession.sparkContext.broadcast(late_shingles(docs, classes, words))
-    crowded, stars = crowded_buckets(shingled(docs, classes, words, _keyed(similarity, late), "bucket long, hot boolean, id long"))
+    stars = star_pairs(shingled(docs, classes, words, _keyed(similarity, late), "bucket long, hot boolean, id long"))
+    crowded = by_least(stars)
     meeting = materialise(crowded.select(F.col("id").alias("rep")).distinct().join(classes, "rep"), "meeting")
     cells = materialise(shingled(docs, meeting, words, _celled, "id long, n long, cells binary").dropDuplicates(["id"]), "cells")
     one = cells.select(F.col("id").alias("a"), "n", "cells")
