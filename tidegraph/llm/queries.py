@@ -85,6 +85,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 # What SQL can say of results that it cannot say whole: the same operators, fewer columns.
 
 
@@ -124,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sitestyle": op8_sitestyle,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_search": op11_search,
+    "op12_toxicity": op12_toxicity,
+    "op13_merkle": op13_merkle,
     "edited_texts": edited_texts,
     "license_base": license_base,
     "quality_counts": quality_counts,
@@ -140,6 +161,39 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
         FROM g
     """,
+    "op11_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        p AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM d),
+        f AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM p GROUP BY doc_id, term),
+        g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+        c AS (SELECT count(DISTINCT doc_id) AS documents, count(*) AS length FROM p),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        i AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // length)))) AS BIGINT) AS score
+              FROM i JOIN g USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_merkle": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM documents),
+        l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS other,
+              row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM d),
+        t AS (SELECT source, 0 AS level, pos, leaf AS h, size FROM l
+              UNION ALL SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(size) + 2) // 3 FROM t WHERE size > 1 GROUP BY source, level, pos // 3),
+        s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM t WHERE size = 1),
+        u AS (SELECT 0 AS level, pos, subroot AS h, size FROM s
+              UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(size) + 2) // 3 FROM u WHERE size > 1 GROUP BY level, pos // 3),
+        w AS (SELECT l.doc_id, t.level AS step, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < l.pos // CAST(pow(3, t.level) AS BIGINT)), '') AS lo, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > l.pos // CAST(pow(3, t.level) AS BIGINT)), '') AS hi
+              FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source AND t.pos // 3 = l.pos // CAST(pow(3, t.level + 1) AS BIGINT) WHERE t.size > 1 GROUP BY l.doc_id, t.level
+              UNION ALL SELECT l.doc_id, 100 + u.level, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.pos // CAST(pow(3, u.level) AS BIGINT)), ''), coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.pos // CAST(pow(3, u.level) AS BIGINT)), '')
+              FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN u ON u.pos // 3 = s.pos // CAST(pow(3, u.level + 1) AS BIGINT) WHERE u.size > 1 GROUP BY l.doc_id, u.level),
+        v AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS step, lo, hi FROM w),
+        p AS (SELECT doc_id, sha256(string_agg(lo || hi, '' ORDER BY step)) AS proof, count(*) AS steps FROM v GROUP BY doc_id),
+        k AS (SELECT x.doc_id, CAST(1 AS BIGINT) AS step, x.cur FROM (SELECT doc_id, CASE WHEN crc % 2 = 0 THEN other ELSE leaf END AS cur FROM l JOIN crcs USING (doc_id)) x
+              UNION ALL SELECT k.doc_id, k.step + 1, sha256(v.lo || k.cur || v.hi) FROM k JOIN v ON v.doc_id = k.doc_id AND v.step = k.step)
+        SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.cur AS folded_root, f.cur = r.h AS verified
+        FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN (SELECT h FROM u WHERE size = 1) r ON true LEFT JOIN p ON p.doc_id = l.doc_id JOIN k f ON f.doc_id = l.doc_id AND f.step = coalesce(p.steps, 0) + 1
+    """,
     "edited_texts": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         n AS (SELECT doc_id, t, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d)
