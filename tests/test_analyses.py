@@ -294,3 +294,32 @@ def test_als_is_that_of_plain_normal_equations(spark, rank, rounds):
     assert {r[0] for r in factorisation.als_async(g, rank, rounds).collect()} == set(got)
     with pytest.raises(ValueError):
         factorisation.als(g, 0)
+
+
+def test_beliefs_at_hubs_and_large_ids(spark):
+    """A star of 2,000 leaves with a second ring, far out among the ids: products by powers of one half."""
+    n, far = 2000, 5 * 10**12
+    edges = [(far, far + i, 0.5) for i in range(1, n + 1)] + [(far + i, far + n + i, 0.5) for i in range(1, n + 1)]
+    g = Graph(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    for rounds in (3, 4, 5):
+        out = {r.id: r for r in belief.belief_propagation(g, rounds).collect()}
+        assert all(out[far + i].product0 == pytest.approx(0.25) and out[far + n + i].product1 == pytest.approx(0.5) for i in range(1, n + 1))
+        assert out[far].product0 == 0 and out[far].log_product0 == pytest.approx(n * math.log(0.5))
+    seeded = belief.belief_propagation_seeded(g, 3).collect()
+    assert len(seeded) == 2 * n + 1 and all(0 <= r.belief0 <= 1 for r in seeded)
+    triple = Graph(spark.createDataFrame([(far + a, far + b) for a in range(3) for b in range(3) if a != b], "src long, dst long"))
+    assert triangles.triangles_minhash(triple, 20).count() == 3
+
+
+def test_beliefs_against_plain_products(spark):
+    n, edges = 12, [(a, b, 0.1 + 0.8 * ((a * 7 + b * 3) % 10) / 10) for a in range(12) for b in range(12) if (a * 5 + b) % 4 == 1 and a != b]
+    g = Graph.dense(spark.createDataFrame(edges, "src long, dst long, weight double"), n)
+    sent = {(a, b, k): ((w, w), w) for k, (s, d, w) in enumerate(edges) for a, b in ((s, d), (d, s))}
+    for rounds in (1, 2, 3):
+        product = {v: [math.prod(m[i] for (_, b, _), (m, _) in sent.items() if b == v) for i in (0, 1)] for v in range(n)}
+        assert {r.id: (r.product0, r.product1) for r in belief.belief_propagation(g, rounds).collect()} == {v: pytest.approx(tuple(p)) for v, p in product.items()}
+        after = {}
+        for (a, b, k), (m, w) in sent.items():
+            x = [sum(0.5 * (w if b < a else 1 - w) * product[b][j] / m[j] for j in (0, 1))] * 2
+            after[b, a, k] = ((x[0] / sum(x), x[1] / sum(x)), w)
+        sent = after

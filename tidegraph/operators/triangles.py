@@ -28,7 +28,7 @@ def triangles_exact(graph: Graph) -> DataFrame:
 
 def min_hash(v: Column, k: int) -> Column:
     """Hash ``k`` of an id: a line modulo a prime."""
-    return (v * F.lit((1103515245 * (k + 1)) % PRIME) + F.lit((12345 + 2246822519 * k) % PRIME)) % F.lit(PRIME)
+    return (F.pmod(v, F.lit(PRIME)) * F.lit((1103515245 * (k + 1)) % PRIME) + F.lit((12345 + 2246822519 * k) % PRIME)) % F.lit(PRIME)
 
 
 def triangles_minhash(graph: Graph, rounds: int = 100) -> DataFrame:

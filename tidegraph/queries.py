@@ -256,20 +256,35 @@ BP_ROUNDS = 4
 WAYS = "SELECT src AS a, dst AS b, weight FROM e UNION ALL SELECT dst, src, weight FROM e"
 
 
+def _bp_sql(edges: str, wanted: str) -> str:
+    sql = PART + f", w AS (SELECT src AS a, dst AS b, w FROM ({edges}) UNION ALL SELECT dst, src, w FROM ({edges})), m0 AS (SELECT a, b, w, w AS m0, w AS m1 FROM w)"
+    for k in range(BP_ROUNDS):
+        sql += f""", p{k} AS MATERIALIZED (SELECT b AS id, sum(ln(m0)) AS l0, sum(ln(m1)) AS l1 FROM m{k} GROUP BY b),
+        t{k} AS (SELECT m.b AS a, m.a AS b, m.w, l0 - ln(m0) AS t0, l1 - ln(m1) AS t1 FROM m{k} m JOIN p{k} p ON p.id = m.b),
+        u{k} AS (SELECT a, b, w, ln(0.5 * CASE WHEN a < b THEN w ELSE 1 - w END) + greatest(t0, t1) + ln(exp(t0 - greatest(t0, t1)) + exp(t1 - greatest(t0, t1))) AS g FROM t{k}),
+        m{k + 1} AS MATERIALIZED (SELECT a, b, w, exp(g - g) / (exp(g - g) + exp(g - g)) AS m0, exp(g - g) / (exp(g - g) + exp(g - g)) AS m1 FROM u{k})"""
+    return sql + wanted.format(p=f"p{BP_ROUNDS - 1}")
+
+
+@query(_bp_sql("SELECT src, dst, weight / 10 AS w FROM e", " SELECT v.id, round(exp(coalesce(l0, 0.0)) + 1e-10, 9) AS product0, round(exp(coalesce(l1, 0.0)) + 1e-10, 9) AS product1 FROM v LEFT JOIN {p} p ON p.id = v.id"))
+def bp(spark, sf_dir):
+    graph = fixtures.part_edges(spark, sf_dir)
+    graph = graph.with_edges(graph.edges.withColumn("weight", F.col("weight") / 10))
+    return rounded(belief.belief_propagation(graph, BP_ROUNDS).select("id", "product0", "product1"), "product0", "product1", digits=9)
+
+
 @query(
-    PART + f""", w AS ({WAYS}), m0 AS (SELECT a, b, weight / 10 AS w, weight / 10 AS m0, weight / 10 AS m1 FROM w)"""
-    + "".join(
-        f""", p{k} AS MATERIALIZED (SELECT b AS id, exp(sum(ln(m0))) AS x0, exp(sum(ln(m1))) AS x1 FROM m{k} GROUP BY b),
-        u{k} AS (SELECT m.b AS a, m.a AS b, m.w, 0.5 * CASE WHEN m.b < m.a THEN m.w ELSE 1 - m.w END * (p.x0 / m.m0 + p.x1 / m.m1) AS g FROM m{k} m JOIN p{k} p ON p.id = m.b),
-        m{k + 1} AS MATERIALIZED (SELECT a, b, w, CASE WHEN g > 0 THEN g / (2 * g) ELSE g END AS m0, CASE WHEN g > 0 THEN g / (2 * g) ELSE g END AS m1 FROM u{k})"""
-        for k in range(BP_ROUNDS)
+    _bp_sql(
+        "SELECT src, dst, weight / 10 AS w FROM e UNION ALL SELECT CAST(-1 AS BIGINT), id, 0.5 FROM v",
+        " SELECT x.id, round(coalesce(l0, 0.0) + 1e-10, 6) AS log_product0, round(coalesce(l1, 0.0) + 1e-10, 6) AS log_product1 FROM (SELECT id FROM v UNION ALL SELECT CAST(-1 AS BIGINT)) x LEFT JOIN {p} p ON p.id = x.id",
     )
-    + f" SELECT v.id, round(coalesce(x0, 1.0) + 1e-10, 9) AS product0, round(coalesce(x1, 1.0) + 1e-10, 9) AS product1 FROM v LEFT JOIN p{BP_ROUNDS - 1} p ON p.id = v.id"
 )
-def bp(spark, sf_dir):
+def bp_hub(spark, sf_dir):
+    """A vertex beside all parts: its product is far below what a double holds, its messages are not."""
     graph = fixtures.part_edges(spark, sf_dir)
-    graph = graph.with_edges(graph.edges.withColumn("weight", F.col("weight") / 10))
-    return rounded(belief.belief_propagation(graph, BP_ROUNDS), "product0", "product1", digits=9)
+    spokes = graph.vertices.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(0.5).alias("weight"))
+    hubbed = Graph(graph.edges.withColumn("weight", F.col("weight") / 10).unionByName(spokes), graph.vertices.unionByName(spark.range(-1, 0)))
+    return rounded(belief.belief_propagation(hubbed, BP_ROUNDS).select("id", "log_product0", "log_product1"), "log_product0", "log_product1")
 
 
 PRIOR = "CASE WHEN ((17 + {0}) * 3428971) % 100 = 1 THEN 0.95 WHEN ((17 + {0}) * 3428971) % 100 = 0 THEN 0.05 ELSE 0.5 END"
