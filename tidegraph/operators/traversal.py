@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
+from ..plans.blocks import SIZE, BlockProgram, BlockResult, run_blocks
 from ..plans.superstep import MonotoneProgram, Result, run_monotone
 
 
@@ -86,6 +87,37 @@ def cc(graph: Graph, labels: DataFrame | None = None, seeds: DataFrame | None =
     return best.select("id", F.least("v", "m").alias("component"))
 
 
+def bfs_blocks_run(graph: Graph, root: int, size: int = SIZE, **more) -> BlockResult:
+    start = graph.vertices.where(F.col("id") == root).select("id", F.lit(0).alias("v"), F.col("id").alias("tag"))
+    return run_blocks(graph.unweighted(), BlockProgram(start, lambda v, w: v + 1, "long"), size, **more)
+
+
+def bfs_blocks(graph: Graph, root: int = 0, size: int = SIZE) -> DataFrame:
+    """As ``bfs``, by blocks that run to their own fixpoints."""
+    return bfs_blocks_run(graph, root, size).state.select("id", F.col("v").cast("int").alias("level"), F.col("tag").alias("parent"))
+
+
+def sssp_blocks_run(graph: Graph, source: int, size: int = SIZE, **more) -> BlockResult:
+    check_weights(graph)
+    start = graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("v"), F.col("id").alias("tag"))
+    return run_blocks(graph, BlockProgram(start, lambda v, w: v + w), size, **more)
+
+
+def sssp_blocks(graph: Graph, source: int = 0, size: int = SIZE) -> DataFrame:
+    """As ``sssp``, by blocks that run to their own fixpoints."""
+    return sssp_blocks_run(graph, source, size).state.select("id", F.col("v").alias("distance"), F.col("tag").alias("predecessor"))
+
+
+def cc_blocks_run(graph: Graph, size: int = SIZE, **more) -> BlockResult:
+    start = graph.vertices.select("id", F.col("id").alias("v"), F.col("id").alias("tag"))
+    return run_blocks(graph.unweighted(), BlockProgram(start, lambda v, w: v, "long"), size, **more)
+
+
+def cc_blocks(graph: Graph, size: int = SIZE) -> DataFrame:
+    """As ``cc``, by blocks that run to their own fixpoints."""
+    return cc_blocks_run(graph, size).state.select("id", F.col("v").alias("component"))
+
+
 def cc_count(components: DataFrame) -> DataFrame:
     """Vertices that still carry their own id."""
     return components.where("id = component").agg(F.count("*").alias("cc_count"))

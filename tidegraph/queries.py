@@ -202,6 +202,23 @@ def cc_count(spark, sf_dir):
     return traversal.cc_count(traversal.cc(symmetric(spark, sf_dir)))
 
 
+@query(ORACLE_SQL["bfs"])
+def bfs_blocks(spark, sf_dir):
+    graph = fixtures.part_edges(spark, sf_dir)
+    return traversal.bfs_blocks(graph, root_of(graph))
+
+
+@query(ORACLE_SQL["sssp"])
+def sssp_blocks(spark, sf_dir):
+    graph = fixtures.part_edges(spark, sf_dir)
+    return traversal.sssp_blocks(graph, root_of(graph))
+
+
+@query(ORACLE_SQL["cc"])
+def cc_blocks(spark, sf_dir):
+    return traversal.cc_blocks(symmetric(spark, sf_dir))
+
+
 REACH_SQL = """,
     reach(a, b) AS (SELECT src, dst FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON e.src = reach.b)
     SELECT v.id, least(v.id, coalesce(min(m.b), v.id)) AS component
