@@ -180,6 +180,18 @@ def written(found):
     return " ".join(f"{h:x}@{i}" for h, i in found)
 
 
+def test_targets_are_judged_by_what_was_asked(spark):
+    """Ninety per cent of a rare domain: the limit to growth stands, and the result says that the targets are not met."""
+    g = np.random.default_rng(5)
+    p = g.dirichlet([0.1, 0.05, 2.0, 0.1], 400)
+    frame = spark.createDataFrame([(100, *map(float, x)) for x in p], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
+    targets = dict(zip(mixing.DOMAINS, (0.9, 0.001, 0.098, 0.001)))
+    with pytest.warns(UserWarning, match="with the limit to growth"):
+        found = mixing.solve(frame, targets, most=2.0)
+    at_one = 100 * p.sum(0)
+    assert not found.met and found.want[0] == pytest.approx(2 * at_one[0]) and found.asked[0] > 5 * found.want[0]
+
+
 @pytest.mark.parametrize("k,window", [(5, 8), (3, 5), (1, 1)])
 def test_winnowing(docs, k, window):
     texts = [t for _, t in listed(docs)]

@@ -21,7 +21,8 @@ go on over all documents, whose sums alone tell whether the targets are met.
 
 Targets are relative to an anchor domain, whose tokens grow to ``anchor_rate`` times what they are. No
 domain grows to more than ``most`` times what it has: the target of one that hardly any document belongs
-to is lowered to that (``Rates.want`` tells the targets that hold), else others would pay for it.
+to is lowered to that (``Rates.want`` tells the targets that steps go to), else others would pay for it. Whether
+the targets are met is judged by what was asked, so a lowered target is never met, and a warning says so.
 
 The classifier is fitted on at most ``sample`` labelled documents (rows, those of least hash): naive
 Bayes log ratios over the hashed words that stand out in a domain, then a multinomial logistic regression
@@ -197,12 +198,13 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rates:
-    """The steps that lead to the rates (a number for each domain, and the momentum), the domains' expected tokens and their targets."""
+    """The steps that lead to the rates (a number for each domain, and the momentum), the domains' expected tokens, their targets (lowered to ``most``), what was asked, and whether that is met."""
 
     steps: np.ndarray
     have: np.ndarray
     want: np.ndarray
     met: bool
+    asked: np.ndarray
 
     def of(self, p: np.ndarray) -> np.ndarray:
         """The rate of every row of posteriors."""
@@ -256,7 +258,7 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS, anchor: str =
     found = projected_gradient(sums, targets, anchor, anchor_rate, most, first.steps, OVER_ALL)
     if not found.met:
         told = lambda x: {d: round(float(v)) for d, v in zip(DOMAINS, x)}
-        warnings.warn(f"the targets cannot all be met: {told(found.want)} tokens wanted, {told(found.have)} reached", stacklevel=3)
+        warnings.warn(f"the targets cannot all be met: {told(found.asked)} tokens wanted, {told(found.want)} with the limit to growth, {told(found.have)} reached", stacklevel=3)
     return found
 
 
@@ -272,9 +274,9 @@ def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[s
     at_one, _, active, every = passed(none)
     total = at_one.sum()
     if not total:
-        return Rates(none, at_one, at_one, True)
-    want = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * at_one[DOMAINS.index(anchor)] * anchor_rate
-    want = np.minimum(want, most * at_one)
+        return Rates(none, at_one, at_one, True, at_one)
+    asked = np.array([targets[d] for d in DOMAINS]) / targets[anchor] * at_one[DOMAINS.index(anchor)] * anchor_rate
+    want = np.minimum(asked, most * at_one)
     room = np.maximum(WITHIN * want, OF_ALL * total)
     inverse = lambda gram: np.linalg.inv(gram / total + RIDGE_GRAM * np.eye(n))
     whole = inverse(every)
@@ -300,7 +302,8 @@ def projected_gradient(sums: Callable[[np.ndarray], np.ndarray], targets: dict[s
         if size(best[1]) < 0.99 * mark:
             mark, since = size(best[1]), 0
     steps, have = best
-    return Rates(steps, have, want, met(have))
+    full = bool((np.abs(have - asked) <= np.maximum(WITHIN * asked, OF_ALL * total)).all())
+    return Rates(steps, have, want, full, asked)
 
 
 def rate_of(steps: np.ndarray, names: list[str]) -> Column:
