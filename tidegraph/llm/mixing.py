@@ -93,7 +93,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = coded.dictionary.to_pylist()
     base, shape = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
     for i, w in enumerate(values):
-        core = EDGES.sub("", w)
+        core = w if w[0].isalnum() and w[-1].isalnum() else EDGES.sub("", w)
         base[i] = zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % (BUCKETS - 512)
         shape[i] = BUCKETS - 512 + (ord(w[-1]) % 128 if not w[-1].isalnum() else 128 if len(w) > 1 and w.isupper() else 129)
     n = len(texts)
