@@ -119,8 +119,8 @@ class PageIndex:
         first_row = 0 if last is None else last + 1
         added = paged(more, *order, per_page=self.per_page, first_row=first_row)
         added = cut(added.withColumn("is_deleted", F.lit(False)) if "is_deleted" in self.edges.columns else added)
+        self._write_slices(filters(added, self.bits), "append")  # first: slices of pages that are not there do no harm
         self._write(added, "append")
-        self._write_slices(filters(added, self.bits), "append")
         drop(added)
 
     def delete(self, which: Column) -> None:
