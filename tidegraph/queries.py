@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import fixtures
 from .fixtures import COPURCHASE_SQL, EVENT_EDGES_SQL, PART_EDGES_SQL, RATINGS_SQL, SYMMETRIC_SQL
 from .graph import Graph
-from .operators import belief, centrality, factorisation, independent, mutation, neighbourhoods, pageindex, ranking, scans, sorting, spanning, strong, traversal, triangles
+from .operators import belief, centrality, factorisation, independent, mutation, neighbourhoods, pageindex, ranking, scans, sorting, spanning, store, strong, traversal, triangles
 from .plans.lineage import work_path
 from .plans.superstep import BatchProgram, VertexProgram, run, run_batches, run_monotone
 from .sources import edgefiles, generators
@@ -553,6 +553,47 @@ def bfs_deleted(spark, sf_dir):
     return pageindex.run_selective(live, traversal.bfs_program(live, root_of(live)), index).state.select("id", "v.level", "v.parent")
 
 
+def _versions(spark, sf_dir) -> store.EdgeStore:
+    """Version 1 lacks some edges, 2 has all, 3 has lost the heavy ones, 4 is as 3 in new pages."""
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    held = store.EdgeStore.create(edges.where("src % 4 <> 3"))
+    held.append(edges.where("src % 4 = 3"))
+    held.delete(F.col("weight") >= 7)
+    held.purge()
+    return held
+
+
+@query(
+    PART + """ SELECT CAST(1 AS INTEGER) AS version, src, dst, weight FROM e WHERE src % 4 <> 3 UNION ALL SELECT 2, src, dst, weight FROM e
+    UNION ALL SELECT 3, src, dst, weight FROM e WHERE weight < 7 UNION ALL SELECT 4, src, dst, weight FROM e WHERE weight < 7"""
+)
+def edges_as_of(spark, sf_dir):
+    held = _versions(spark, sf_dir)
+    rows = [held.snapshot(v).edges.select(F.lit(v).alias("version"), "src", "dst", "weight") for v in held.versions()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query(PART + ", r AS (SELECT src, dst, weight, CAST(row_number() OVER (ORDER BY src, dst, weight) - 1 AS BIGINT) AS row FROM e) SELECT row, row // 256 AS page_id, src, dst, weight FROM r WHERE src % 7 <> 2 AND weight < 7")
+def edges_delete_vector(spark, sf_dir):
+    """After two deletions, one by a table of edges and one by a condition: what is left keeps its place."""
+    edges = fixtures.part_edges(spark, sf_dir).edges
+    held = store.EdgeStore.create(edges)
+    held.delete(edges.where("src % 7 = 2").select("src", "dst"))
+    return held.delete(F.col("weight") >= 7).edges.select("row", "page_id", "src", "dst", "weight")
+
+
+LIGHT_BFS = PART + ", live AS (SELECT src, dst FROM e WHERE weight < 7)" + BFS_SQL.replace("FROM e\n", "FROM live\n").replace("JOIN e ON", "JOIN live e ON")
+
+
+@query(LIGHT_BFS + " SELECT id, level, parent FROM b")
+def bfs_snapshot(spark, sf_dir):
+    """Over the version with deletion vectors, by its filters and ranges of pages."""
+    graph = fixtures.part_edges(spark, sf_dir)
+    version = _versions(spark, sf_dir).snapshot(3)
+    live = Graph(version.edges.select("src", "dst"), graph.vertices)
+    return version.run(live, traversal.bfs_program(live, root_of(live))).state.select("id", "v.level", "v.parent")
+
+
 @query(PART + BFS_SQL + ", n AS (SELECT level, count(*) AS n FROM b GROUP BY level) SELECT CAST(a.level AS BIGINT) AS phase, a.n AS active, coalesce(c.n, 0) AS changed FROM n a LEFT JOIN n c ON c.level = a.level + 1")
 def superstep_metrics(spark, sf_dir):
     graph = fixtures.part_edges(spark, sf_dir).unweighted()
