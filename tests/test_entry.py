@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "/root/testdata/sf0.001"
-CHEAP = ["degree_cnt", "conductance", "spmv", "checkbip", "pagerank", "bp_seeded", "triangles_exact", "page_index", "page_probe", "sort_edges", "edges_purge", "erdos_renyi", "bfs", "als", "mcst_summary", "index_update", "batch_program", "numbered_pairs", "adjacency_lists", "rating_files", "matrix_market_pattern"]
+CHEAP = ["degree_cnt", "conductance", "spmv", "checkbip", "pagerank", "bp_seeded", "triangles_exact", "page_index", "page_probe", "sort_edges", "edges_purge", "erdos_renyi", "bfs", "als", "mcst_summary", "index_update", "batch_program", "numbered_pairs", "adjacency_lists", "rating_files", "matrix_market_pattern", "edges_delete_vector", "cc_blocks"]
 
 
 def test_every_sql_has_its_query():
