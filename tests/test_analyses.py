@@ -323,3 +323,14 @@ def test_beliefs_against_plain_products(spark):
             x = [sum(0.5 * (w if b < a else 1 - w) * product[b][j] / m[j] for j in (0, 1))] * 2
             after[b, a, k] = ((x[0] / sum(x), x[1] / sum(x)), w)
         sent = after
+
+
+def test_two_colours_and_odd_cycles(spark):
+    even = [(0, 3), (3, 1), (1, 4), (4, 0), (8, 7)]
+    odd = [(10, 11), (11, 12), (12, 13), (13, 14), (14, 10), (14, 15)]
+    g = Graph(spark.createDataFrame(even + odd + [(20, 20)], "src long, dst long"), spark.createDataFrame([(i,) for i in (0, 1, 3, 4, 7, 8, *range(10, 16), 20, 30)], "id long"))
+    got = {r.id: r for r in scans.two_colours(g).collect()}
+    assert {i: got[i].colour for i in (0, 1, 3, 4, 7, 8, 30)} == {0: 0, 1: 0, 3: 1, 4: 1, 7: 0, 8: 1, 30: 0}
+    assert all(got[i].bipartite == (i < 10 or i == 30) and (got[i].colour is None) == (not got[i].bipartite) for i in got)
+    assert {(r.odd_src, r.odd_dst) for i, r in got.items() if 10 <= i <= 15} == {(12, 13)} and (got[20].odd_src, got[20].odd_dst) == (20, 20)
+    assert all(got[a].colour != got[b].colour for a, b in even)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
+from ..plans.lineage import cut
+from .traversal import bfs_forest
 
 
 def degree_cnt(graph: Graph) -> DataFrame:
@@ -57,3 +59,19 @@ def checkbip(graph: Graph) -> DataFrame:
     """not_bipartite: some vertex has neighbours on both sides of its id, or itself (lower ids are the left side)."""
     bad = F.coalesce(F.max((F.col("above") & F.col("below")) | F.col("own")), F.lit(False))
     return sides(graph).agg(bad.alias("not_bipartite"), F.coalesce(F.sum(F.when((F.col("above") & F.col("below")) | F.col("own"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_conflicts"))
+
+
+def two_colours(graph: Graph) -> DataFrame:
+    """id, component (its least id), colour (0 as the least id, else 1; null where there is none), bipartite, and the least edge of an odd cycle of the component.
+
+    Edges count both ways. Colours are the parities of the levels below each least id; an edge between two vertices of
+    the same parity closes an odd cycle with their ways down the tree, and a component without one has two colours.
+    """
+    both = graph.unweighted().symmetrize()
+    levels = cut(bfs_forest(both).select("id", "component", (F.col("level") % 2).alias("side")), "levels")
+    a = levels.select(F.col("id").alias("src"), F.col("component").alias("c"), F.col("side").alias("sa"))
+    b = levels.select(F.col("id").alias("dst"), F.col("side").alias("sb"))
+    odd = both.edges.join(a, "src").join(b, "dst").where("sa = sb").groupBy("c").agg(F.min(F.struct("src", "dst")).alias("odd"))
+    held = levels.join(odd, F.col("component") == F.col("c"), "left")
+    even = F.col("odd").isNull()
+    return held.select("id", "component", F.when(even, F.col("side")).alias("colour"), even.alias("bipartite"), F.col("odd.src").alias("odd_src"), F.col("odd.dst").alias("odd_dst"))

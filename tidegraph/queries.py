@@ -192,6 +192,21 @@ LABELS_SQL = """,
         SELECT n.id, n.c FROM (SELECT x.dst AS id, min(l.c) AS c FROM l JOIN {x} x ON x.src = l.id GROUP BY x.dst) n JOIN recurring.l r ON r.id = n.id WHERE n.c < r.c)"""
 
 
+TWO_COLOURS = FOREST_SQL.format(zero="CAST(0 AS INTEGER)", w="CAST(1 AS INTEGER)", name="level", parent="parent").partition("    SELECT f.id")[0].rstrip().replace("JOIN e ON", "JOIN s e ON") + """,
+    o AS (SELECT a.component, min({'a': s.src, 'b': s.dst}) AS odd FROM s JOIN f a ON a.id = s.src JOIN f b ON b.id = s.dst WHERE a.distance % 2 = b.distance % 2 GROUP BY a.component)
+    SELECT f.id, f.component, CASE WHEN o.odd IS NULL THEN f.distance % 2 END AS colour, o.odd IS NULL AS bipartite, o.odd.a AS odd_src, o.odd.b AS odd_dst FROM f LEFT JOIN o ON o.component = f.component"""
+
+
+@query(SYM + TWO_COLOURS)
+def two_colours(spark, sf_dir):
+    return scans.two_colours(fixtures.part_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {RATINGS_SQL}, s AS (SELECT src, dst FROM r UNION ALL SELECT dst, src FROM r), v AS (SELECT DISTINCT src AS id FROM s)" + TWO_COLOURS)
+def two_colours_ratings(spark, sf_dir):
+    return scans.two_colours(fixtures.ratings(spark, sf_dir))
+
+
 @query(SYM + LABELS_SQL.format(x="s") + " SELECT id, c AS component FROM l")
 def cc(spark, sf_dir):
     return traversal.cc(symmetric(spark, sf_dir))
