@@ -334,3 +334,25 @@ def test_two_colours_and_odd_cycles(spark):
     assert all(got[i].bipartite == (i < 10 or i == 30) and (got[i].colour is None) == (not got[i].bipartite) for i in got)
     assert {(r.odd_src, r.odd_dst) for i, r in got.items() if 10 <= i <= 15} == {(12, 13)} and (got[20].odd_src, got[20].odd_dst) == (20, 20)
     assert all(got[a].colour != got[b].colour for a, b in even)
+
+
+def test_a_hub_is_dealt_over_tasks(spark):
+    """One source of half of all edges: its parts are spread, and ranks are those of plain sums."""
+    n = 3000
+    edges = [(0, i) for i in range(1, n)] + [(i, (i * 7 + 1) % n) for i in range(1, n)]
+    g = Graph.dense(spark.createDataFrame(edges, "src long, dst long"), n)
+    dealt, known = g.vertex_cut(hub=100)
+    held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    parts = [r["count"] for r in dealt.groupBy("src", "part").count().collect()]
+    assert max(parts) <= 160 and sum(parts) == len(edges) and max(held) <= 3 * sorted(held)[len(held) // 2]
+    assert {r.id: r.parts for r in known.where("parts > 1").collect()} == {0: 30}
+    dealt.unpersist()
+    deg, r = [n - 1] + [1] * (n - 1), [1.0] * n
+    for _ in range(3):
+        sums = [0.0] * n
+        for a, b in edges:
+            sums[b] += r[a] / deg[a]
+        r = [0.15 + 0.85 * x for x in sums]
+    for hub in (100, 10**6):
+        assert dict(rows(ranking.pagerank(g, 3, hub=hub))) == pytest.approx(dict(enumerate(r)))
+    assert sorted(rows(ranking.pagerank_delta(g, 6, hub=100))) == [pytest.approx(x) for x in sorted(rows(ranking.pagerank_delta(g, 6, hub=10**6)))]

@@ -8,6 +8,12 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .plans.lineage import counted, cut
+
+
+#: Edges of a source from which on it is a hub, and edges of each part that a hub's are dealt over. Hubs whose list may be broadcast.
+HUB, BROADCAST_HUBS = 100_000, 1_000_000
+
 
 @dataclass(frozen=True)
 class GraphMeta:
@@ -73,3 +79,27 @@ class Graph:
     def by_source(self) -> DataFrame:
         """Edges dealt by ``src`` and cached in its order: joins of an iteration shuffle only what joins them, and a filter on ``src`` passes over batches."""
         return self.edges.repartition("src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def vertex_cut(self, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+        """Edges (src, dst, part) dealt by source and part and cached, and vertices (id, deg, parts).
+
+        The edges of a source with more than ``hub`` of them are dealt over several parts by their targets, so that no
+        task holds them all; ``mirrored`` hands its value to each part. Sums by target are right whatever the parts,
+        since each edge is in one of them.
+        """
+        degrees = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+        known = self.vertices.join(degrees, "id", "left").select("id", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"))
+        known = cut(known.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("deg") / hub)).cast("int")), "degrees")
+        hubs, n = counted(known.where("parts > 1").select(F.col("id").alias("hub"), "parts"), "hubs")
+        edges = self.edges.select("src", "dst")
+        if n:
+            held = edges.join(F.broadcast(hubs) if n <= BROADCAST_HUBS else hubs, edges.src == F.col("hub"), "left")
+            edges = held.select("src", "dst", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+        else:
+            edges = edges.withColumn("part", F.lit(0))
+        return edges.repartition("src", "part").persist(StorageLevel.MEMORY_AND_DISK), known
+
+
+def mirrored(values: DataFrame) -> DataFrame:
+    """A row for each part that the edges of an id are dealt over. ``values``: id, parts and more."""
+    return values.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
