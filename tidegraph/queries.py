@@ -706,11 +706,13 @@ def edges_purge(spark, sf_dir):
 # streaming, sources, generators ----------------------------------------------------------------------
 
 ONLINE_DAYS = 6
+#: Records that a batch of the replay takes.
+REPLAYED = 500
 
 
-@query(
-    f"""WITH RECURSIVE {EVENT_EDGES_SQL},
-    n AS MATERIALIZED (SELECT DISTINCT date_diff('day', (SELECT min(day) FROM t), day) // {ONLINE_DAYS} AS batch_id, a, b FROM t),
+def _online_sql(edges: str, batch: str) -> str:
+    return f"""WITH RECURSIVE {edges},
+    n AS MATERIALIZED (SELECT DISTINCT {batch} AS batch_id, a, b FROM t),
     k AS (SELECT DISTINCT batch_id FROM n),
     x AS MATERIALIZED (SELECT DISTINCT k.batch_id, n.a AS src, n.b AS dst FROM k JOIN n ON n.batch_id <= k.batch_id),
     s AS MATERIALIZED (SELECT * FROM x UNION SELECT batch_id, dst, src FROM x),
@@ -721,7 +723,9 @@ ONLINE_DAYS = 6
         JOIN recurring.l r ON r.batch_id = m.batch_id AND r.id = m.id WHERE m.c < r.c),
     n2 AS (SELECT batch_id, count(*) FILTER (id = c) AS n_components, count(*) FILTER (id <> c) AS given_up FROM l GROUP BY batch_id)
     SELECT batch_id, n_components, given_up - lag(given_up, 1, 0) OVER (ORDER BY batch_id) AS merges FROM n2"""
-)
+
+
+@query(_online_sql(EVENT_EDGES_SQL, f"date_diff('day', (SELECT min(day) FROM t), day) // {ONLINE_DAYS}"))
 def cc_online(spark, sf_dir):
     edges = fixtures.event_edges(spark, sf_dir)
     first = edges.agg(F.min("day")).first()[0]
@@ -732,6 +736,14 @@ def cc_online(spark, sf_dir):
     return online.cc_online(online.edge_stream(spark, folder)).counts()
 
 
+@query(_online_sql(PART_EDGES_SQL + ", t AS (SELECT row_number() OVER (ORDER BY weight, src, dst) - 1 AS row, src AS a, dst AS b FROM e)", f"row // {REPLAYED}"))
+def cc_online_replay(spark, sf_dir):
+    """Edges as records in the order of their weights, replayed so many a batch."""
+    folder = work_path(spark, "replay")
+    edgefiles.write_in_order(fixtures.part_edges(spark, sf_dir).edges, folder, "weight", "src", "dst")
+    return online.cc_replay(spark, folder, REPLAYED).counts()
+
+
 @query(PART + " SELECT src, dst, weight FROM e")
 def binary_roundtrip(spark, sf_dir):
     folder = work_path(spark, "binary")
@@ -777,8 +789,6 @@ def matrix_market_pattern(spark, sf_dir):
 @query(PART + " SELECT 'part_edges' AS name, true AS weighted, (SELECT count(*) FROM v) AS n_vertices, count(*) AS n_edges FROM e")
 def descriptor_roundtrip(spark, sf_dir):
     folder = work_path(spark, "descriptor")
-    system, base = pafs.FileSystem.from_uri(folder)
-    system.create_dir(base, recursive=True)
     edgefiles.write_descriptor(fixtures.part_edges(spark, sf_dir).meta, f"{folder}/graph.ini")
     meta = edgefiles.read_descriptor(f"{folder}/graph.ini")
     return spark.createDataFrame([(meta.name, meta.weighted, meta.n_vertices, meta.n_edges)], "name string, weighted boolean, n_vertices long, n_edges long")

@@ -3,75 +3,67 @@
 from __future__ import annotations
 
 import configparser
-import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import uniform
 from ..graph import GraphMeta
-
-#: Little-endian records by their size in bytes; 16 has a gap before the weight.
-RECORDS = {
-    8: np.dtype([("src", "<u4"), ("dst", "<u4")]),
-    12: np.dtype([("src", "<u4"), ("dst", "<u4"), ("weight", "<f4")]),
-    16: np.dtype({"names": ["src", "dst", "weight"], "formats": ["<u4", "<u4", "<f4"], "offsets": [0, 4, 12], "itemsize": 16}),
-}
-#: Both ends of a record that has been deleted.
-TOMBSTONE = 2**32 - 1
-SPLIT = 64 << 20
-AT_ONCE = 1 << 20
+from .edgesource import RECORDS, EdgeFiles, decode, files_of, open_filesystem, registered, schema_of
 
 
 def read_binary(spark: SparkSession, path: str, record: int = 8, keep_deleted: bool = False) -> DataFrame:
-    """Edges of a file, or of the files of a folder. Each task reads a range of whole records."""
-    kind = RECORDS[record]
-    system, at = pafs.FileSystem.from_uri(path)
-    info = system.get_file_info(at)
-    files = [info] if info.type == pafs.FileType.File else [f for f in system.get_file_info(pafs.FileSelector(at)) if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
-    if odd := [f.path for f in files if f.size % record]:
-        raise ValueError(f"not whole records of {record} bytes: {odd[0]}")
-    step = SPLIT // record * record
-    splits = [(f.path, a, min(f.size, a + step)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, step)]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _ = pafs.FileSystem.from_uri(path)
+    """Edges of a file, or of the files of a folder. Each task reads a range of whole records.
+
+    Paths that Arrow cannot open (``viewfs`` and what else only Hadoop knows) go through Spark's own readers.
+    """
+    if not _arrow_opens(path):
+        return read_through_hadoop(spark, path, record, keep_deleted)
+    files_of(path, record)  # says at once what is wrong with them
+    return registered(spark).read.format(EdgeFiles.name()).option("record", record).option("keepDeleted", keep_deleted).load(path)
+
+
+def read_through_hadoop(spark: SparkSession, path: str, record: int = 8, keep_deleted: bool = False) -> DataFrame:
+    """As ``read_binary`` over any file system that Hadoop has, in its splits. Every file whose name starts with neither _ nor . is read, and manifests are not looked at."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.listStatus(at):
+        if not found.getPath().getName().startswith(("_", ".")) and found.getLen() % record:
+            raise ValueError(f"not whole records of {record} bytes: {found.getPath()}")
+    records = spark.sparkContext._jsc.binaryRecords(path, record).rdd()
+    rows = DataFrame(spark._jsparkSession.createDataset(records, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+    names = list(RECORDS[record].names)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                with own.open_input_file(file) as source:
-                    for x in range(a, b, AT_ONCE * record):
-                        rows = np.frombuffer(source.read_at(min(b, x + AT_ONCE * record) - x, x), kind)
-                        if not keep_deleted:
-                            rows = rows[~((rows["src"] == TOMBSTONE) & (rows["dst"] == TOMBSTONE))]
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[n].astype(t)) for n, t in zip(kind.names, (np.int64, np.int64, np.float64))], names=list(kind.names))
+            yield decode(b"".join(batch.column(0).to_pylist()), record, names, keep_deleted)
+
+    return rows.mapInArrow(unpack, schema_of(record))
+
 
-    listed = spark.createDataFrame(splits, "file string, a long, b long").repartition(max(1, len(splits)))
-    return listed.mapInArrow(read, "src long, dst long" + ", weight double" * ("weight" in kind.names))
+def _arrow_opens(path: str) -> bool:
+    try:
+        open_filesystem(path)
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
 
 
 def write_binary(edges: DataFrame, folder: str, record: int = 8) -> list[str]:
-    """Writes a file for each partition and returns the paths of those that count (of finished tasks)."""
-    kind = RECORDS[record]
+    """Adds a file for each partition and returns the paths of all that count (of finished tasks)."""
+    rows = edges.select(*RECORDS[record].names)
+    registered(edges.sparkSession)
+    rows.write.format(EdgeFiles.name()).option("record", record).mode("append").save(folder)
+    return [path for path, _ in files_of(folder, record)]
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = pafs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
-        path, out = f"{base}/edges-{uuid.uuid4().hex}.bin", None
-        for batch in batches:
-            rows = np.zeros(batch.num_rows, kind)
-            for n in kind.names:
-                rows[n] = np.asarray(batch.column(batch.schema.get_field_index(n)))
-            out = out or system.open_output_stream(path)
-            out.write(rows.tobytes())
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    written = edges.select(*kind.names).mapInArrow(write, "path string")
-    return sorted(r.path for r in written.collect())  # a row for each file
+def write_in_order(edges: DataFrame, folder: str, *order: Column | str, record: int = 8) -> None:
+    """As ``write_binary``, so that the files put one after the other by their names are in the order."""
+    ranged = edges.repartitionByRange(*order).sortWithinPartitions(*order).select(*RECORDS[record].names)
+    registered(edges.sparkSession)
+    ranged.write.format(EdgeFiles.name()).option("record", record).mode("append").save(folder)
 
 
 def _lines(spark: SparkSession, path: str, comment: str) -> DataFrame:
@@ -153,16 +145,23 @@ def write_pairs(edges: DataFrame, folder: str) -> None:
     edges.select("src", "dst").write.csv(folder, sep="\t")
 
 
+def _hadoop(path: str):
+    """Hadoop's file system of a path, and the path, in the driver."""
+    context = SparkSession.active().sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
 def read_descriptor(path: str) -> GraphMeta:
     """An INI file with name, type (1 weighted, 2 not), vertices and edges. The counts are the file's claim."""
-    system, at = pafs.FileSystem.from_uri(path)
     found = configparser.ConfigParser()
-    found.read_string(system.open_input_stream(at).read().decode())
+    found.read_string(SparkSession.active().read.text(path, wholetext=True).first()["value"])
     g = found["graph"]
     return GraphMeta(g["name"], g.getint("type") == 1, g.getint("vertices"), g.getint("edges"))
 
 
 def write_descriptor(meta: GraphMeta, path: str) -> None:
-    system, at = pafs.FileSystem.from_uri(path)
-    with system.open_output_stream(at) as out:
-        out.write(f"[graph]\nname={meta.name}\ntype={1 if meta.weighted else 2}\nvertices={meta.n_vertices}\nedges={meta.n_edges}\n".encode())
+    system, at = _hadoop(path)
+    out = system.create(at)
+    out.write(f"[graph]\nname={meta.name}\ntype={1 if meta.weighted else 2}\nvertices={meta.n_vertices}\nedges={meta.n_edges}\n".encode())
+    out.close()

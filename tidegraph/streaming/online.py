@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..graph import Graph
 from ..operators.traversal import cc
 from ..plans.lineage import cut, drop, remove, union, work_path
+from ..sources.edgesource import EdgeFiles, registered
 
 #: Batches whose new vertices are kept side by side before they become one table.
 LOG = 16
@@ -93,6 +94,18 @@ class OnlineComponents:
         return self.spark.createDataFrame([h for h in self.history if h[0] >= 0], "batch_id long, n_components long, merges long")
 
 
+def cc_replay(spark: SparkSession, path: str, buffer: int, record: int = 8, vertices: DataFrame | None = None, folder: str | None = None) -> OnlineComponents:
+    """Replays a folder of edge records, ``buffer`` of them a batch, to its end. With a ``folder`` a later run goes on where this one ended."""
+    state = OnlineComponents(spark, vertices, folder)
+    source = registered(spark).readStream.format(EdgeFiles.name()).option("record", record).option("buffer", buffer).option("progress", f"{state.folder}/replayed").load(path)
+    query = source.writeStream.foreachBatch(lambda batch, batch_id: state.add(batch, batch_id)).option("checkpointLocation", f"{state.folder}/stream").start()
+    try:
+        query.processAllAvailable()  # a batch without new records is the end
+    finally:
+        query.stop()
+    return state
+
+
 def cc_online(source: DataFrame, vertices: DataFrame | None = None, folder: str | None = None) -> OnlineComponents:
     """Runs a stream of edges (src, dst) to its end, batch by batch. With a ``folder`` a later run goes on where this one ended."""
     spark = source.sparkSession
