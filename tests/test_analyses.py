@@ -4,6 +4,7 @@ import heapq
 import itertools
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.graph import Graph
 from tidegraph.operators import belief, centrality, factorisation, independent, neighbourhoods, ranking, scans, spanning, strong, traversal, triangles
-from tidegraph.plans import superstep
+from tidegraph.plans import lineage, superstep
 from tidegraph.plans.superstep import MonotoneProgram, VertexProgram, run, run_monotone
 
 EMPTY: list = []
@@ -356,3 +357,35 @@ def test_a_hub_is_dealt_over_tasks(spark):
     for hub in (100, 10**6):
         assert dict(rows(ranking.pagerank(g, 3, hub=hub))) == pytest.approx(dict(enumerate(r)))
     assert sorted(rows(ranking.pagerank_delta(g, 6, hub=100))) == [pytest.approx(x) for x in sorted(rows(ranking.pagerank_delta(g, 6, hub=10**6)))]
+
+
+def test_estimates_need_no_exchange(spark):
+    """What a counter tells is read off its own row, and is what the registers say one by one."""
+    state = neighbourhoods.counters(Graph.dense(spark.createDataFrame([(0, 1)], "src long, dst long"), 300), 7).persist()
+    one = neighbourhoods.estimates(state)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    merged = state.agg(*(F.bit_or(c).alias(c) for c in state.columns if c != "id")).select(F.lit(0).cast("long").alias("id"), "*")
+    per = neighbourhoods.registers(merged).collect()
+    m, s = 128, sum(2.0 ** -r.value for r in per)
+    raw, empty = neighbourhoods._alpha(m) * m * m / (s + m - len(per)), m - len(per)
+    want = m * math.log(m / empty) if raw <= 2.5 * m and empty else raw
+    assert neighbourhoods.estimates(merged).first().reach == pytest.approx(want)
+    assert one.count() == 300 and one.agg(F.max("reach")).first()[0] < 1.1
+    state.unpersist()
+
+
+def test_accumulators_of_a_frontier_program(spark):
+    """Sums over what each superstep changed; the working tables of past rounds go."""
+    path = Graph.dense(spark.range(6).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), 7)
+    program = replace(traversal.bfs_program(path, 0), metrics={"ids": F.sum("id"), "deepest": F.max("v.level")})
+    told = run_monotone(path, program).metrics().orderBy("phase").collect()
+    assert [(r.phase, r.changed, r.ids, r.deepest) for r in told] == [(k, 1, k + 1, k + 1) for k in range(6)] + [(6, 0, None, None)]
+
+
+def test_working_tables_of_past_rounds_go(spark):
+    ring = spark.range(40).select(F.col("id").alias("src"), ((F.col("id") + 1) % 40).alias("dst"), F.lit(1.0).alias("weight"))
+    graph = Graph.dense(ring, 40).symmetrize()
+    for analysis, most in ((independent.mis, 40), (spanning.mcst, 8)):
+        before = len(lineage._made)
+        analysis(graph).collect()
+        assert len(lineage._made) - before <= most, analysis  # one for each round's own result

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
-from ..plans.lineage import counted, cut
+from ..plans.lineage import counted, cut, drop
 
 
 def mis(graph: Graph) -> DataFrame:
@@ -23,7 +23,9 @@ def mis(graph: Graph) -> DataFrame:
         outs.append(out)
         gone = free.unionByName(out)
         src, dst = gone.withColumnRenamed("id", "src"), gone.withColumnRenamed("id", "dst")
+        before = edges
         edges, left = counted(edges.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select("src", "dst"))
+        drop(before, free)
     vertices = graph.vertices
     if not outs:
         return vertices.select("id", F.lit(True).alias("in_mis"))

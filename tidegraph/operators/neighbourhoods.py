@@ -64,10 +64,13 @@ def registers(state: DataFrame) -> DataFrame:
 
 
 def estimates(state: DataFrame) -> DataFrame:
-    """id, reach: the number of vertices that each counter tells of."""
-    m = 2 * (len(state.columns) - 1)
-    per = registers(state).groupBy("id").agg(F.sum(F.pow(F.lit(2.0), -F.col("value"))).alias("s"), F.count("*").alias("set"))
-    raw, empty = _alpha(m) * m * m / (F.col("s") + (m - F.col("set"))), m - F.col("set")
+    """id, reach: the number of vertices that each counter tells of, row by row."""
+    words, m = [c for c in state.columns if c != "id"], 2 * (len(state.columns) - 1)
+    halves = F.concat(F.transform("words", lambda w: w.bitwiseAND(F.lit(2**32 - 1))), F.transform("words", lambda w: F.shiftrightunsigned(w, 32)))
+    seen = state.select("id", F.array(*words).alias("words")).select("id", halves.alias("seen"))
+    share = F.transform("seen", lambda x: F.when(x == 0, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), -F.length(F.bin(x)))))  # powers of two: their sum is exact in any order
+    per = seen.select("id", F.aggregate(share, F.lit(0.0), lambda a, b: a + b).alias("s"), F.size(F.filter("seen", lambda x: x == 0)).alias("empty")).where(F.col("empty") < m)
+    raw, empty = _alpha(m) * m * m / F.col("s"), F.col("empty")
     return per.select("id", F.when((raw <= 2.5 * m) & (empty > 0), m * F.log(m / empty)).otherwise(raw).alias("reach"))
 
 
@@ -100,5 +103,7 @@ def hll_registers(graph: Graph, steps: int, rsd: float = 0.1) -> DataFrame:
     state = graph.vertices.select("id", h.bitwiseAND(F.lit((1 << k) - 1)).cast("int").alias("register"), trailing_rank(F.shiftright(h, k), 32 - k).alias("value"))
     for _ in range(steps):
         moved = graph.edges.join(state, graph.edges.src == state.id).select(F.col("dst").alias("id"), "register", "value")
-        state = cut(state.unionByName(moved).groupBy("id", "register").agg(F.max("value").alias("value")))
+        after = cut(state.unionByName(moved).groupBy("id", "register").agg(F.max("value").alias("value")))
+        drop(state)
+        state = after
     return state

@@ -50,6 +50,20 @@ def pages_of(slices: DataFrame) -> DataFrame:
     return slices.select(*rest, "block", at.alias("_at")).select((F.col("block") * GROUP + F.col("_at")).alias("page_id"), *rest)
 
 
+def pages_hit(edges: DataFrame, frontier: DataFrame, *order: Column | str, bits: int = BITS, per_page: int = PER_PAGE) -> DataFrame:
+    """pages, hit, holding: what an order of the edges is worth to a frontier.
+
+    Of all pages, those that a probe says may hold a source of the frontier, and those that do. Edges that
+    lie by source keep a vertex's edges together, but a page's filter fills up with unlike bits and is hit in
+    error; ``sorting.locality_keys`` put sources with like bits into one page.
+    """
+    stored = cut(paged(edges, *order, per_page=per_page), "paged")
+    n = stored.agg((F.coalesce(F.max("page_id"), F.lit(-1)) + 1).alias("pages"))
+    hit = probe(filters(stored, bits), frontier, bits).agg(F.count("*").alias("hit"))
+    holding = stored.join(frontier.select(F.col("id").alias("src")).distinct(), "src", "left_semi").agg(F.count_distinct("page_id").alias("holding"))
+    return n.crossJoin(hit).crossJoin(holding)  # a row each
+
+
 def probe(index: DataFrame, frontier: DataFrame, bits: int = BITS) -> DataFrame:
     """page_id of the pages that the ids of the frontier hit. A slice may come in several rows."""
     wanted = frontier.select("id", F.array_distinct(bloom_positions(F.col("id"), bits)).alias("at"))

@@ -32,6 +32,7 @@ def locality_keys(bits: int, levels: int = 3) -> list[Column]:
     """Sort keys that bring edges whose sources share filter bits together.
 
     The bits of a source's filter are compared at growing fineness (their leading part first), then the ids.
+    With as many levels as a position has bits, every prefix is a key.
     """
     at = bloom_positions(F.col("src"), bits)
     width = bits.bit_length() - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
-from ..plans.lineage import counted, cut, union
+from ..plans.lineage import counted, cut, drop, union
 
 
 def mcst(graph: Graph) -> DataFrame:
@@ -27,16 +27,21 @@ def mcst(graph: Graph) -> DataFrame:
         back = best.select(F.col("a").alias("x"), F.col("b").alias("y"))
         mutual = (F.col("y") == F.col("a")) & (F.col("a") < F.col("b"))  # of two that choose each other the smaller is the root
         up = best.join(back, best.b == back.x).select("a", F.when(mutual, F.col("a")).otherwise(F.col("b")).alias("p"))
-        up, moved = counted(up)
+        kept, moved = counted(up)
+        up = kept
         while moved:  # to the roots
             over = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             jumped = up.join(over, "p").select("a", F.col("pp").alias("q"), (F.col("p") != F.col("pp")).alias("moved"))
             jumped = cut(jumped)
+            drop(kept)
+            kept = jumped
             moved, up = jumped.where("moved").limit(1).count(), jumped.select("a", F.col("q").alias("p"))
         pa, pb = (up.select(F.col("a").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
         joined = edges.join(pa, "a").join(pb, "b").where("pa <> pb")
         pairs = joined.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.min("e").alias("e"))
+        before = edges
         edges, left = counted(pairs)
+        drop(before, kept)
     if not taken:
         return edges.select(F.col("e.u").alias("src"), F.col("e.v").alias("dst"), "e.weight")
     return union(taken).select(F.col("e.u").alias("src"), F.col("e.v").alias("dst"), "e.weight")

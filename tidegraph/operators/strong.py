@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
-from ..plans.lineage import counted, cut, union
+from ..plans.lineage import counted, cut, drop, union
 from ..plans.superstep import MonotoneProgram, run_monotone
 
 #: Rounds of peeling ends off before each colouring.
@@ -26,7 +26,9 @@ def scc(graph: Graph) -> DataFrame:
             inner = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
             inner = cut(inner)
             s, d = inner.withColumnRenamed("id", "src"), inner.withColumnRenamed("id", "dst")
+            before = edges
             edges, now = counted(edges.join(s, "src", "left_semi").join(d, "dst", "left_semi").select("src", "dst"))
+            drop(before, inner)
             done, left = now == left, now
             if done or not left:
                 break
@@ -42,7 +44,9 @@ def scc(graph: Graph) -> DataFrame:
         core = cut(run_monotone(back, MonotoneProgram(roots, lambda: F.col("v"), first_only=True)).state)
         found.append(core)
         s, d = core.select(F.col("id").alias("src")), core.select(F.col("id").alias("dst"))
+        before = edges
         edges, left = counted(same.select("src", "dst").join(s, "src", "left_anti").join(d, "dst", "left_anti").select("src", "dst"))
+        drop(before, same, colours)
     vertices = graph.vertices
     if not found:
         return vertices.select("id", F.col("id").alias("component"))

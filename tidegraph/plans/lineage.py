@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -70,6 +70,15 @@ def counted(df: DataFrame, label: str = "state", by: list[str] | None = None) ->
     return out, seen.get["n"]
 
 
+def observed(df: DataFrame, aggregates: dict[str, Column], label: str = "state") -> tuple[DataFrame, dict]:
+    """As ``cut``, with aggregates over the rows, which are taken as they are written."""
+    if not aggregates:
+        return cut(df, label), {}
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(n) for n, c in aggregates.items())), label)
+    return out, {n: seen.get[n] for n in aggregates}
+
+
 def drop(*frames: DataFrame) -> None:
     """Removes the tables of frames that ``cut`` made and that nothing reads any more. Other frames are left alone."""
     for df in frames:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..graph import Graph
-from .lineage import counted, cut, drop, union
+from .lineage import counted, cut, drop, observed, union
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,7 @@ class Superstep:
     changed: int
     arrived: int = -1
     seconds: float = 0.0
+    observed: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -38,8 +39,8 @@ class Result:
 
     def metrics(self) -> DataFrame:
         """A row for each superstep."""
-        rows = [Row(**(s if isinstance(s, dict) else vars(s))) for s in self.steps]
-        return self.state.sparkSession.createDataFrame(rows, None if rows else "phase long, active long, changed long, arrived long, seconds double")
+        told = [s if isinstance(s, dict) else {k: v for k, v in vars(s).items() if k != "observed"} | s.observed for s in self.steps]
+        return self.state.sparkSession.createDataFrame([Row(**t) for t in told], None if told else "phase long, active long, changed long, arrived long, seconds double")
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,15 @@ class MonotoneProgram:
 
     Values are compared as wholes; structs field by field. The least message wins, and is taken if it
     is less than what the vertex has. ``first_only``: a vertex never changes once it has a value, and values
-    that come later are never less (a level, or the same everywhere).
+    that come later are never less (a level, or the same everywhere). ``metrics``: aggregates over the rows (id, v)
+    that a superstep changes, taken as they are written; supersteps then run one by one.
     """
 
     start: DataFrame
     message: Callable[[], Column]
     first_only: bool = False
     max_steps: int = 10_000
+    metrics: dict[str, Column] = field(default_factory=dict)
 
 
 #: Active vertices up to which a superstep hands them to every task (16 bytes or so each) instead of shuffling.
@@ -135,6 +138,8 @@ def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None
     vertices that had a better value is never taken.
     """
     borrowed, edges = edges, graph.by_source() if edges is None else edges
+    if program.metrics:
+        ahead = 1
     frontier, active = counted(program.start.select("id", "v"))
     known, steps, phase = Known(program.first_only), [], 0
     known.add(frontier, active)
@@ -161,13 +166,14 @@ def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None
             fresh = best.join(had, "id", "left_anti")
         else:
             fresh = best.join(had.groupBy("id").agg(F.min("v").alias("old")), "id", "left").where("old is null or v < old").select("id", "v")
-        frontier, changed = counted(fresh)
+        frontier, told = observed(fresh, {"_changed": F.count(F.lit(1))} | program.metrics)
+        changed = told.pop("_changed")
         if wide:
             drop(best)
         if len(known.recent) >= LOG:
             known.settle()
         known.add(frontier, changed)
-        steps.append(Superstep(phase, active, changed, arrived, round(time.perf_counter() - began, 3)))
+        steps.append(Superstep(phase, active, changed, arrived, round(time.perf_counter() - began, 3), told))
         active, phase = changed, phase + 1
     state = known.state()
     if borrowed is None:
@@ -197,13 +203,8 @@ class VertexProgram:
 def run(graph: Graph, program: VertexProgram, edges: DataFrame | None = None) -> Result:
     """Runs at most ``phases`` supersteps, fewer if none is active."""
     borrowed, edges = edges, graph.by_source() if edges is None else edges
-    state = graph.vertices.select("id", *(c.alias(n) for n, c in program.init.items()))
-    steps, before = [], None
+    state, steps = cut(graph.vertices.select("id", *(c.alias(n) for n, c in program.init.items()))), []
     for phase in range(program.phases):
-        state = cut(state)
-        if before is not None:
-            drop(before)
-        before = state
         senders = state if program.active is None else state.where(program.active)
         if program.active is not None and senders.isEmpty():
             break
@@ -212,12 +213,11 @@ def run(graph: Graph, program: VertexProgram, edges: DataFrame | None = None) ->
             sent = sent.where(program.emit)
         got = sent.select(F.col("dst").alias("_to"), *(c.alias(n) for n, c in program.message.items()))
         got = got.groupBy("_to").agg(*(c.alias(n) for n, c in program.combine.items()))
-        state = state.join(got, state.id == got._to, "left").select("id", *(c.alias(n) for n, c in program.apply.items()))
+        after, told = observed(state.join(got, state.id == got._to, "left").select("id", *(c.alias(n) for n, c in program.apply.items())), program.metrics)
+        drop(state)
+        state = after
         if program.metrics:
-            steps.append({"phase": phase} | state.agg(*(c.alias(n) for n, c in program.metrics.items())).first().asDict())
-    state = cut(state)
-    if before is not None:
-        drop(before)
+            steps.append({"phase": phase} | told)
     if borrowed is None:
         edges.unpersist()
     return Result(state, steps)

@@ -7,6 +7,7 @@ have no row, so both sides agree row for row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +18,7 @@ from . import fixtures
 from .fixtures import COPURCHASE_SQL, EVENT_EDGES_SQL, PART_EDGES_SQL, RATINGS_SQL, SYMMETRIC_SQL
 from .graph import Graph
 from .operators import belief, centrality, factorisation, independent, mutation, neighbourhoods, pageindex, ranking, scans, sorting, spanning, store, strong, traversal, triangles
-from .plans.lineage import work_path
+from .plans.lineage import union, work_path
 from .plans.superstep import BatchProgram, VertexProgram, run, run_batches, run_monotone
 from .sources import edgefiles, generators
 from .streaming import online
@@ -615,6 +616,14 @@ def superstep_metrics(spark, sf_dir):
     return run_monotone(graph, traversal.bfs_program(graph, root_of(graph)), ahead=1).metrics().select("phase", "active", "changed")
 
 
+@query(PART + BFS_SQL + " SELECT CAST(level - 1 AS BIGINT) AS phase, count(*) AS changed, CAST(sum(id) AS BIGINT) AS id_sum, min(id) AS least FROM b WHERE level > 0 GROUP BY level")
+def monotone_metrics(spark, sf_dir):
+    """Accumulators of a frontier program, taken as each superstep is written."""
+    graph = fixtures.part_edges(spark, sf_dir).unweighted()
+    program = replace(traversal.bfs_program(graph, root_of(graph)), metrics={"id_sum": F.sum("id"), "least": F.min("id")})
+    return run_monotone(graph, program).metrics().where("changed > 0").select("phase", "changed", "id_sum", "least")
+
+
 PROGRAM_STEPS = 3
 PROGRAM_SQL = PART + unrolled("x", "SELECT id, id AS x FROM v", lambda k: f"SELECT p.id, greatest(p.x, coalesce(max(q.x), p.x)) AS x FROM x{k - 1} p LEFT JOIN e ON e.dst = p.id LEFT JOIN x{k - 1} q ON q.id = e.src GROUP BY p.id, p.x", PROGRAM_STEPS) + f" SELECT id, x FROM x{PROGRAM_STEPS}"
 
@@ -682,6 +691,36 @@ def locality_sort(spark, sf_dir):
     return sorting.numbered(edges, *sorting.locality_keys(4096, 3)).select("src", "dst", "row")
 
 
+ORDER_BITS = 256
+ORDER_POS = f"[CAST(x AS INTEGER) for x in flatten([[y & {ORDER_BITS - 1}, (y >> 16) & {ORDER_BITS - 1}] for y in " + HASHES + "])]"
+
+
+@query(
+    COP + f""", q AS MATERIALIZED (SELECT src, dst, {ORDER_POS.format('src')} AS pos FROM c),
+    o AS (SELECT 'source' AS edge_order, src, pos, row_number() OVER (ORDER BY src, dst) - 1 AS row FROM q
+        UNION ALL SELECT 'locality', src, pos, row_number() OVER (ORDER BY {', '.join(f'list_sort([x >> {s} for x in pos])' for s in reversed(range(ORDER_BITS.bit_length() - 1)))}, src, dst) - 1 FROM q),
+    g AS MATERIALIZED (SELECT edge_order, src, pos, row // 256 AS page_id FROM o),
+    i AS (SELECT DISTINCT edge_order, page_id, unnest(pos) AS bit FROM g),
+    f AS (SELECT id, list_distinct({ORDER_POS.format('id')}) AS places FROM v WHERE id % 200 = 0),
+    b AS (SELECT id, unnest(places) AS bit, len(places) AS need FROM f),
+    h AS (SELECT i.edge_order, i.page_id FROM b JOIN i USING (bit) GROUP BY i.edge_order, i.page_id, b.id, b.need HAVING count(*) = b.need),
+    p AS (SELECT edge_order, max(page_id) + 1 AS pages, count(DISTINCT page_id) FILTER (src % 200 = 0) AS holding FROM g GROUP BY edge_order)
+    SELECT edge_order, pages, holding, count(DISTINCT h.page_id) AS hit FROM p LEFT JOIN h USING (edge_order) GROUP BY edge_order, pages, holding"""
+)
+def pages_hit_by_order(spark, sf_dir):
+    """Pages that a fixed frontier hits where edges lie by source, and where they lie by locality."""
+    graph = fixtures.copurchase(spark, sf_dir)
+    edges, frontier = graph.edges, graph.vertices.where("id % 200 = 0")
+    orders = {"source": ("src", "dst"), "locality": sorting.locality_keys(ORDER_BITS, ORDER_BITS.bit_length() - 1)}
+    return union([pageindex.pages_hit(edges, frontier, *keys, bits=ORDER_BITS).withColumn("edge_order", F.lit(name)) for name, keys in orders.items()])
+
+
+@query(PART + ", p AS (SELECT src, dst, row_number() OVER (ORDER BY dst, src) AS row FROM e), q AS (SELECT (src, dst) < lag((src, dst)) OVER (ORDER BY row) AS less FROM p) SELECT count(*) AS n, count(*) FILTER (less) AS out_of_order FROM q")
+def order_violations(spark, sf_dir):
+    """How far edges in the order of their targets are from the order of their sources."""
+    return sorting.is_sorted(sorting.numbered(fixtures.part_edges(spark, sf_dir).edges, "dst", "src"), "row", "src", "dst")
+
+
 @query(PART + " SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e WHERE src % 10 = 0")
 def edges_append(spark, sf_dir):
     edges = fixtures.part_edges(spark, sf_dir).edges
