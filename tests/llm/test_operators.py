@@ -238,6 +238,21 @@ def test_winnowing_edited(docs, none):
 # 3 -------------------------------------------------------------------------------------------------------
 
 
+def test_warc_payloads_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """No exchange moves a payload; a table of repeated digests beyond its bound is joined by digest, with the same rows."""
+    df = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 5 == 0, F.repeat(F.lit("x"), 1500)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.repeat(F.col("id").cast("string"), 700)).alias("html"))
+    df = df.unionByName(df.where("page_id = 55"))
+    found = warc.with_digests(df)
+    repeated = found.sparkSession.createDataFrame(warc.repeated_payloads(found).collect(), "digest string, last struct<page_id: long, url: string>")
+    plan = lambda: warc.with_revisits(found, repeated)._jdf.queryExecution().executedPlan().toString()
+    rows_ = lambda: sorted(map(tuple, warc.with_revisits(found, repeated).select("page_id", "refers_to", "there").collect()), key=str)
+    assert "hashpartitioning" not in plan()
+    handed = rows_()
+    monkeypatch.setattr(warc, "HANDED", 0)
+    assert rows_() == handed and sum(r[1] is not None for r in handed) == 11 and {r[1:] for r in handed if r[1] is not None} == {(55, "u55")}
+    assert sorted(map(str, warc.archive_and_read(df).select("page_id", "refers_to").collect())) == sorted(f"Row(page_id={r[0]}, refers_to={r[1]})" for r in handed)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "y" * 1500
     pages = [(1, "http://a/%0A%25", big), (2, "http://b", big), (9, None, big), (None, "u", big), (3, "", "short"), (4, "x\ny", "short"), (5, "c", None), (6, "d", "é" * 600), (7, "e", "é" * 600), (7, "e", "é" * 600)]

@@ -7,6 +7,8 @@ sorted, and ranges that lie close together are fetched by one read.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest id is a response
 and the others are revisits that refer to it; their block keeps the headers, with the payload's length.
+Which payloads repeat is learnt from digests alone; tables of up to some 48 MB of repeated ones are handed
+to the tasks that have the payloads, larger ones are joined by digest.
 
 A record's id is its own even where rows repeat; pages are named by a field of their own. A url stands in
 its header as it is, but for line ends, which no header can hold: these are percent-encoded there, and the
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import materialise, open_filesystem, work_path
+from .storage import drop, materialise, open_filesystem, work_path
 
 INDEX = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, file string, offset long, length long"
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -38,6 +40,8 @@ RECORDS = "page_id long, url string, record_type string, payload_digest string,
 GAP, SPAN = 64 << 10, 8 << 20
 #: Bytes of archive that a reading task takes.
 TASK = 16 << 20
+#: Bytes of repeated digests that are handed to every task, and what one takes beside its url.
+HANDED, ENTRY = 48 << 20, 160
 #: Fixed value of the WARC 1.1 standard.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -89,12 +93,22 @@ def parse(data: bytes) -> dict:
     return {"page_id": number(PAGE), "url": url, "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": size, "refers_to": number(REFERS), "payload": None if revisit else payload}
 
 
-def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, size, refers_to (null: a response) and the url there."""
+def with_digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, digest, size."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
-    repeated = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    rows = rows.join(repeated, "digest", "left")
+    return rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
+
+
+def repeated_payloads(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """digest, last (page_id, url): a row for each payload that comes more than once. No payload is moved to learn this."""
+    keys = rows.where(F.col("size") >= least).select("digest", "page_id", "url")
+    return keys.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+
+
+def with_revisits(rows: DataFrame, repeated: DataFrame, least: int = 1000) -> DataFrame:
+    """Adds refers_to (null: a response) and the url there. ``repeated`` is a table: what of it is small enough goes to the payloads, which stay where they are; a larger one is joined by a shuffle."""
+    told = repeated.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("last.url")), F.lit(0)).alias("urls")).first()
+    rows = rows.join(F.broadcast(repeated) if told["n"] * ENTRY + told["urls"] <= HANDED else repeated, "digest", "left")
     last = F.col("last.page_id")
     revisits = last.isNotNull() & ~last.eqNullSafe(F.col("page_id")) & (F.col("size") >= least)
     return rows.withColumns({"refers_to": F.when(revisits, last), "there": F.when(revisits, F.col("last.url"))}).drop("last")
@@ -122,8 +136,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, date: str =
         if out is not None:
             out.close()
 
-    rows = with_revisits(pages, least).select("page_id", "url", "html", "digest", "size", "refers_to", "there")
-    return materialise(rows.mapInArrow(write, INDEX), "warc-index")
+    rows = with_digests(pages)
+    repeated = materialise(repeated_payloads(rows, least), "warc-repeated")
+    rows = with_revisits(rows, repeated, least).select("page_id", "url", "html", "digest", "size", "refers_to", "there")
+    index = materialise(rows.mapInArrow(write, INDEX), "warc-index")
+    drop(repeated)
+    return index
 
 
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
