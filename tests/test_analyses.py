@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.graph import Graph
 from tidegraph.operators import belief, centrality, factorisation, independent, neighbourhoods, ranking, scans, spanning, strong, traversal, triangles
-from tidegraph.plans import lineage, superstep
+from tidegraph.plans import accounting, lineage, superstep
 from tidegraph.plans.superstep import MonotoneProgram, VertexProgram, run, run_monotone
 
 EMPTY: list = []
@@ -389,3 +389,23 @@ def test_working_tables_of_past_rounds_go(spark):
         before = len(lineage._made)
         analysis(graph).collect()
         assert len(lineage._made) - before <= most, analysis  # one for each round's own result
+
+
+def test_supersteps_tell_what_they_cost(spark):
+    """Messages as counted by hand; bytes and time of the jobs of that superstep alone."""
+    star = spark.range(1, 400).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    graph = Graph.dense(star.unionByName(star.where("dst <= 10").select(F.col("dst").alias("src"), (F.col("dst") + 400).alias("dst"))), 420)
+    found = run_monotone(graph, traversal.bfs_program(graph, 0), measured=True)
+    told = found.metrics().orderBy("phase").collect()
+    assert [(r.active, r.messages, r.arrived, r.changed) for r in told] == [(1, 399, 399, 399), (399, 10, 10, 10), (10, 0, 0, 0)]
+    assert all(r.jobs > 0 and r.tasks > 0 and r.bytes_read > 0 and r.bytes_written > 0 and r.task_seconds > 0 for r in told)
+    assert told[0].shuffle_written > 0 and 0 < told[0].gather_seconds <= told[0].task_seconds
+    assert rows(found.state) == rows(run_monotone(graph, traversal.bfs_program(graph, 0)).state)
+    with accounting.accounted(spark) as idle:
+        pass
+    assert idle == accounting.Cost()
+    with accounting.accounted(spark) as outer:
+        with accounting.accounted(spark) as inner:
+            spark.range(100).repartition(3).count()
+        spark.range(100).count()
+    assert outer.jobs > inner.jobs > 0 and inner.shuffle_written > 0

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..graph import Graph
+from .accounting import accounted
 from .lineage import counted, cut, drop, observed, union
 
 
@@ -129,8 +130,9 @@ class Known:
         return self._merged(tables).select("id", "v")
 
 
-def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None = None, select: Callable[[DataFrame, int, int], DataFrame] | None = None, ahead: int = AHEAD) -> Result:
+def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None = None, select: Callable[[DataFrame, int, int], DataFrame] | None = None, ahead: int = AHEAD, measured: bool = False) -> Result:
     """Runs to the fixpoint. ``select(frontier, count, phase)`` may choose the edges to scan in place of all.
+    ``measured``: metrics tell of each superstep's messages, and of its bytes, rows and task time (``accounting.Cost``).
 
     A superstep reads by its frontier: in a large graph few active vertices are a filter on the edges, and of
     the known values only those of the ids that got a message are read. In a small one, where a superstep is
@@ -138,7 +140,7 @@ def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None
     vertices that had a better value is never taken.
     """
     borrowed, edges = edges, graph.by_source() if edges is None else edges
-    if program.metrics:
+    if program.metrics or measured:
         ahead = 1
     frontier, active = counted(program.start.select("id", "v"))
     known, steps, phase = Known(program.first_only), [], 0
@@ -146,10 +148,11 @@ def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None
 
     def sent(scanned: DataFrame, senders: DataFrame) -> DataFrame:
         got = scanned.join(senders, scanned.src == senders.id)
-        return got.select(F.col("dst").alias("id"), program.message().alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+        return got.select(F.col("dst").alias("id"), program.message().alias("v")).groupBy("id").agg(F.min("v").alias("v"), *([F.count(F.lit(1)).alias("n")] if measured else []))
 
-    while active and phase < program.max_steps:
-        began, wide = time.perf_counter(), known.rows > MANY
+    def step() -> tuple[DataFrame, int, int, dict]:
+        """The vertices that change, their number, that of the targets, and what is told of the superstep."""
+        wide = known.rows > MANY
         scanned, senders = select(frontier, active, phase) if select else edges, frontier
         if wide and active <= FEW and select is None:
             scanned = scanned.where(F.col("src").isin([r.id for r in frontier.select("id").collect()]))
@@ -159,20 +162,34 @@ def run_monotone(graph: Graph, program: MonotoneProgram, edges: DataFrame | None
             while len(layers) < ahead:
                 layers.append(sent(edges, layers[-1]))
             best = union(layers).groupBy("id").agg(F.min("v").alias("v"))
-        if wide:
+        extra = {}
+        if measured:
+            best, extra = observed(best, {"arrived": F.count(F.lit(1)), "messages": F.coalesce(F.sum("n"), F.lit(0))}, "arrived")
+            arrived = extra.pop("arrived")
+        elif wide:
             best, arrived = counted(best, "arrived")
         had = known.of(best if wide else None, arrived)
         if program.first_only:
-            fresh = best.join(had, "id", "left_anti")
+            fresh = best.join(had, "id", "left_anti").select("id", "v")
         else:
             fresh = best.join(had.groupBy("id").agg(F.min("v").alias("old")), "id", "left").where("old is null or v < old").select("id", "v")
-        frontier, told = observed(fresh, {"_changed": F.count(F.lit(1))} | program.metrics)
+        after, told = observed(fresh, {"_changed": F.count(F.lit(1))} | program.metrics)
         changed = told.pop("_changed")
-        if wide:
+        if wide or measured:
             drop(best)
         if len(known.recent) >= LOG:
             known.settle()
-        known.add(frontier, changed)
+        known.add(after, changed)
+        return after, changed, arrived, extra | told
+
+    while active and phase < program.max_steps:
+        began = time.perf_counter()
+        if measured:
+            with accounted(graph.spark) as cost:
+                frontier, changed, arrived, told = step()
+            told |= vars(cost)
+        else:
+            frontier, changed, arrived, told = step()
         steps.append(Superstep(phase, active, changed, arrived, round(time.perf_counter() - began, 3), told))
         active, phase = changed, phase + 1
     state = known.state()

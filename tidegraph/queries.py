@@ -616,6 +616,18 @@ def superstep_metrics(spark, sf_dir):
     return run_monotone(graph, traversal.bfs_program(graph, root_of(graph)), ahead=1).metrics().select("phase", "active", "changed")
 
 
+@query(
+    PART + BFS_SQL + """, n AS (SELECT level, count(*) AS n FROM b GROUP BY level),
+    m AS (SELECT b.level, count(*) AS messages, count(DISTINCT e.dst) AS arrived FROM b JOIN e ON e.src = b.id GROUP BY b.level)
+    SELECT CAST(a.level AS BIGINT) AS phase, a.n AS active, coalesce(m.messages, 0) AS messages, coalesce(m.arrived, 0) AS arrived, coalesce(c.n, 0) AS changed
+    FROM n a LEFT JOIN m ON m.level = a.level LEFT JOIN n c ON c.level = a.level + 1"""
+)
+def superstep_io(spark, sf_dir):
+    """What each superstep sent; the bytes, rows and seconds beside it differ from run to run."""
+    graph = fixtures.part_edges(spark, sf_dir).unweighted()
+    return run_monotone(graph, traversal.bfs_program(graph, root_of(graph)), measured=True).metrics().select("phase", "active", "messages", "arrived", "changed")
+
+
 @query(PART + BFS_SQL + " SELECT CAST(level - 1 AS BIGINT) AS phase, count(*) AS changed, CAST(sum(id) AS BIGINT) AS id_sum, min(id) AS least FROM b WHERE level > 0 GROUP BY level")
 def monotone_metrics(spark, sf_dir):
     """Accumulators of a frontier program, taken as each superstep is written."""
