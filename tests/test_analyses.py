@@ -409,3 +409,28 @@ def test_supersteps_tell_what_they_cost(spark):
             spark.range(100).repartition(3).count()
         spark.range(100).count()
     assert outer.jobs > inner.jobs > 0 and inner.shuffle_written > 0
+
+
+LET_GO = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.ui.retainedStages", "8").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tidegraph.graph import Graph
+from tidegraph.operators.traversal import bfs_program
+from tidegraph.plans.superstep import run_monotone
+graph = Graph(spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long"))
+spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().groupBy("count").count().collect()
+told = run_monotone(graph, bfs_program(graph, 0), measured=True).metrics().orderBy("phase").collect()
+print("TOLD", [(t.active, t.messages, t.arrived, t.changed) for t in told], all(t.jobs > 0 and t.tasks > 0 for t in told))
+"""
+
+
+def test_costs_where_spark_keeps_few_stages():
+    """In a long session the numbers of skipped stages are gone when they are asked for."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", LET_GO, str(Path(__file__).parents[1])], capture_output=True, text=True, timeout=300)
+    assert f"TOLD {[(1, 1, 1, 1)] * 6 + [(1, 0, 0, 0)]} True" in out.stdout, out.stdout + out.stderr[-2000:]
