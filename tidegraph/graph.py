@@ -28,6 +28,9 @@ class GraphMeta:
 class Graph:
     """``edges``: src, dst and maybe weight; ``vertices``: id. Without vertices, the ends of the edges are taken."""
 
+    #: Whether every edge is known to be there in both directions.
+    symmetric = False
+
     def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, name: str = "graph"):
         columns = [F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")]
         self.weighted = "weight" in edges.columns
@@ -71,7 +74,9 @@ class Graph:
         keys = ["src", "dst"]
         back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["weight"] if self.weighted else []))
         both = self.edges.unionByName(back)
-        return self.with_edges(both.groupBy(*keys).agg(F.min("weight").alias("weight")) if self.weighted else both.distinct())
+        out = self.with_edges(both.groupBy(*keys).agg(F.min("weight").alias("weight")) if self.weighted else both.distinct())
+        out.symmetric = True
+        return out
 
     def reverse(self) -> "Graph":
         return self.with_edges(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["weight"] if self.weighted else [])))
