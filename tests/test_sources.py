@@ -108,6 +108,30 @@ def test_replay_in_order_and_batches(spark, edges, tmp_path):
         edgesource.EdgeReplay(f"{tmp_path}/e", 8, ["weight"], False, 250, f"{tmp_path}/p")
 
 
+@pytest.mark.parametrize("ahead", [1, 3, None])
+def test_batches_taken_in_at_a_time(spark, ahead, tmp_path, monkeypatch):
+    """Counts after every batch are the same however many are taken in at a time, and a small graph takes few jobs for many batches."""
+    told = spark.range(120).select((F.col("id") * 5 % 83).alias("src"), (F.col("id") * 11 % 79).alias("dst"), F.col("id").alias("weight"))
+    edgefiles.write_in_order(told, f"{tmp_path}/e", "weight")
+    calls = []
+    add = online.OnlineComponents.add
+    monkeypatch.setattr(online.OnlineComponents, "add", lambda self, *a: calls.append(1) or add(self, *a))
+    size = 35 if ahead == 1 else 10
+    state = online.cc_replay(spark, f"{tmp_path}/e", size, ahead=ahead)
+    assert len(calls) == (1 if ahead is None else 4)
+    seen = {}
+    find = lambda x: x if seen.setdefault(x, x) == x else find(seen[x])
+    before, expected = 0, []
+    for k in range(0, 120, size):
+        for e in range(k, min(120, k + size)):
+            a, b = sorted((find(e * 5 % 83), find(e * 11 % 79)))
+            seen[b] = a
+        n = sum(find(x) == x for x in list(seen))
+        expected.append((k // size, n, len(seen) - n - before))
+        before = len(seen) - n
+    assert state.history == expected
+
+
 def test_replay_goes_on_after_a_stop(spark, edges, tmp_path):
     """A batch fails after it was planned; the next query takes it again, whole, and nothing twice."""
     edgefiles.write_in_order(edges, f"{tmp_path}/e", "weight")

@@ -9,7 +9,8 @@ Reading: a task takes a range of whole records; a schema with fewer columns deco
 Replaying: the same records as a stream in the order of the files' names, ``buffer`` records a batch (the
 last one has the rest). Offsets count records. The end of a batch is noted under ``progress`` when the
 batch is planned, before any row of it is read, so that a query that starts anew goes on where its own
-log ends and takes no record twice.
+log ends and takes no record twice. ``ahead`` batches are planned at a time; with ``numbered`` a column ``batch``
+tells them apart, from 0 in what was planned at once, and deleted records are rows of nulls.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ class Split(InputPartition):
     file: str
     begin: int
     end: int
+    number: int = 0
 
 
 class EdgeReader(DataSourceReader):
@@ -121,9 +123,9 @@ class EdgeReader(DataSourceReader):
 class EdgeReplay(EdgeReader, DataSourceStreamReader):
     """Offsets are numbers of records over all files, deleted ones included."""
 
-    def __init__(self, path: str, record: int, columns: list[str], keep_deleted: bool, buffer: int, progress: str):
-        super().__init__(path, record, columns, keep_deleted)
-        self.buffer, self.progress = buffer, progress
+    def __init__(self, path: str, record: int, columns: list[str], keep_deleted: bool, buffer: int, progress: str, ahead: int = 1):
+        super().__init__(path, record, [c for c in columns if c != "batch"], keep_deleted)
+        self.buffer, self.progress, self.ahead, self.wanted = buffer, progress, ahead, columns
         system, base = open_filesystem(progress)
         self.planned = max((int(f.base_name) for f in _listed(system, base) if f.base_name.isdigit()), default=0)
 
@@ -132,7 +134,7 @@ class EdgeReplay(EdgeReader, DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         total = sum(n for _, n in files_of(self.path, self.record)) // self.record
-        return {"record": max(self.planned, min(total, self.planned + self.buffer))}
+        return {"record": max(self.planned, min(total, self.planned + self.buffer * self.ahead))}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
         system, base = open_filesystem(self.progress)
@@ -143,10 +145,23 @@ class EdgeReplay(EdgeReader, DataSourceStreamReader):
         step, at, splits = SPLIT // self.record * self.record, 0, []
         for file, n in files_of(self.path, self.record):
             first, last = max(0, start["record"] * self.record - at), min(n, end["record"] * self.record - at)
-            splits += [Split(file, a, min(last, a + step)) for a in range(first, last, step)]
+            splits += [Split(file, a, min(last, a + step), (at + a) // self.record - start["record"]) for a in range(first, last, step)]
             at += n
         return splits or [Split("", 0, 0)]
 
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        if "batch" not in self.wanted:
+            yield from super().read(split)
+            return
+        plain, number = EdgeReader(self.path, self.record, ["src", "dst", *(c for c in self.columns if c == "weight")], True), split.number
+        for rows in plain.read(split):
+            src, dst = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            gone, held = (src == TOMBSTONE) & (dst == TOMBSTONE), dict(zip(rows.schema.names, rows.columns))
+            held |= {c: pa.array(held[c].to_numpy(), mask=gone) for c in held}
+            held["batch"] = pa.array((number + np.arange(len(src))) // self.buffer)
+            number += len(src)
+            yield pa.RecordBatch.from_arrays([held[c] for c in self.wanted], names=self.wanted)
+
     def commit(self, end: dict) -> None:
         """Older notes are not needed once a batch is whole."""
         system, base = open_filesystem(self.progress)
@@ -208,7 +223,7 @@ class EdgeWriter(DataSourceArrowWriter):
 
 
 class EdgeFiles(DataSource):
-    """Options: ``path``; ``record``; ``keepDeleted``; for streams ``buffer`` (records a batch) and ``progress`` (a folder of the query's own)."""
+    """Options: ``path``; ``record``; ``keepDeleted``; for streams ``buffer`` (records a batch), ``ahead``, ``numbered`` and ``progress`` (a folder of the query's own)."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,7 +236,7 @@ class EdgeFiles(DataSource):
         return self.options["path"], record, self.options.get("keepDeleted", "false").lower() == "true"
 
     def schema(self) -> str:
-        return schema_of(self._given()[1])
+        return schema_of(self._given()[1]) + (", batch long" if self.options.get("numbered", "false").lower() == "true" else "")
 
     def reader(self, schema) -> EdgeReader:
         path, record, keep = self._given()
@@ -232,9 +247,12 @@ class EdgeFiles(DataSource):
         buffer = int(self.options.get("buffer", AT_ONCE))
         if buffer < 1:
             raise ValueError("a batch has at least one record")
+        ahead = int(self.options.get("ahead", 1))
+        if ahead < 1:
+            raise ValueError("at least one batch is planned at a time")
         if "progress" not in self.options:
             raise ValueError("name a folder for the query's progress")
-        return EdgeReplay(path, record, schema.names, keep, buffer, self.options["progress"])
+        return EdgeReplay(path, record, schema.names, keep, buffer, self.options["progress"], ahead)
 
     def writer(self, schema, overwrite: bool) -> EdgeWriter:
         path, record, _ = self._given()
