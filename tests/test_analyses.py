@@ -434,3 +434,21 @@ def test_costs_where_spark_keeps_few_stages():
 
     out = subprocess.run([sys.executable, "-c", LET_GO, str(Path(__file__).parents[1])], capture_output=True, text=True, timeout=300)
     assert f"TOLD {[(1, 1, 1, 1)] * 6 + [(1, 0, 0, 0)]} True" in out.stdout, out.stdout + out.stderr[-2000:]
+
+
+def test_ratings_of_a_task_do_not_grow(spark, tmp_path, monkeypatch):
+    """More rows are dealt over more tasks, and each side of an edge is looked at once, without a table of both directions."""
+    import __spark_entry__ as entry
+    from tidegraph import fixtures
+
+    spark.range(400).select((F.col("id") % 40).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"), F.col("id").cast("double").alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    expected = rows(fixtures.ratings(spark, str(tmp_path)).edges)
+    checked = rows(entry.queries()["checkbip_ratings"](spark, str(tmp_path)))
+    monkeypatch.setattr(fixtures, "ROWS", 10)
+    told = fixtures.ratings(spark, str(tmp_path)).edges
+    assert rows(told) == expected
+    assert ", 40), REPARTITION" in told._jdf.queryExecution().executedPlan().toString()
+    df = entry.queries()["checkbip_ratings"](spark, str(tmp_path))
+    assert rows(df) == checked
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRelation") <= 1 and "Union" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -48,10 +48,21 @@ def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(pairs.where("src <> dst").select("src", "dst").distinct(), parts(spark, sf_dir), "copurchase")
 
 
+#: Rows of a task that groups a table by keys with few rows each.
+ROWS = 1 << 20
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over tasks of about ``ROWS``, so that what a task holds does not grow with the table. Few rows stay as they are."""
+    n = rows.count()
+    return rows.repartition(max(-(-n // ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys) if n > ROWS else rows
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts and suppliers (numbered after the parts) with the mean quantity between them."""
     n = parts(spark, sf_dir).count()
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("weight"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    lines = dealt(lines, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("weight"))
     edges = lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + n).alias("dst"), "weight")
     return Graph(edges, name="ratings")
 

@@ -119,7 +119,7 @@ def checkbip(spark, sf_dir):
 
 @query(RAT + BIP.format("r"))
 def checkbip_ratings(spark, sf_dir):
-    return scans.checkbip(fixtures.ratings(spark, sf_dir).symmetrize())
+    return scans.checkbip(fixtures.ratings(spark, sf_dir))  # each edge is looked at from both of its ends
 
 
 # traversals ------------------------------------------------------------------------------------------
