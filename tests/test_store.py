@@ -29,6 +29,45 @@ def test_numbering_and_order(spark, edges):
     assert rows(sorting.locality_sort(edges)) == rows(edges) == rows(sorting.sort_edges(edges))
 
 
+def positions(v, bits):
+    first, second = v * 2654435761 % 2**32, (v + 1) * 2246822519 % 2**32
+    return [(h >> up) % bits for h in (first, second) for up in (0, 16)]
+
+
+@pytest.mark.parametrize("bits, levels", [(256, 8), (4096, 3), (2, 1), (2**20, 4)])
+def test_packed_keys_are_in_the_order_of_the_lists(spark, bits, levels):
+    ids, width = list(range(0, 3000, 7)), bits.bit_length() - 1
+    shifts = sorted({width * (levels - i) // (levels + 1) for i in range(levels)}, reverse=True)
+    wide = {v: positions(v, bits) for v in ids}
+    want = sorted(ids, key=lambda v: ([sorted(p >> s for p in wide[v]) for s in shifts], v))
+    got = sorting.numbered(spark.createDataFrame([(i,) for i in ids], "src long"), *sorting.source_keys(bits, levels)).orderBy("row")
+    assert [r.src for r in got.collect()] == want
+
+
+def test_pages_hit_by_runs_of_sources(spark):
+    """The places of a source's edges follow from its first one; a source may fill several pages and empty frontiers hit none."""
+    degree = {v: 1 + v * v % 7 for v in range(0, 900, 2)} | {14: 150}
+    sources, frontier = spark.createDataFrame(list(degree.items()), "src long, n long"), [v for v in range(-3, 900) if v % 45 == 0] + [14]
+    at = {v: positions(v, 128) for v in range(-3, 1000)}
+    for keys, order in (((F.col("src"),), lambda v: v), (sorting.source_keys(128, 7), lambda v: ([sorted(p >> s for p in at[v]) for s in (6, 5, 4, 3, 2, 1, 0)], v))):
+        places = [v for v in sorted(degree, key=order) for _ in range(degree[v])]
+        pages = [set(places[i : i + 16]) for i in range(0, len(places), 16)]
+        bits = [{p for v in page for p in at[v]} for page in pages]
+        want = (len(pages), sum(any(set(at[v]) <= b for v in frontier) for b in bits), sum(bool(p & set(frontier)) for p in pages))
+        held = spark.createDataFrame([(v,) for v in [*frontier, None]], "id long")
+        assert rows(pageindex.pages_hit(sources, held, *keys, bits=128, per_page=16)) == [want]
+        assert rows(pageindex.pages_hit(sources, held.where("false"), *keys, bits=128, per_page=16)) == [(len(pages), 0, 0)]
+    assert rows(pageindex.pages_hit(sources.where("false"), held, "src", bits=128)) == [(0, 0, 0)]
+
+
+def test_a_probe_makes_no_row_for_an_id_and_a_block(spark):
+    slices = spark.range(300 * 64).select((F.col("id") % 64).cast("int").alias("bit"), F.floor(F.col("id") / 64).cast("long").alias("block"), F.lit(-1).cast("long").alias("pages"))
+    hit = pageindex.probe(slices, spark.range(5000), 64)
+    assert hit.count() == 300 * 64
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "Join Inner" not in plan
+
+
 @pytest.mark.parametrize("bits", [64, 1024])
 def test_probe_has_no_false_negatives(spark, edges, bits):
     stored = pageindex.paged(edges, per_page=16)

@@ -4,13 +4,17 @@ A page is a run of ``per_page`` edges in stored order. Its filter holds four bit
 filters of ``GROUP`` pages are kept as bit slices: for each bit that any of them has set, one number whose
 bits say which pages have it, (bit, block, pages), in the order of the bits. A probe reads the slices of the
 bits that it asks for and no others: a vertex may be in the pages that are in all its slices. Pages with a
-frontier source always are hit, others may be.
+frontier source always are hit, others may be. A task looks up a part of the frontier in the slices of ``BAND``
+blocks, and stops where all of their pages are hit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import bloom_positions
@@ -20,6 +24,8 @@ from ..plans.superstep import MonotoneProgram, Result, run_monotone
 from .sorting import numbered
 
 PER_PAGE, BITS, GROUP = 256, 1024, 64
+#: Blocks whose slices a task looks at together, parts that a frontier is dealt over, and ids looked up at once.
+BAND, SHARES, AT_ONCE = 64, 8, 2048
 #: Pages in a folder of the stored edges (some two million edges): folders without a hit page are not opened.
 PAGES_PER_FOLDER = 8192
 #: Frontiers over this many vertices read all pages.
@@ -50,14 +56,17 @@ def pages_of(slices: DataFrame) -> DataFrame:
     return slices.select(*rest, "block", at.alias("_at")).select((F.col("block") * GROUP + F.col("_at")).alias("page_id"), *rest)
 
 
-def pages_hit(edges: DataFrame, frontier: DataFrame, *order: Column | str, bits: int = BITS, per_page: int = PER_PAGE) -> DataFrame:
-    """pages, hit, holding: what an order of the edges is worth to a frontier.
+def pages_hit(sources: DataFrame, frontier: DataFrame, *order: Column | str, bits: int = BITS, per_page: int = PER_PAGE) -> DataFrame:
+    """pages, hit, holding: what an order of the edges by their sources is worth to a frontier. ``sources``: src and n, the number of its edges.
 
     Of all pages, those that a probe says may hold a source of the frontier, and those that do. Edges that
     lie by source keep a vertex's edges together, but a page's filter fills up with unlike bits and is hit in
-    error; ``sorting.locality_keys`` put sources with like bits into one page.
+    error; ``sorting.source_keys`` put sources with like bits into one page. The edges of a source follow each
+    other in either, so its first place and their number say which pages it is in, and edges are not sorted.
     """
-    stored = cut(paged(edges, *order, per_page=per_page), "paged")
+    runs = numbered(sources, *order, size="n")
+    page = lambda row: F.floor(row / per_page).cast("long")
+    stored = cut(runs.select("src", F.explode(F.sequence(page(F.col("row")), page(F.col("row") + F.col("n") - 1))).alias("page_id")), "runs")
     n = stored.agg((F.coalesce(F.max("page_id"), F.lit(-1)) + 1).alias("pages"))
     hit = probe(filters(stored, bits), frontier, bits).agg(F.count("*").alias("hit"))
     holding = stored.join(frontier.select(F.col("id").alias("src")).distinct(), "src", "left_semi").agg(F.count_distinct("page_id").alias("holding"))
@@ -65,13 +74,33 @@ def pages_hit(edges: DataFrame, frontier: DataFrame, *order: Column | str, bits:
 
 
 def probe(index: DataFrame, frontier: DataFrame, bits: int = BITS) -> DataFrame:
-    """page_id of the pages that the ids of the frontier hit. A slice may come in several rows."""
-    wanted = frontier.select("id", F.array_distinct(bloom_positions(F.col("id"), bits)).alias("at"))
-    wanted = wanted.select("id", F.size("at").alias("need"), F.explode("at").alias("bit"))
-    whole = index.join(wanted.select("bit").distinct(), "bit", "left_semi").groupBy("bit", "block").agg(F.bit_or("pages").alias("pages"))
-    found = whole.join(wanted, "bit").groupBy("id", "need", "block").agg(F.count("*").alias("n"), F.bit_and("pages").alias("pages"))
-    blocks = found.where("n = need and pages <> 0").groupBy("block").agg(F.bit_or("pages").alias("pages"))
-    return pages_of(blocks).select("page_id")
+    """page_id of the pages that the ids of the frontier hit. A slice may come in several rows.
+
+    The places of the frontier (16 bytes an id) are broadcast in ``SHARES`` rows.
+    """
+    wanted = frontier.where("id is not null").select(bloom_positions(F.col("id"), bits).alias("at")).distinct()
+    shares = wanted.groupBy(F.pmod(F.xxhash64("at"), F.lit(SHARES)).alias("share")).agg(F.flatten(F.collect_list("at")).alias("places")).select("places")
+    whole = index.join(wanted.select(F.explode("at").alias("bit")).distinct(), "bit", "left_semi").groupBy("bit", "block").agg(F.bit_or("pages").alias("pages"))
+    bands = whole.groupBy(F.floor(F.col("block") / BAND).alias("band")).agg(F.collect_list(F.struct("bit", (F.col("block") % BAND).cast("int").alias("nth"), "pages")).alias("slices"))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, slices, places in zip(*(batch.column(i) for i in range(3))):
+                bit, nth, pages = (slices.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                table = np.zeros((bits, BAND), np.int64)
+                table[bit, nth] = pages
+                every, found = np.bitwise_or.reduce(table, axis=0), np.zeros(BAND, np.int64)
+                places = places.values.to_numpy(zero_copy_only=False).reshape(-1, 4)
+                for at in range(0, len(places), AT_ONCE):
+                    a, b, c, d = places[at : at + AT_ONCE].T
+                    found |= np.bitwise_or.reduce(table[a] & table[b] & table[c] & table[d], axis=0)
+                    if (found == every).all():
+                        break
+                hit = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(hit + band.as_py() * BAND, pa.int64()), pa.array(found[hit], pa.int64())], names=["block", "pages"])
+
+    found = bands.crossJoin(F.broadcast(shares)).mapInArrow(looked_up, "block long, pages long")
+    return pages_of(found.groupBy("block").agg(F.bit_or("pages").alias("pages"))).select("page_id")
 
 
 @dataclass

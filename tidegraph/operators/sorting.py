@@ -8,19 +8,21 @@ from ..functions.hashing import bloom_positions
 from ..plans.lineage import cut
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "row") -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, name: str = "row", size: str | None = None) -> DataFrame:
     """Adds the place of each row in the order, from 0, without one task that sees all rows.
 
-    Rows are dealt by ranges and written; each range numbers its own and starts after those before it.
+    Rows are dealt by ranges and written; each range numbers its own and starts after those before it. With a column
+    ``size``, a row stands for as many rows that follow each other, and gets the place of the first.
     """
     ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     ranged = cut(ranged, "ranged")
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    sizes = ranged.groupBy("_range").agg((F.sum(size) if size else F.count("*")).alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
     sizes = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_range").orderBy(*order)
-    rows = ranged.withColumn("_nth", F.row_number().over(own)).join(F.broadcast(sizes), "_range")
-    return rows.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_range", "_nth", "_before")
+    last = F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) if size else F.row_number().over(own)
+    rows = ranged.withColumn("_last", last).join(F.broadcast(sizes), "_range")
+    return rows.withColumn(name, F.col("_before") + F.col("_last") - (F.col(size) if size else F.lit(1))).drop("_range", "_last", "_before")
 
 
 def sort_edges(edges: DataFrame) -> DataFrame:
@@ -28,17 +30,33 @@ def sort_edges(edges: DataFrame) -> DataFrame:
     return edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
 
 
-def locality_keys(bits: int, levels: int = 3) -> list[Column]:
-    """Sort keys that bring edges whose sources share filter bits together.
+#: Bits of a packed sort key.
+KEY_BITS = 62
+
+
+def source_keys(bits: int, levels: int = 3) -> list[Column]:
+    """Sort keys that bring sources which share filter bits together.
 
     The bits of a source's filter are compared at growing fineness (their leading part first), then the ids.
-    With as many levels as a position has bits, every prefix is a key.
+    With as many levels as a position has bits, every prefix is a key. Positions are packed side by side into
+    as few numbers as hold them, which lie in the order of the sorted lists of positions.
     """
-    at = bloom_positions(F.col("src"), bits)
+    at = F.sort_array(bloom_positions(F.col("src"), bits))
     width = bits.bit_length() - 1
-    coarse = lambda shift: F.array_sort(F.transform(at, lambda p: F.shiftright(p, shift)))
-    keys = [coarse(shift) for shift in sorted({width * (levels - i) // (levels + 1) for i in range(levels)}, reverse=True)]
-    return [*keys, F.col("src"), F.col("dst")]
+    keys, used = [], KEY_BITS
+    for shift in sorted({width * (levels - i) // (levels + 1) for i in range(levels)}, reverse=True):
+        for i in range(4):  # shifted positions lie in the order of the positions
+            place, used = F.shiftright(at[i], shift).cast("long"), used + width - shift
+            if used > KEY_BITS:
+                keys, used = [*keys, place], width - shift
+            else:
+                keys[-1] = F.shiftleft(keys[-1], width - shift).bitwiseOR(place)
+    return [*keys, F.col("src")]
+
+
+def locality_keys(bits: int, levels: int = 3) -> list[Column]:
+    """Sort keys for edges: sources that share filter bits lie together (see ``source_keys``), and the edges of a source by target."""
+    return [*source_keys(bits, levels), F.col("dst")]
 
 
 def locality_sort(edges: DataFrame, bits: int = 4096, levels: int = 3) -> DataFrame:
