@@ -80,3 +80,23 @@ def test_many_rounds_are_gathered(spark, monkeypatch):
     back = [(i + 1, i, 1.0) for i in range(20)] + [(i, (i * 7) % 21, 50.0) for i in range(21)]
     got = {r.id: (r.distance, r.predecessor) for r in traversal.sssp_blocks(graph(spark, back, 21), 20, 12).collect()}
     assert got == plain(back, 20)
+
+
+def test_edges_are_made_once(spark, tmp_path):
+    def told(batches):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    edges = spark.createDataFrame(RANDOM, "src long, dst long, weight double").coalesce(1).mapInArrow(told, "src long, dst long, weight double")
+    state = traversal.bfs_blocks(Graph(edges, spark.range(80)), 3, 150)
+    want = {v: int(d) for v, (d, _) in plain([(a, b, 1.0) for a, b, _ in RANDOM], 3).items()}
+    assert {r.id: r.level for r in state.collect()} == want and len(list(tmp_path.iterdir())) == 1
+
+
+def test_symmetric_graphs_say_so_without_weights(spark):
+    g = graph(spark, RANDOM, 80).symmetrize()
+    assert g.unweighted().symmetric and not graph(spark, RANDOM, 80).unweighted().symmetric
+    rows, _ = blocks.stored(g.unweighted(), 150)
+    assert all(np.frombuffer(r.live, np.uint8).all() for r in rows.collect())

@@ -63,7 +63,9 @@ class Graph:
         return Graph(edges, self.vertices, self.name)
 
     def unweighted(self) -> "Graph":
-        return self.with_edges(self.edges.select("src", "dst"))
+        out = self.with_edges(self.edges.select("src", "dst"))
+        out.symmetric = self.symmetric
+        return out
 
     def need_weights(self, what: str) -> None:
         if not self.weighted:

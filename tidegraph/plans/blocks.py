@@ -120,10 +120,14 @@ BLOCK_SQL = "block long, n long, ids binary, ptr binary, dst binary, local binar
 
 def stored(graph: Graph, size: int = SIZE, least_blocks: int = 1) -> tuple[DataFrame, Layout]:
     """The blocks, a row each, and how they are laid out."""
-    edges = graph.edges.select("src", "dst", (F.col("weight") if graph.weighted else F.lit(1.0)).alias("weight"))
+    held = cut(graph.edges.select("src", "dst", *(["weight"] if graph.weighted else [])), "edges")  # read three times, made once
+    edges = held.select("src", "dst", (F.col("weight") if graph.weighted else F.lit(1.0)).alias("weight"))
     plan = layout(edges, size, least_blocks)
-    live = edges.select(F.col("src").alias("s")).distinct().withColumn("live", F.lit(True))  # targets that send on
-    marked = edges.join(live, F.col("dst") == F.col("s"), "left").select("src", "dst", "weight", F.col("live").isNotNull().alias("live"))
+    if graph.symmetric:  # every target sends on
+        marked = edges.withColumn("live", F.lit(True))
+    else:
+        live = edges.select(F.col("src").alias("s")).distinct().withColumn("live", F.lit(True))  # targets that send on
+        marked = edges.join(live, F.col("dst") == F.col("s"), "left").select("src", "dst", "weight", F.col("live").isNotNull().alias("live"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +157,9 @@ def stored(graph: Graph, size: int = SIZE, least_blocks: int = 1) -> tuple[DataF
 
     rows = marked.mapInArrow(dealt, "block long, src long, dst long, weight double, live boolean")
     rows = rows.repartition("block").sortWithinPartitions("block", "src", "dst")
-    return cut(rows.mapInArrow(packed, BLOCK_SQL), "blocks"), plan
+    out = cut(rows.mapInArrow(packed, BLOCK_SQL), "blocks")
+    drop(held)
+    return out, plan
 
 
 def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -197,7 +203,8 @@ def run_blocks(graph: Graph, program: BlockProgram, size: int = SIZE, least_bloc
     largest = blocks.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     if largest > size:
         raise ValueError(f"a block of {largest} edges is over {size}: raise the number of blocks")
-    kept = blocks.repartition("block").persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = max(1, min(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), 2 * plan.blocks))  # of a round: hardly two blocks each, few without one
+    kept = blocks.repartition(tasks, "block").persist(StorageLevel.MEMORY_AND_DISK)
     along, kind, number = program.along, program.kind, np.dtype("float64" if program.kind == "double" else "int64")
     worst = np.inf if program.kind == "double" else np.iinfo(np.int64).max
     value = f"struct<id: bigint, v: {kind}, tag: bigint>"
@@ -206,7 +213,8 @@ def run_blocks(graph: Graph, program: BlockProgram, size: int = SIZE, least_bloc
 
     def rows(state: bool, block, ids, v, tag, vs=None, tags=None, steps=0) -> pa.RecordBatch:
         n = len(block)
-        return pa.RecordBatch.from_arrays([pa.array([state] * n), pa.array(block, pa.int64()), pa.array(ids, pa.int64()), pa.array(v, arrow_kind), pa.array(tag, pa.int64()), pa.array([vs] * n, pa.binary()), pa.array([tags] * n, pa.binary()), pa.array([steps] * n, pa.int32())], names=[c.split()[0] for c in out_sql.split(", ")])
+        held = [pa.nulls(n, pa.binary()) if x is None else pa.array([x] * n, pa.binary()) for x in (vs, tags)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, state)), pa.array(block, pa.int64()), pa.array(ids, pa.int64()), pa.array(v, arrow_kind), pa.array(tag, pa.int64()), *held, pa.array(np.full(n, steps, np.int32))], names=[c.split()[0] for c in out_sql.split(", ")])
 
     def routed(ids: np.ndarray, v: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
         at, block = plan.of_values(ids)
@@ -254,9 +262,9 @@ def run_blocks(graph: Graph, program: BlockProgram, size: int = SIZE, least_bloc
     seen, states, made, rounds, steps = [], [], [sent], 0, 0
     while n and rounds < max_rounds:
         messages = sent.where("not state and block >= 0").select("block", "id", F.struct("v", "tag").alias("x"))
-        best = messages.repartition("block").groupBy("block", "id").agg(F.min("x").alias("x"))  # dealt once, by block
+        best = messages.repartition(tasks, "block").groupBy("block", "id").agg(F.min("x").alias("x"))  # dealt once, by block
         got = best.groupBy("block").agg(F.collect_list(F.struct("id", "x.v", "x.tag")).cast(f"array<{value}>").alias("got"))
-        state = union(states).groupBy("block").agg(F.max_by(F.struct("vs", "tags"), "round").alias("s")).select("block", "s.vs", "s.tags") if states else None
+        state = union(states).repartition(tasks, "block").groupBy("block").agg(F.max_by(F.struct("vs", "tags"), "round").alias("s")).select("block", "s.vs", "s.tags") if states else None
         read = kept.join(got, "block")
         read = read.join(state, "block", "left") if state is not None else read.withColumns({"vs": F.lit(None).cast("binary"), "tags": F.lit(None).cast("binary")})
         sent, n, most = written(read.mapInArrow(step, out_sql), "round")
