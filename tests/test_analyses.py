@@ -226,6 +226,17 @@ def test_counters_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("k, size", [(7, 80), (4, 10), (2, 3), (1, 2)])
+def test_counters_travel_in_a_few_bits_a_register(spark, k, size):
+    """The counters after three steps are those that keep a row for each register, and what goes along an edge is small."""
+    g = Graph(spark.createDataFrame([(i, (i * i + 3) % 150 - 20) for i in range(-20, 130)] + [(i, -20) for i in range(-19, 130)], "src long, dst long"))
+    state = neighbourhoods.counters(g, k)
+    assert {r[0] for r in neighbourhoods.packed(state).select(F.length("c")).collect()} == {size}
+    for _ in range(3):
+        state = neighbourhoods.spread_on(g.edges, state)
+    assert rows(neighbourhoods.registers(state)) == rows(neighbourhoods.hll_registers(g, 3, rsd=1.106 / 2 ** (k / 2) * 1.0001))
+
+
 def test_programs_agree(spark):
     g = graph(spark, "random")
     start = g.vertices.where("id = 0").select("id", F.lit(0.0).alias("v"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import low, spread_again, trailing_rank
@@ -45,14 +48,77 @@ def counters(graph: Graph, k: int) -> DataFrame:
     return rows.withColumn("bit", bit).select("id", *(F.when(F.floor(F.col("at") / 2) == i, F.col("bit")).otherwise(F.lit(0).cast("long")).alias(f"w{i}") for i in range(m // 2)))
 
 
+#: The bit of each value of a register; none for 0.
+BIT_OF = np.array([0, *(1 << r for r in range(32))], np.uint64)
+
+
+def _width(m: int) -> int:
+    """Bits that hold a register's value, of m registers: the ranks of what is left of 32 bits, and 0."""
+    return (34 - m.bit_length()).bit_length()
+
+
+def _packed(values: np.ndarray) -> pa.Array:
+    """A row of register values for each counter becomes bytes, with the values side by side."""
+    n, m = values.shape
+    bits = np.unpackbits(values[:, :, None], axis=2)[:, :, 8 - _width(m) :]
+    held = np.packbits(bits.reshape(n, m * _width(m)), axis=1)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(held.shape[1])), pa.py_buffer(held)])
+
+
+def _unpacked(c: pa.Array, m: int) -> np.ndarray:
+    held = np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
+    bits = np.unpackbits(held, axis=1, count=m * _width(m)).reshape(len(c), m, _width(m))
+    return np.packbits(bits, axis=2)[:, :, 0] >> 8 - _width(m)
+
+
+def packed(state: DataFrame) -> DataFrame:
+    """id, c: the counters by the values of their registers alone, five bits each."""
+    words = [c for c in state.columns if c != "id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.empty((len(batch), 2 * len(words)), np.uint8)
+            for i in range(len(words)):
+                seen = batch.column(i + 1).to_numpy().view(np.uint64)
+                for j, half in enumerate((seen & np.uint64(2**32 - 1), seen >> np.uint64(32))):
+                    values[:, 2 * i + j] = np.frexp(half.astype(np.float64))[1]  # the place of the highest bit
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(values)], names=["id", "c"])
+
+    return state.select("id", *words).mapInArrow(pack, "id long, c binary")
+
+
 def spread_on(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """A step: every counter joins those of the vertices that point at it. One row travels along an edge.
+    """A step: every counter joins those of the vertices that point at it. One row travels along an edge, with five bits a register.
 
-    The counters are never broadcast: their files, mostly zeros at first, are a hundredth of what they take in memory.
+    The counters are never broadcast. A task takes those for a vertex one after the other, however many they are, and
+    leaves the highest bit of each register.
     """
     words = [c for c in state.columns if c != "id"]
-    moved = edges.join(state.hint("merge"), edges.src == state.id).select(F.col("dst").alias("id"), *words)
-    return state.unionByName(moved).groupBy("id").agg(*(F.bit_or(w).alias(w) for w in words))
+    own = packed(state)
+    moved = edges.join(own.hint("merge"), edges.src == own.id).select(F.col("dst").alias("id"), "c")
+
+    def rows(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        bits = BIT_OF[values]
+        joint = bits[:, 0::2] | bits[:, 1::2] << np.uint64(32)
+        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(joint[:, i]).view(np.int64)) for i in range(len(words)))], names=["id", *words])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, values = batch.column(0).to_numpy(), _unpacked(batch.column(1), 2 * len(words))
+            if held is not None:
+                ids, values = np.concatenate([held[0], ids]), np.concatenate([held[1], values])
+            starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            most = np.maximum.reduceat(values, starts, axis=0)
+            if len(starts) > 1:
+                yield rows(ids[starts[:-1]], most[:-1])
+            held = ids[starts[-1:]], most[-1:]  # more may come for the last one
+        if held is not None:
+            yield rows(*held)
+
+    return own.unionByName(moved).repartition("id").sortWithinPartitions("id").mapInArrow(gather, ", ".join(f"{c} long" for c in ("id", *words)))
 
 
 def registers(state: DataFrame) -> DataFrame:
