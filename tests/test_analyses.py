@@ -237,6 +237,42 @@ def test_counters_travel_in_a_few_bits_a_register(spark, k, size):
     assert rows(neighbourhoods.registers(state)) == rows(neighbourhoods.hll_registers(g, 3, rsd=1.106 / 2 ** (k / 2) * 1.0001))
 
 
+def test_neighbourhoods_to_the_end(spark):
+    """Steps go on until one changes nothing, however many that takes; the limit and the rule to stop hold as before."""
+    path = Graph(spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long"))
+    told = neighbourhoods.hyperanf(path, max_steps=None, to_the_end=True).collect()
+    assert [r.t for r in told] == list(range(10)) and told[-1][1:] == told[-2][1:] and told[-2].estimate > told[-3].estimate
+    assert [r.t for r in neighbourhoods.hyperanf(path, max_steps=4, to_the_end=True).collect()] == [0, 1, 2, 3, 4]
+    assert [r.t for r in neighbourhoods.hyperanf(path, epsilon=0.5).collect()] == [0, 1, 2]
+
+
+def test_neighbourhoods_of_groups(spark):
+    """As over the edges that the groups stand for: groups over several batches, repeats, nulls, and members that are no vertices."""
+    groups = {g: [g, g + 1, g] for g in range(20, 26)} | {1: list(range(-3, 15)), 2: [14, 16, 20], 3: [30, 900], 4: [900, 901, 31], 5: [33], 6: [700, 701]} | {g: [0, g] for g in range(40, 52)}
+    rows_of = [(g, m) for g, ms in groups.items() for m in ms] + [(None, 1), (None, 30), (7, None), (7, 32)]
+    edges = {(a, b) for ms in groups.values() for a in ms for b in ms if a != b}
+    vertices = spark.createDataFrame([(i,) for i in range(-5, 60)], "id long")
+    by_edges = neighbourhoods.hyperanf(Graph(spark.createDataFrame(sorted(edges), "src long, dst long"), vertices), max_steps=None, to_the_end=True).collect()
+    members = spark.createDataFrame(rows_of, "group long, member long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("10000", "5"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert neighbourhoods.hyperanf_of_groups(members, vertices, max_steps=None, to_the_end=True).collect() == by_edges
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(by_edges) > 6 and by_edges[-1][1:] == by_edges[-2][1:]
+    none = neighbourhoods.hyperanf_of_groups(members.where("false"), vertices, max_steps=None, to_the_end=True).collect()
+    assert [r.t for r in none] == [0, 1] and none[0][1:] == none[1][1:]
+
+
+def test_counters_of_groups_are_not_broadcast(spark):
+    members = spark.createDataFrame([(i // 3, i % 7) for i in range(40)], "group long, member long")
+    state = neighbourhoods.counters(graph(spark, "random", symmetric=True), 7)
+    plan = neighbourhoods.spread_among(members, state)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_programs_agree(spark):
     g = graph(spark, "random")
     start = g.vertices.where("id = 0").select("id", F.lit(0.0).alias("v"))

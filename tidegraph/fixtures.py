@@ -17,6 +17,10 @@ COPURCHASE_SQL = """
     c AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey)
           WHERE a.l_partkey <> b.l_partkey AND a.l_quantity <= 15 AND b.l_quantity <= 15),
     v AS (SELECT p_partkey AS id FROM part)"""
+WHOLE_COPURCHASE_SQL = """
+    c AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey)
+          WHERE a.l_partkey <> b.l_partkey),
+    v AS (SELECT p_partkey AS id FROM part)"""
 RATINGS_SQL = """
     n AS (SELECT count(*) AS parts FROM part),
     r AS (SELECT l_partkey AS src, l_suppkey + parts AS dst, avg(l_quantity) AS weight FROM lineitem, n GROUP BY l_partkey, l_suppkey, parts)"""
@@ -48,6 +52,11 @@ def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(pairs.where("src <> dst").select("src", "dst").distinct(), parts(spark, sf_dir), "copurchase")
 
 
+def order_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group, member: the parts of every order, whatever the quantity. Those of one order are joined by edges in ``WHOLE_COPURCHASE_SQL``."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_partkey").alias("member"))
+
+
 #: Rows of a task that groups a table by keys with few rows each.
 ROWS = 1 << 20
 

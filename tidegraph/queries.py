@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixtures
-from .fixtures import COPURCHASE_SQL, EVENT_EDGES_SQL, PART_EDGES_SQL, RATINGS_SQL, SYMMETRIC_SQL
+from .fixtures import COPURCHASE_SQL, EVENT_EDGES_SQL, PART_EDGES_SQL, RATINGS_SQL, SYMMETRIC_SQL, WHOLE_COPURCHASE_SQL
 from .graph import Graph
 from .operators import belief, centrality, factorisation, independent, mutation, neighbourhoods, pageindex, ranking, scans, sorting, spanning, store, strong, traversal, triangles
 from .plans.lineage import cut, union, work_path
@@ -467,17 +467,24 @@ def hyperanf_hll(spark, sf_dir):
     return neighbourhoods.hll_registers(fixtures.part_edges(spark, sf_dir), 3)
 
 
-HYPERANF_STEPS = 4
-REACH_OF = """(SELECT id, round(CASE WHEN raw <= 320 AND empty > 0 THEN 128 * ln(128 / empty) ELSE raw END, 9) AS reach FROM (
-    SELECT id, 128 - count(*) AS empty, 0.7213 / (1 + 1.079 / 128) * 128 * 128 / (sum(pow(2, -value)) + 128 - count(*)) AS raw FROM h{0} GROUP BY id))"""
+#: Steps until one, which is told of too, changes no register.
+HYPERANF_SQL = f"""WITH RECURSIVE {WHOLE_COPURCHASE_SQL},
+    h AS (
+        SELECT CAST(0 AS INTEGER) AS t, id, register, value, true AS grew FROM ({HLL_FIRST})
+        UNION ALL
+        SELECT t + 1, id, register, value, bool_or(up) OVER () FROM (
+            SELECT max(t) AS t, id, register, max(value) AS value, max(value) > coalesce(max(own), 0) AS up FROM (
+                SELECT t, id, register, value, value AS own FROM h WHERE grew
+                UNION ALL SELECT h.t, c.dst, h.register, h.value, NULL FROM h JOIN c ON c.src = h.id WHERE h.grew) GROUP BY id, register)),
+    s AS (SELECT t, id, 128 - count(*) AS empty, 0.7213 / (1 + 1.079 / 128) * 128 * 128 / (sum(pow(2, -value)) + 128 - count(*)) AS raw FROM h GROUP BY t, id),
+    r AS (SELECT t, id, round(CASE WHEN raw <= 320 AND empty > 0 THEN 128 * ln(128 / empty) ELSE raw END, 9) AS reach FROM s)
+    SELECT t, round(sum(reach) + 1e-10, 3) AS estimate, -max({{'a': reach, 'b': -id}}).b AS seed, round(max(reach) + 1e-10, 3) AS seed_reach FROM r GROUP BY t"""
 
 
-@query(
-    COP + unrolled("h", HLL_FIRST, lambda k: f"SELECT id, register, max(value) AS value FROM (SELECT * FROM h{k - 1} UNION ALL SELECT c.dst, h.register, h.value FROM h{k - 1} h JOIN c ON c.src = h.id) GROUP BY id, register", HYPERANF_STEPS)
-    + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS t, round(sum(reach) + 1e-10, 3) AS estimate, -max({{'a': reach, 'b': -id}}).b AS seed, round(max(reach) + 1e-10, 3) AS seed_reach FROM {REACH_OF.format(k)}" for k in range(HYPERANF_STEPS + 1)) + ")"
-)
+@query(HYPERANF_SQL)
 def hyperanf(spark, sf_dir):
-    return rounded(neighbourhoods.hyperanf(fixtures.copurchase(spark, sf_dir), max_steps=HYPERANF_STEPS, to_the_end=True), "estimate", "seed_reach", digits=3)
+    told = neighbourhoods.hyperanf_of_groups(fixtures.order_members(spark, sf_dir), fixtures.parts(spark, sf_dir), max_steps=None, to_the_end=True)
+    return rounded(told, "estimate", "seed_reach", digits=3)
 
 
 @query(
